@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logveil.llm import chat, quality
+from logveil.llm import chat, decontaminate, quality, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,12 @@ def _sha(column) -> F.Column:
     return F.sha2(F.encode(column, "UTF-8"), 256)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document left after repeated passages of 35 words went."""
+    found = substrings.parse(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", _sha(F.col("kept_text")).alias("kept_sha256"), F.size("spans").alias("n_spans"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every conversation, read back from its formatted examples."""
     control = "<|im_end|><|im_start|>assistant ok"
@@ -49,5 +55,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(f"measures.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), base.alias("base_failed"), "kept", F.array_join("failed", ",").alias("failed"))
 
 
-QUERIES = {f.__name__: f for f in (op6_chat_formatting, op7_quality_rules)}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in a benchmark window, and the items they come from."""
+    found = decontaminate.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        _sha(F.array_join(F.array_sort("item_ids"), ",")).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op6_chat_formatting, op7_quality_rules, op8_decontamination)}
 ORACLES: dict[str, str] = {}
