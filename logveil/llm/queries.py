@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logveil.llm import chat, decontaminate, quality, substrings
+from logveil.llm import chat, decontaminate, neardup, quality, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,5 +68,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op6_chat_formatting, op7_quality_rules, op8_decontamination)}
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of documents on shingles of two words."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
+
+
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op6_chat_formatting, op7_quality_rules, op8_decontamination, op10_near_dedup)}
 ORACLES: dict[str, str] = {}
