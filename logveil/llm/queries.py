@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logveil.llm import bpe, chat, decontaminate, neardup, quality, substrings
+from logveil.llm import bpe, chat, decontaminate, lines, neardup, quality, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines without copies and near copies of earlier lines."""
+    found = lines.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_near", "n_links", _sha(F.col("text")).alias("kept_sha256"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every conversation, read back from its formatted examples."""
     control = "<|im_end|><|im_start|>assistant ok"
@@ -80,5 +86,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_byte_bpe, op6_chat_formatting, op7_quality_rules, op8_decontamination, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_byte_bpe, op5_line_dedup, op6_chat_formatting, op7_quality_rules, op8_decontamination, op10_near_dedup)}
 ORACLES: dict[str, str] = {}

@@ -32,13 +32,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
-def _powers(n: int) -> np.ndarray:
+def powers(n: int) -> np.ndarray:
     out = np.full(n, _MULT, dtype=np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
-_POWERS = _powers(1 << 16)
+_POWERS = powers(1 << 16)
 
 
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
