@@ -95,7 +95,8 @@ def encoder_of(vocabulary) -> PieceEncoder:
     return _encoders[name]
 
 
-def _schema(df: DataFrame, new: dict[str, str]) -> str:
+def with_columns(df: DataFrame, new: dict[str, str]) -> str:
+    """Schema of a table with more columns at its end; one of the same name gives way."""
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in new] + [f"{k} {v}" for k, v in new.items()])
 
 
@@ -116,7 +117,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, chunk:
 
     new = {"token_ids": "binary", "n_tokens": "long"}
     length = F.coalesce(F.length(text), F.lit(0))
-    short = docs.where(length <= chunk).mapInArrow(encode_rows, _schema(docs, new))
+    short = docs.where(length <= chunk).mapInArrow(encode_rows, with_columns(docs, new))
     # equal rows have equal keys and equal ids
     keyed = docs.where(length > chunk).withColumn("__k1", F.xxhash64(text)).withColumn("__k2", F.xxhash64(F.lit(1), text))
     # the hash of the row deals copies of one text out
@@ -193,4 +194,4 @@ def decode(encoded: DataFrame, ids: str = "token_ids", path: str | None = None)
         for batch in batches:
             yield appended(batch, ["decoded"], [pa.array([encoder.decode(x) if x else b"" for x in batch.column(ids).to_pylist()], pa.binary())])
 
-    return encoded.mapInArrow(decode_rows, _schema(encoded, {"decoded": "binary"}))
+    return encoded.mapInArrow(decode_rows, with_columns(encoded, {"decoded": "binary"}))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logveil.llm import bpe, chat, decontaminate, lines, neardup, quality, substrings
+from logveil.llm import bpe, chat, counts, decontaminate, langid, lines, neardup, quality, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", _sha(F.col("kept_text")).alias("kept_sha256"), F.size("spans").alias("n_spans"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    model = langid.fit(docs.where(fold != 1))
+    return langid.predict(docs.select("doc_id", (fold == 1).alias("held_out"), "text"), model).drop("text")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of what they decode to."""
     encoded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -81,10 +89,22 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits in its middle, its first third and at its end."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.coalesce(F.length("text"), F.lit(0))
+    edit = lambda start, stop, text: F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), F.lit(text).alias("replacement"))
+    middle, third = F.floor(n / 2), F.floor(n / 3)
+    edits = F.array(edit(middle, middle + 5, " [edited] "), edit(third, third + 40, ""), edit(F.lit(None), F.lit(None), " The end."))
+    trees = counts.count_trees(docs).withColumn("edits", edits).withColumn("n_tokens_before", F.col("n_tokens"))
+    found = counts.apply_edits(trees)
+    return found.select("doc_id", "n_tokens_before", "n_tokens", F.element_at("tree_chars", 2).cast("long").alias("n_chars"), "n_reencoded")
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of documents on shingles of two words."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_byte_bpe, op5_line_dedup, op6_chat_formatting, op7_quality_rules, op8_decontamination, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_language_id, op4_byte_bpe, op5_line_dedup, op6_chat_formatting, op7_quality_rules, op8_decontamination, op9_token_counts, op10_near_dedup)}
 ORACLES: dict[str, str] = {}
