@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logveil.llm import bpe, chat, counts, decontaminate, langid, lines, neardup, quality, substrings
+from logveil.llm import bpe, chat, counts, decontaminate, hpylm, langid, lines, neardup, quality, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,14 @@ def _sha(column) -> F.Column:
     return F.sha2(F.encode(column, "UTF-8"), 256)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document under unigrams and under the hierarchical model."""
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = hpylm.score(docs, trains=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document left after repeated passages of 35 words went."""
     found = substrings.parse(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -106,5 +114,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_language_id, op4_byte_bpe, op5_line_dedup, op6_chat_formatting, op7_quality_rules, op8_decontamination, op9_token_counts, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_language_id, op4_byte_bpe, op5_line_dedup, op6_chat_formatting, op7_quality_rules, op8_decontamination, op9_token_counts, op10_near_dedup)}
 ORACLES: dict[str, str] = {}
