@@ -8,9 +8,12 @@ line, at a place that their lengths narrow down:
 * every line gives signatures of its own segments (the index) and of the few
   substrings that could equal a segment of a line of its length or up to `most`
   bytes less (the probes); a signature names the length, the segment and its bytes;
-* signatures are compared within ranges of their hash, packed by tasks;
-* a signature of more than `GROUP` lines is refined: its lines are compared by
-  signatures of what the shared segment leaves of them, level by level;
+* signatures are compared within ranges of their hash, packed by tasks; two lines of
+  a signature are candidates if their sketches (parities of their bytes' counts in 64
+  buckets, of which an edit changes two at most) allow it;
+* a signature of more than `GROUP` lines is dealt out again: sketches that differ in
+  at most 2 * most bits agree on one of 2 * most + 1 blocks of bits, so its lines meet
+  by signature and block, and none of their pairs is lost or made without need;
 * candidates are verified by banded bit-parallel edit distance on the lines.
 
 A line is dropped where the same line stands earlier (by doc_id, then line
@@ -44,15 +47,14 @@ from logveil.llm.textbytes import Words, mix, powers, slices, split_words
 
 MOST = 2
 LEAST = 40
-#: Lines of one signature that are compared with each other.
+#: Lines of one signature that are compared with each other at once.
 GROUP = 64
-#: Times that a signature of more lines is refined.
-LEVELS = 6
 #: Text bytes whose signatures make up one range, on average.
 RANGE_TEXT = 8 << 20
 _LINE_BYTES = np.ones(256, dtype=bool)
 _LINE_BYTES[10] = False
-_ENTRY = np.dtype([("sig", "<u8"), ("id", "<u8"), ("from", "<u4"), ("to", "<u4")])
+_ENTRY = np.dtype([("sig", "<u8"), ("id", "<u8"), ("sketch", "<u8")])
+_BUCKET = np.uint64(1) << (mix(np.arange(256, dtype=np.uint64), 71) & np.uint64(63))
 
 
 def split_lines(column) -> Words:
@@ -67,23 +69,19 @@ def _segments(length: np.ndarray, count: int, index: int) -> tuple[np.ndarray, n
     return begin, size + (index >= count - longer)
 
 
-def signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray, spaces: np.ndarray, most: int, index: np.ndarray, probe: np.ndarray, shorter: bool) -> np.ndarray:
-    """Signature entries of strings data[start:end], each within a space of its own.
-
-    index, probe: which strings stand for themselves and which look for others.
-    shorter: probes look for strings of their own length or less only, else also for longer ones.
-    An entry tells which bytes of the string are left on the longer side of the shared segment;
-    the side follows from the length and the segment, so it is one for all strings of a signature.
-    """
-    length = ends - starts
-    longest = int(length.max(initial=0))
-    power, inverse = powers(longest + 1), _inverse_powers(longest + 1)
+def signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Signature entries of the lines data[start:end]; starts are in order."""
     if not len(starts):
         return np.empty(0, _ENTRY)
+    length = ends - starts
+    longest = int(length.max())
+    power, inverse = powers(longest + 1), _inverse_powers(longest + 1)
     place = np.arange(len(data)) - np.repeat(np.append(0, starts), np.diff(np.concatenate(([0], starts, [len(data)]))))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * power[np.minimum(place, longest)], dtype=np.uint64)))
+    bounds = np.stack((starts, ends), axis=1).ravel()
+    sketch = np.bitwise_xor.reduceat(np.append(_BUCKET[data], np.uint64(0)), bounds)[::2]
     out = []
-    for delta in range(0 if shorter else -most, most + 1):
+    for delta in range(most + 1):
         target = length - delta
         for i in range(most + 1):
             begin, size = _segments(target, most + 1, i)
@@ -91,17 +89,14 @@ def signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: np.n
             high = np.minimum.reduce([length - size, begin + i, begin + delta + (most - i)])
             for shift in range(-most, most + 1):
                 at = begin + shift
-                own = index & (delta == 0) & (shift == 0)
-                rows = np.flatnonzero((size > 0) & (own | (probe & (at >= low) & (at <= high))))
+                rows = np.flatnonzero((size > 0) & (at >= low) & (at <= high))
                 a = at[rows]
-                b = a + size[rows]
-                raw = (sums[starts[rows] + b] - sums[starts[rows] + a]) * inverse[a]
-                sig = mix(raw ^ mix((target[rows] * 8 + i).astype(np.uint64), 31) ^ spaces[rows])
+                raw = (sums[starts[rows] + a + size[rows]] - sums[starts[rows] + a]) * inverse[a]
                 entry = np.empty(len(rows), _ENTRY)
-                right = target[rows] - begin[rows] - size[rows] > begin[rows]
-                entry["sig"], entry["id"], entry["from"], entry["to"] = sig, ids[rows], np.where(right, b, 0), np.where(right, length[rows], a)
+                entry["sig"] = mix(raw ^ mix((target[rows] * 8 + i).astype(np.uint64), 31))
+                entry["id"], entry["sketch"] = ids[rows], sketch[rows]
                 out.append(entry)
-    return np.concatenate(out) if out else np.empty(0, _ENTRY)
+    return np.concatenate(out)
 
 
 def _inverse_powers(n: int) -> np.ndarray:
@@ -120,8 +115,32 @@ def _packed(entries: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array([entries[bounds[r] : bounds[r + 1]].tobytes() for r in filled], pa.binary())], names=["range", "entries"])
 
 
-def _group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Entries of one range to candidate pairs (a < b), and members (a, no b) of signatures of too many lines."""
+def _blocks(entries: np.ndarray, most: int) -> np.ndarray:
+    """Each entry once for every block of its sketch's bits, under a signature for the block."""
+    edges = np.linspace(0, 64, 2 * most + 2).astype(int)
+    out = []
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        bits = (entries["sketch"] >> np.uint64(a)) & np.uint64((1 << int(b - a)) - 1)
+        part = entries.copy()
+        part["sig"] = mix(entries["sig"] ^ mix(bits * np.uint64(64) + np.uint64(k), 41))
+        out.append(part)
+    return np.concatenate(out)
+
+
+def _pairs(group: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a signature's lines (in order of their ids) whose sketches allow it."""
+    left, right = [], []
+    for at in range(0, len(group), 256):
+        rows, rest = group["sketch"][at : at + 256], group["sketch"][at + 1 :]
+        far = np.bitwise_count(rows[:, None] ^ rest[None, :])
+        x, y = np.nonzero(np.triu(far <= 2 * most))
+        left.append(group["id"][at + x])
+        right.append(group["id"][at + 1 + y])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _joined(table: pa.Table, most: int, bits: int, again: bool) -> pa.Table:
+    """Entries of one range to candidate pairs (a, b); with again, signatures of many lines are packed for another round."""
     entries = np.concatenate([np.frombuffer(x, _ENTRY) for x in table.column("entries").to_pylist()])
     entries = entries[np.lexsort((entries["id"], entries["sig"]))]
     fresh = np.ones(len(entries), dtype=bool)
@@ -129,26 +148,27 @@ def _group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     entries = entries[fresh]
     edges = np.flatnonzero(np.concatenate(([True], entries["sig"][1:] != entries["sig"][:-1], [True])))
     size = np.diff(edges)
-    a, b = [], []
-    large = np.flatnonzero(size > GROUP)
-    for n in np.unique(size[(size > 1) & (size <= GROUP)]).tolist():
-        members = entries["id"][edges[:-1][size == n][:, None] + np.arange(n)]
-        x, y = np.triu_indices(n, 1)
-        a.append(members[:, x].ravel())
-        b.append(members[:, y].ravel())
-    big = np.concatenate([entries[edges[g] : edges[g + 1]] for g in large]) if len(large) else np.empty(0, _ENTRY)
-    pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1).astype(np.uint64) if a else np.empty((2, 0), np.uint64)
-    none = len(pair[0])
-    return pa.table({
-        "a": pa.array(np.concatenate((pair[0], big["id"])).view(np.int64)),
-        "b": pa.concat_arrays([pa.array(pair[1].view(np.int64)), pa.nulls(len(big), pa.int64())]),
-        "space": pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(big["sig"].view(np.int64))]),
-        "from": pa.concat_arrays([pa.nulls(none, pa.int32()), pa.array(big["from"].astype(np.int32))]),
-        "to": pa.concat_arrays([pa.nulls(none, pa.int32()), pa.array(big["to"].astype(np.int32))]),
-    })
-
-
-_GROUPED = "a long, b long, space long, `from` int, `to` int"
+    large = size > GROUP if again else np.zeros(len(size), dtype=bool)
+    pair = np.empty((2, 0), np.uint64)
+    for g in np.flatnonzero((size > 1) & ~large).tolist():
+        if size[g] == 2:
+            continue
+        pair = np.concatenate((pair, np.stack(_pairs(entries[edges[g] : edges[g + 1]], most))), axis=1)
+        if pair.shape[1] > 1 << 20:
+            pair = np.unique(pair, axis=1)
+    two = edges[:-1][size == 2]
+    near = np.bitwise_count(entries["sketch"][two] ^ entries["sketch"][two + 1]) <= 2 * most
+    pair = np.unique(np.concatenate((pair, np.stack((entries["id"][two[near]], entries["id"][two[near] + 1]))), axis=1), axis=1)
+    out = pa.table({"a": pa.array(pair[0].view(np.int64)), "b": pa.array(pair[1].view(np.int64)), "range": pa.nulls(pair.shape[1], pa.int32()), "entries": pa.nulls(pair.shape[1], pa.binary())})
+    if large.any():
+        many = _blocks(entries[np.repeat(large, size)], most)
+        for packed in _packed(many, bits):
+            more = pa.table(packed)
+            out = pa.concat_tables([out, pa.table({"a": pa.nulls(more.num_rows, pa.int64()), "b": pa.nulls(more.num_rows, pa.int64()), "range": more.column("range"), "entries": more.column("entries")})])
+    return out
+
+
+_JOINED = "a long, b long, range int, entries binary"
 
 
 def _key(id: str) -> Column:
@@ -181,8 +201,8 @@ class LineJoin:
 
         return self.source.mapInArrow(number, "id long, key long, line int")
 
-    def compared(self) -> DataFrame:
-        """Candidate pairs and members of large signatures, of all lines."""
+    def candidates(self) -> DataFrame:
+        """Candidate pairs (a, b) of all lines by their ids."""
         least, most, bits = self.least, self.most, self.bits
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,13 +211,18 @@ class LineJoin:
                     lines = split_lines(batch.column("text"))
                     _, at = np.unique(lines.hashes, return_index=True)
                     at = np.sort(at[(lines.ends - lines.starts)[at] >= least])
-                    every = np.ones(len(at), dtype=bool)
-                    yield from _packed(signatures(lines.data, lines.starts[at], lines.ends[at], lines.hashes[at], np.zeros(len(at), np.uint64), most, every, every, True), bits)
+                    yield from _packed(signatures(lines.data, lines.starts[at], lines.ends[at], lines.hashes[at], most), bits)
+
+        def first(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            return _joined(table, most, bits, again=True)
 
-        return self._grouped(self.source.mapInArrow(sign, "range int, entries binary"))
+        def second(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            return _joined(table, most, bits, again=False)
 
-    def _grouped(self, packed: DataFrame) -> DataFrame:
-        return packed.repartition(partitions(self.spark, 1 << self.bits), "range").groupBy("range").applyInArrow(_group, _GROUPED)
+        n = partitions(self.spark, 1 << bits)
+        found = cut(self.source.mapInArrow(sign, "range int, entries binary").repartition(n, "range").groupBy("range").applyInArrow(first, _JOINED))
+        large = found.where("range is not null").select("range", "entries").repartition(n, "range").groupBy("range").applyInArrow(second, _JOINED)
+        return found.where("range is null").select("a", "b").unionByName(large.select("a", "b")).distinct()
 
     def texts(self, wanted: DataFrame) -> DataFrame:
         """Lines (id, key of a document) to (id, body), read from those documents."""
@@ -224,30 +249,6 @@ class LineJoin:
         joined = self.dealt.join(by_doc, F.col("__key") == F.col("key")).select("text", "ids")
         return joined.mapInArrow(pick, "id long, body binary").dropDuplicates(["id"])
 
-    def refined(self, members: DataFrame, texts: DataFrame) -> DataFrame:
-        """Members of large signatures compared by what their shared segment leaves of them."""
-        most, bits = self.most, self.bits
-
-        def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                begin, rest = batch.column("from").to_numpy(), batch.column("rest").to_pylist()
-                size = np.array([len(r) for r in rest], np.int64)
-                ends = np.cumsum(size)
-                data = np.frombuffer(b"".join(rest), np.uint8)
-                ids, spaces = (batch.column(c).to_numpy().view(np.uint64) for c in ("a", "space"))
-                every = np.ones(len(rest), dtype=bool)
-                entries = signatures(data, ends - size, ends, ids, mix(spaces, 41), most, every, every, False)
-                # places within the whole line, for the next level
-                order = np.argsort(ids, kind="stable")
-                shift = begin[order[np.searchsorted(ids[order], entries["id"])]].astype(np.uint32)
-                entries["from"] += shift
-                entries["to"] += shift
-                yield from _packed(entries, bits)
-
-        rest = F.substring("body", F.col("from") + 1, F.col("to") - F.col("from"))
-        joined = members.join(texts, members["a"] == texts["id"]).select("a", "space", "from", rest.alias("rest"))
-        return self._grouped(joined.mapInArrow(sign, "range int, entries binary"))
-
 
 def verified(pairs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
     """The pairs of line ids whose lines are within `most` edits and differ."""
@@ -264,19 +265,10 @@ def verified(pairs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
 
 def near_lines(join: LineJoin, first: DataFrame) -> DataFrame:
     """Links (a, b) between lines by their ids; first: (id, first occurrence) of all lines."""
-    found = cut(join.compared())
-    pairs, members = found.where("b is not null").select("a", "b"), found.where("b is null").drop("b")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("a")).distinct()
-    texts = cut(join.texts(first.join(ids, "id").select("id", F.col("first.key").alias("key"))))
-    for _ in range(LEVELS):
-        if members.isEmpty():
-            break
-        found = cut(join.refined(members, texts))
-        pairs, members = pairs.unionByName(found.where("b is not null").select("a", "b")), found.where("b is null").drop("b")
-    # lines that share all but a few bytes of their longer sides
-    chief = members.groupBy("space").agg(F.min("a").alias("chief"))
-    rest = members.join(chief, "space").where("a <> chief").select(F.least("a", "chief").alias("a"), F.greatest("a", "chief").alias("b"))
-    return verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(rest).distinct(), texts, join.most)
+    pairs = cut(join.candidates())
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = join.texts(first.join(ids, "id").select("id", F.col("first.key").alias("key")))
+    return verified(pairs, texts, join.most)
 
 
 def dedup(docs: DataFrame, most: int = MOST, least: int = LEAST) -> DataFrame:
