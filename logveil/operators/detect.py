@@ -69,11 +69,11 @@ def residual(text: Column, options: Options) -> Column:
         "PAN": checks.pan_is_plausible,
     }
     patterns = RESIDUAL | {"PAN": rf"(?<!\d)\d{{{max(12, options.min_digit_run)},19}}(?!\d)"}
-    arrays = []
-    for kind, pattern in patterns.items():
-        good = lambda v, kind=kind: kept(v) & tests[kind](v) if kind in tests else kept(v)
-        pick = lambda v, kind=kind: F.struct(F.lit(kind).alias("kind"), v.alias("sample"))
-        arrays.append(F.transform(F.filter(extract_all(text, pattern), good), pick))
+    def of_kind(kind: str, pattern: str) -> Column:
+        good = (lambda v: kept(v) & tests[kind](v)) if kind in tests else kept
+        return F.transform(F.filter(extract_all(text, pattern), good), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("sample")))
+
+    arrays = [of_kind(kind, pattern) for kind, pattern in patterns.items()]
     return F.array_distinct(F.concat(*arrays))
 
 

@@ -41,8 +41,11 @@ def context_rule(keys: list[str], options: Options) -> ContextRule | None:
 
 
 def key_tag(keys: list[str], options: Options) -> str | None:
-    """The tag of a sensitive field's values of no format; None for other fields.  Key or whole path counts."""
-    names = {plain_key(keys[-1]), "".join(plain_key(k) for k in keys)}
+    """The tag of a sensitive field's values of no format; None for other fields.
+
+    Its key counts, and its whole path, with or without the column that holds the document.
+    """
+    names = {plain_key(keys[-1]), "".join(plain_key(k) for k in keys), "".join(plain_key(k) for k in keys[1:])}
     if not any(plain_key(k) in names for k in options.sensitive_keys):
         return None
     return next((tag for k, tag in options.key_hints.items() if plain_key(k) in names), "SENSITIVE")
