@@ -46,7 +46,7 @@ def _decoded(raw: bytes) -> tuple[str, str]:
 def whole_files(spark: SparkSession, paths: str | list[str], pattern: str | None = None, most_bytes: int | None = None, missing_ok: bool = True) -> DataFrame:
     """One row per file: path, size_bytes, charset, gzipped, oversized, damaged and text (newlines as line feeds).
 
-    Gzip is known by its first bytes.  Valid UTF-8 stays in the JVM; only other files go through Python.
+    Empty files give no row (Spark's file sources pass over them).  Gzip is known by its first bytes.  Valid UTF-8 stays in the JVM; only other files go through Python.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", missing_ok)
     if pattern:
