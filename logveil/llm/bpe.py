@@ -72,6 +72,10 @@ class PieceEncoder(dict):
             self[piece] = ids
         return ids
 
+    def count(self, piece: str) -> int:
+        """Tokens of a piece."""
+        return len(self._merge(piece))
+
     def encode(self, text: str) -> bytes:
         return b"".join([self[p] for p in self.split(text)])
 

@@ -24,9 +24,10 @@ result; other columns of the documents are carried.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,35 +40,54 @@ from logveil.llm.textbytes import slices
 LEAF = 32
 #: Characters before an edit whose pre-tokens it may change.
 AHEAD = 4
+#: Distinct pieces whose counts a worker remembers.
+REMEMBERED = 500_000
 EDITS = "array<struct<start:int,stop:int,replacement:string>>"
 
 
+class PieceCounts(dict):
+    """Pieces to their number of tokens; forgets all when it is full."""
+
+    def __init__(self, encoder: PieceEncoder):
+        super().__init__()
+        self._encoder = encoder
+        self.split = encoder.split
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        n = self._encoder.count(piece)
+        if len(piece) < 64:
+            self[piece] = n
+        return n
+
+
 class CountTree:
-    """The segment tree of one text."""
+    """The segment tree of one text: entry 1 is the root, the last half are the leaves."""
 
-    def __init__(self, chars: np.ndarray, tokens: np.ndarray):
+    def __init__(self, chars: list[int], tokens: list[int]):
         self.chars, self.tokens = chars, tokens
         self.leaves = len(chars) // 2
 
     @classmethod
-    def build(cls, encoder: PieceEncoder, text: str) -> CountTree:
-        pieces = encoder.split(text)
-        starts = range(0, len(pieces), LEAF)
-        leaves = 1 << max(0, (len(starts) - 1).bit_length())
-        tree = cls(np.zeros(2 * leaves, np.int32), np.zeros(2 * leaves, np.int32))
-        for leaf, at in enumerate(starts, leaves):
-            own = pieces[at : at + LEAF]
-            tree.chars[leaf] = sum(map(len, own))
-            tree.tokens[leaf] = sum([len(encoder[p]) for p in own]) // 4
-        width = leaves // 2
-        while width:
-            for sums in (tree.chars, tree.tokens):
-                sums[width : 2 * width] = sums[2 * width : 4 * width : 2] + sums[2 * width + 1 : 4 * width : 2]
-            width //= 2
+    def build(cls, counts: PieceCounts, text: str) -> CountTree:
+        pieces = counts.split(text)
+        used = -(-len(pieces) // LEAF)
+        leaves = 1 << max(0, (used - 1).bit_length())
+        lengths, tokens = list(map(len, pieces)), [counts[p] for p in pieces]
+        rest = [0] * (leaves - used)
+        tree = cls([0] * leaves + [sum(lengths[k : k + LEAF]) for k in range(0, len(pieces), LEAF)] + rest, [0] * leaves + [sum(tokens[k : k + LEAF]) for k in range(0, len(pieces), LEAF)] + rest)
+        tree.sum_up(range(leaves - 1, 0, -1))
         return tree
 
+    def sum_up(self, nodes) -> None:
+        chars, tokens = self.chars, self.tokens
+        for node in nodes:
+            chars[node] = chars[2 * node] + chars[2 * node + 1]
+            tokens[node] = tokens[2 * node] + tokens[2 * node + 1]
+
     def total(self) -> int:
-        return int(self.tokens[1])
+        return self.tokens[1]
 
     def leaf_at(self, place: int) -> tuple[int, int]:
         """The first leaf that reaches beyond a place (the last leaf at the end), and where it begins."""
@@ -75,61 +95,64 @@ class CountTree:
         while node < self.leaves:
             node *= 2
             if place >= begin + self.chars[node]:
-                begin += int(self.chars[node])
+                begin += self.chars[node]
                 node += 1
         return node - self.leaves, begin
 
-    def edit(self, encoder: PieceEncoder, text: str, start: int, stop: int, replacement: str) -> tuple[str, int]:
+    def edit(self, counts: PieceCounts, text: str, start: int, stop: int, replacement: str) -> tuple[str, int]:
         """Applies one edit; the new text, and how many pre-tokens were encoded again."""
         first, begin = self.leaf_at(max(0, start - AHEAD))
         if first and begin:
             # the leaf before ends ahead of every character that the edit can reach
             first -= 1
-            begin -= int(self.chars[self.leaves + first])
+            begin -= self.chars[self.leaves + first]
         new = text[:start] + replacement + text[stop:]
         grown = len(replacement) - (stop - start)
         last, old_end = self.leaf_at(stop)
-        old_end += int(self.chars[self.leaves + last])
+        old_end += self.chars[self.leaves + last]
         last += 1
         while True:
-            pieces, lengths = encoder.split(new[begin : old_end + grown + (AHEAD if old_end < len(text) else 0)]), []
+            pieces = counts.split(new[begin : old_end + grown + (AHEAD if old_end < len(text) else 0)])
             if old_end >= len(text):
                 break
             # boundaries of a cut text are sure but for the last two
-            ends = np.cumsum([len(p) for p in pieces])[:-2]
-            at = int(np.searchsorted(ends, old_end + grown - begin))
+            ends = list(accumulate(map(len, pieces)))[:-2]
+            at = bisect_left(ends, old_end + grown - begin)
             if at < len(ends) and ends[at] == old_end + grown - begin:
                 pieces = pieces[: at + 1]
                 break
             if last >= self.leaves:
                 old_end = len(text)
                 continue
-            old_end += int(self.chars[self.leaves + last])
+            old_end += self.chars[self.leaves + last]
             last += 1
-        lengths = [len(p) for p in pieces]
-        tokens = [len(encoder[p]) // 4 for p in pieces]
-        slots = last - first
-        bounds = np.linspace(0, len(pieces), slots + 1).astype(int)
-        touched = np.arange(self.leaves + first, self.leaves + last)
-        for leaf, a, b in zip(touched, bounds[:-1], bounds[1:], strict=True):
-            self.chars[leaf], self.tokens[leaf] = sum(lengths[a:b]), sum(tokens[a:b])
-        while touched[0] > 1:
-            touched = np.unique(touched // 2)
-            for sums in (self.chars, self.tokens):
-                sums[touched] = sums[2 * touched] + sums[2 * touched + 1]
-        return new, len(pieces)
+        slots, n = last - first, len(pieces)
+        for k in range(slots):
+            own = pieces[k * n // slots : (k + 1) * n // slots]
+            self.chars[self.leaves + first + k] = sum(map(len, own))
+            self.tokens[self.leaves + first + k] = sum([counts[p] for p in own])
+        low, high = (self.leaves + first) // 2, (self.leaves + last - 1) // 2
+        while high:
+            self.sum_up(range(low, high + 1))
+            low, high = low // 2 or 1, high // 2
+        return new, n
 
 
 _TREE = {"tree_chars": "array<int>", "tree_tokens": "array<int>", "n_tokens": "long"}
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays], dtype=np.int64)))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32)))
+_counts: dict[int, PieceCounts] = {}
+
+
+def _counts_of(vocabulary) -> PieceCounts:
+    """The worker's counts for a vocabulary, shared by its tasks."""
+    encoder = encoder_of(vocabulary)
+    return _counts.setdefault(id(encoder), PieceCounts(encoder))
 
 
 def _columns(trees: list[CountTree]) -> list[pa.Array]:
-    return [_lists([t.chars for t in trees]), _lists([t.tokens for t in trees]), pa.array([t.total() for t in trees], pa.int64())]
+    lists = pa.list_(pa.int32())
+    return [pa.array([t.chars for t in trees], lists), pa.array([t.tokens for t in trees], lists), pa.array([t.total() for t in trees], pa.int64())]
 
 
 def count_trees(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
@@ -137,10 +160,10 @@ def count_trees(docs: DataFrame, text: str = "text", path: str | None = None) ->
     vocabulary = broadcast_vocabulary(docs.sparkSession, path)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(vocabulary)
+        counts = _counts_of(vocabulary)
         for whole in batches:
             for batch in slices(whole):
-                trees = [CountTree.build(encoder, x or "") for x in batch.column(text).to_pylist()]
+                trees = [CountTree.build(counts, x or "") for x in batch.column(text).to_pylist()]
                 yield appended(batch, list(_TREE), _columns(trees))
 
     return docs.mapInArrow(build, with_columns(docs, _TREE))
@@ -159,18 +182,18 @@ def apply_edits(trees: DataFrame, text: str = "text", path: str | None = None) -
     vocabulary = broadcast_vocabulary(trees.sparkSession, path)
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(vocabulary)
+        counts = _counts_of(vocabulary)
         for whole in batches:
             for batch in slices(whole):
                 texts, done, redone = batch.column(text).to_pylist(), [], []
-                columns = (batch.column(c) for c in ("tree_chars", "tree_tokens", "edits"))
+                columns = (batch.column(c).to_pylist() for c in ("tree_chars", "tree_tokens", "edits"))
                 for doc, (chars, tokens, edits) in enumerate(zip(*columns, strict=True)):
-                    tree, n = CountTree(np.array(chars.values, np.int32), np.array(tokens.values, np.int32)), 0
-                    for edit in edits.as_py() or ():
+                    tree, n = CountTree(chars, tokens), 0
+                    for edit in edits or ():
                         body = texts[doc] or ""
                         start = len(body) if edit["start"] is None else min(max(edit["start"], 0), len(body))
                         stop = start if edit["stop"] is None else min(max(edit["stop"], start), len(body))
-                        texts[doc], again = tree.edit(encoder, body, start, stop, edit["replacement"] or "")
+                        texts[doc], again = tree.edit(counts, body, start, stop, edit["replacement"] or "")
                         n += again
                     done.append(tree)
                     redone.append(n)
