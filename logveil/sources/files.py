@@ -103,8 +103,8 @@ def text_lines(spark: SparkSession, paths: str | list[str], pattern: str | None
 def load_mapping(spark: SparkSession, path: str) -> DataFrame:
     """(original, pseudonym) of an exported mapping document; one of another schema version is an error."""
     doc = spark.read.option("multiLine", True).schema(MAPPING).json(path)
-    checked = doc.where(F.coalesce(F.assert_true(F.col("schema_version") == 1, F.lit("unknown schema_version")), F.lit(True).cast("void")).isNull())
-    return checked.select(F.explode("mapping").alias("original", "pseudonym"))
+    checked = F.when(F.col("schema_version") == 1, F.col("mapping")).otherwise(F.raise_error(F.lit("unknown schema_version")))
+    return doc.select(F.explode(checked).alias("original", "pseudonym"))
 
 
 def load_corpus(spark: SparkSession, path: str) -> DataFrame:

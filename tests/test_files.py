@@ -56,6 +56,6 @@ def test_stream_assembly_puts_lines_in_order(spark, tmp_path):
     rows = spark.createDataFrame([("f", 3, "1}"), ("f", 1, "x"), ("f", 2, '{"a":'), ("g", 1, "[2]")], "path string, line_no long, line string")
     rows.write.json(str(tmp_path / "in"))
     stream = streams.assemble_stream(spark.readStream.schema(rows.schema).json(str(tmp_path / "in")))
-    running = stream.writeStream.format("memory").queryName("assembled").outputMode("append").trigger(availableNow=True).start()
+    running = stream.writeStream.format("memory").queryName("assembled").outputMode("append").trigger(once=True).start()
     running.awaitTermination()
     assert sorted((r["path"], r["kind"]) for r in spark.table("assembled").collect()) == [("f", "json"), ("f", "text"), ("g", "json")]
