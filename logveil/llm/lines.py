@@ -246,7 +246,7 @@ class LineJoin:
                     yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_body, pa.binary())], names=["id", "body"])
 
         by_doc = wanted.groupBy("key").agg(F.collect_set("id").alias("ids")).repartition(self.parts, "key")
-        joined = self.dealt.join(by_doc, F.col("__key") == F.col("key")).select("text", "ids")
+        joined = self.dealt.select("__key", "text").join(by_doc, F.col("__key") == F.col("key")).select("text", "ids")
         return joined.mapInArrow(pick, "id long, body binary").dropDuplicates(["id"])
 
 
@@ -287,7 +287,7 @@ def dedup(docs: DataFrame, most: int = MOST, least: int = LEAST) -> DataFrame:
     told = told.select("id", F.col("first.key").alias("home"), F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
     marks = numbered.select("id", "key").distinct().join(told, "id").where((F.col("key") != F.col("home")) | (F.col("links") > 0))
     mark = F.struct("id", ((F.col("key") != F.col("home")) | F.col("near")).alias("gone"), "near", "links")
-    by_doc = marks.groupBy("key").agg(F.collect_list(mark).alias("__marks")).repartition(join.parts, "key")
+    by_doc = marks.groupBy("key").agg(F.collect_list(mark).alias("__marks")).withColumnRenamed("key", "__at").repartition(join.parts, "__at")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -323,7 +323,7 @@ def dedup(docs: DataFrame, most: int = MOST, least: int = LEAST) -> DataFrame:
                 yield appended(cleaned, list(_ADDED), [pa.array(lines.counts, pa.int64()), *(pa.array(x, pa.int64()) for x in (removed, near, linked))])
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in _ADDED]
-    joined = join.dealt.join(by_doc, F.col("__key") == F.col("key"), "left").select(*docs.columns, "__marks")
+    joined = join.dealt.join(by_doc, F.col("__key") == F.col("__at"), "left").select(*docs.columns, "__marks")
     return joined.mapInArrow(rebuild, ", ".join([*kept, *(f"{c} long" for c in _ADDED)]))
 
 

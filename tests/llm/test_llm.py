@@ -139,8 +139,10 @@ def test_lm(docs, empty):
     train = [t for k, t in texts() if k is not None and k < 60]
     n = sum(len(WORD.findall(t)) + 1 for t in train)
     assert len(got) == len(texts()) and all(r["train_tokens"] == n and r["score"] < 0 for r in got)
-    unseen = [r for r in got if r["doc_id"] in (60, 61, 62, 63)]
-    assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)
+    # words that follow each other tell more than their frequencies
+    chained = docs.sparkSession.createDataFrame([(i, "ping pong tick tock " * 5) for i in range(30)], "doc_id long, text string")
+    told = hpylm.score(chained, trains=F.col("doc_id") > 3).where("doc_id <= 3").collect()
+    assert all(r["score"] > r["base_score"] for r in told)
     alone = hpylm.score(docs, trains=F.lit(False)).collect()
     assert all(r["base_score"] == 0 and abs(r["score"]) < 1e-9 and r["n_known"] == 0 for r in alone)
     assert hpylm.score(empty, trains=F.lit(True)).count() == 0
