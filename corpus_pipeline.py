@@ -32,7 +32,7 @@ LEAST_SCORE = 0.1
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
-    judged = langid.predict(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    judged = langid.predict(docs, model, explained=True).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("explained") >= LEAST_SCORE))
     return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

@@ -143,8 +143,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
     return Model(languages, slots, filled)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds lang_pred and score (the best language's share of all corrected counts, times the share of n-grams it knows)."""
+def predict(docs: DataFrame, model: Model, text: str = "text", explained: bool = False) -> DataFrame:
+    """Adds lang_pred and score (the best language's share of all corrected counts, times the share of n-grams it knows).
+
+    With explained, also that share of n-grams alone, which does not fall as languages are added.
+    """
+    added = {"lang_pred": "string", "score": "double"} | ({"explained": "double"} if explained else {})
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.slots, model.filled))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,13 +157,15 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for batch in slices(whole, 1 << 20):
                 texts = batch.column(text).to_pylist()
                 if not own.languages:
-                    names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+                    names, score, knows = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
                 else:
                     counts, total, letters = own.count(texts)
                     best, sums = counts.argmax(axis=1), counts.sum(axis=1)
                     top = counts.max(axis=1)
-                    score = np.where(letters > 0, np.divide(top, sums, out=np.zeros(len(texts)), where=sums > 0) * np.minimum(1, top / np.maximum(total, 1)), 0.0)
+                    knows = np.where(letters > 0, np.minimum(1, top / np.maximum(total, 1)), 0.0)
+                    score = np.divide(top, sums, out=np.zeros(len(texts)), where=sums > 0) * knows
                     names = [own.languages[k] if n else UNKNOWN for k, n in zip(best.tolist(), letters.tolist(), strict=True)]
-                yield appended(batch, ["lang_pred", "score"], [pa.array(names, pa.string()), pa.array(score, pa.float64())])
+                found = [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(knows, pa.float64())]
+                yield appended(batch, list(added), found[: len(added)])
 
-    return docs.mapInArrow(decide, with_columns(docs, {"lang_pred": "string", "score": "double"}))
+    return docs.mapInArrow(decide, with_columns(docs, added))
