@@ -6,6 +6,8 @@ down part by part; others on documents, pages, conversations and customers.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -544,7 +546,19 @@ def _stream_lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return events.select("event_id", "user_id", F.expr(LINES[kind]).alias("line"))
 
 
+def _written(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """All rows of a stream, by way of files in the shared checkpoint folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logveil-checkpoint-"))
+    folder = f"{context.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    running = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(f"{folder}/rows")
+    running.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def _drained(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
+    """The result of a stream of few rows, such as totals, by way of the driver."""
     running = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.table(name)
@@ -559,7 +573,7 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(lines_sql("event_id, line", MASKED, "sudo"))
 def stream_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = streams.mask_stream(_stream_lines(spark, sf_dir, "sudo"), OPTIONS).select("event_id", "line")
-    return _drained(spark, masked, "logveil_stream_mask", "append")
+    return _written(spark, masked)
 
 
 _PIECES = """SELECT 'p' || event_id % 20 AS path, count(*) AS n, count(*) FILTER (WHERE kind = 'json') AS json FROM (SELECT event_id, unnest(['json', 'text']) AS kind FROM events) AS t GROUP BY 1"""
