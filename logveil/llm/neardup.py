@@ -8,8 +8,10 @@ classes are joined:
   one for each level, chosen by that tree's and level's own hash;
 * a node of at most `SMALL` classes compares all its pairs; a larger one branches
   by the next token;
-* a leaf that is still large after the last level holds near copies of each other;
-  its classes are compared with two leaders that differ from tree to tree;
+* in a leaf that is still large after the last level, classes are compared with two
+  leaders first, which joins groups of near copies in few links; then all pairs of the
+  leaf's classes that are not yet in one component are compared on the full sets, in
+  blocks of bounded size, each pair in the first tree whose leaf it shares;
 * pairs whose sizes or 1-bit minwise sketches rule a link out are passed over;
 * candidates are confirmed on the full sets.
 
@@ -20,7 +22,9 @@ higher similarity or in smaller nodes less.  Links are joined into components.
 Plan: the text is scanned once for sets' fingerprints and paths, and once more for
 the full sets of candidates only.  Nodes are counted with map-side aggregation and
 joined back, so a large node is a skewed join key that Spark can split, never a
-group in memory; a group of m copies gives m rows and not m squared pairs.
+group in memory; a group of m copies gives m rows and not m squared pairs.  A large
+leaf of m classes in many components is dealt out as pairs of blocks, so its sets
+are sent once for each block: such a family costs m squared comparisons.
 
 Defined results: without words or text a set is empty and linked with nothing; a
 row with a null doc_id takes no part (component_id null, kept true); rows that
@@ -50,6 +54,11 @@ SMALL = 16
 ALIKE = 45
 SIZE = 5
 PERCENT = 80
+#: Classes and bytes of sets that make up one block of a large leaf, about.
+BLOCK_CLASSES = 512
+BLOCK_BYTES = 4 << 20
+#: Ids that are broadcast to pick documents; more are joined by a shuffle.
+FEW = 1 << 20
 _BLOCK = 1 << 15
 
 
@@ -140,7 +149,10 @@ def described(source: DataFrame, size: int, paths: bool) -> DataFrame:
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Classes (rep, n_shingles, sketch, paths) to distinct candidate pairs (a, b), a < b."""
+    """Classes (rep, n_shingles, sketch, paths) to rows (a, b, leaf, low, high, n).
+
+    Without a leaf: a distinct pair of classes to confirm, a < b.  With one: class a, of n shingles, stands in a large leaf with these leaders.
+    """
     rows = classes.select("rep", "n_shingles", "sketch", F.explode("paths").alias("p")).select("rep", "n_shingles", "sketch", "p.*")
     found = []
     for depth in range(len(DEPTHS)):
@@ -158,20 +170,26 @@ def candidates(classes: DataFrame) -> DataFrame:
         rows = joined.where(F.col("members") > SMALL)
         if depth < len(DEPTHS) - 1:
             rows = rows.drop("node", "members", "low", "high")
-    for leader in ("low", "high"):
-        chief = F.col(leader).bitwiseXOR(F.shiftrightunsigned(F.col("node"), 1))
-        found.append(rows.select(F.least("rep", chief).alias("a"), F.greatest("rep", chief).alias("b")))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    return every.where("a <> b").distinct()
+    chiefs = [F.col(leader).bitwiseXOR(F.shiftrightunsigned(F.col("node"), 1)).alias(leader) for leader in ("low", "high")]
+    leaves = rows.select(F.col("rep").alias("a"), F.col("node").alias("leaf"), *chiefs, F.col("n_shingles").alias("n"))
+    return every.where("a <> b").distinct().unionByName(leaves, allowMissingColumns=True)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
+def with_leaders(found: DataFrame) -> DataFrame:
+    """The pairs among candidates, and those of each leaf's classes with its leaders."""
+    chief = F.explode(F.array("low", "high")).alias("chief")
+    led = found.where("leaf is not null").select("a", chief).select(F.least("a", "chief").alias("a"), F.greatest("a", "chief").alias("b"))
+    return found.where("leaf is null").select("a", "b").unionByName(led.where("a <> b").distinct())
+
 
-    def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple] = set()  # rows of one doc_id meet in one task; equal ones give one set
+def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """The full sets (doc_id, shingles) of the wanted doc_ids."""
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()  # equal rows of a task give one set
         for whole in batches:
             for batch in slices(whole):
                 sets, starts = shingle_sets(batch.column("text"), size)
@@ -183,6 +201,61 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int = SIZE, percent: int =
                         own.append(sets[a:b].tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(own, pa.binary())], names=["doc_id", "shingles"])
 
+    return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(collect, "doc_id long, shingles binary")
+
+
+def leaf_links(found: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between components, from all pairs of large leaves' classes that `labels` (node, component) has not joined."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, low, high = (table.column(c)[0].as_py() for c in ("leaf", "low", "high"))
+        component, block, n = (table.column(c).to_numpy() for c in ("component", "block", "n"))
+        sketch = table.column("sketch").to_numpy().view(np.uint64)
+        keys = np.array(table.column("leaves").to_pylist(), np.int64)
+        earlier = keys[:, : int(np.argmax(keys[0] == node))]
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        known, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        codes = np.split(codes, np.cumsum([len(x) for x in sets])[:-1])
+        mark, joined, a, b = np.zeros(len(known), dtype=bool), component.copy(), [], []
+        for i in range(len(sets) - 1):
+            rest = slice(i + 1, None)
+            wanted = (joined[rest] != joined[i]) & (np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * percent)
+            wanted &= 64 - np.bitwise_count(sketch[rest] ^ sketch[i]) >= ALIKE
+            if low < high:
+                wanted &= block[rest] != block[i]
+            at = i + 1 + np.flatnonzero(wanted)
+            at = at[~(earlier[at] == earlier[i]).any(axis=1)]
+            if not len(at):
+                continue
+            mark[codes[i]] = True
+            begin = np.cumsum([0] + [len(codes[j]) for j in at[:-1]])
+            both = np.add.reduceat(mark[np.concatenate([codes[j] for j in at])], begin, dtype=np.int64)
+            mark[codes[i]] = False
+            for j in at[100 * both >= percent * (n[i] + n[at] - both)].tolist():
+                if joined[j] != joined[i]:
+                    a.append(min(component[i], component[j]))
+                    b.append(max(component[i], component[j]))
+                    joined[joined == joined[j]] = joined[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    leaves = found.where("leaf is not null").select("leaf", F.col("a").alias("rep"), "n")
+    placed = leaves.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
+    mixed = placed.groupBy("leaf").agg(blocks.alias("blocks"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("leaf", "blocks")
+    rows = cut(placed.join(mixed, "leaf").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
+    wanted = rows.select("rep").distinct()
+    if wanted.count() <= FEW:
+        wanted = F.broadcast(wanted)
+    known = classes.join(wanted, "rep", "left_semi").select("rep", F.col("n_shingles").alias("n"), "sketch", F.transform("paths", lambda p: p[f"k{len(DEPTHS) - 1}"]).alias("leaves"))
+    sets = full_sets(docs, wanted.withColumnRenamed("rep", "doc_id"), size).select(F.col("doc_id").alias("rep"), "shingles").withColumn("n", (F.octet_length("shingles") / 8).cast("long"))
+    dealt = rows.join(known, ["rep", "n"]).where(F.array_contains("leaves", F.col("leaf"))).join(sets, ["rep", "n"])
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    return dealt.groupBy("leaf", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union."""
+
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -197,7 +270,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int = SIZE, percent: int =
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(full_sets, "doc_id long, shingles binary")
+    sets = full_sets(docs, wanted, size)
     with_x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     with_both = with_x.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     return with_both.mapInArrow(linked, "a long, b long").distinct()
@@ -208,9 +281,11 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, text: str = "text", id: s
     source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     identified = described(source, size, paths=True).where("doc_id is not null")
     classes = cut(identified.groupBy(*_PRINTS).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")))
-    pairs = cut(candidates(classes))
-    labels = components(confirm(pairs, source, size))
-    named = classes.join(labels, classes["rep"] == labels["node"], "left").select(*_PRINTS, F.coalesce("component", "rep").alias("component_id"))
+    found = cut(candidates(classes))
+    labels = components(confirm(with_leaders(found), source, size))
+    late = components(leaf_links(found, labels, classes, source, size)).toDF("joined", "least")
+    named = classes.join(labels, classes["rep"] == labels["node"], "left").withColumn("joined", F.coalesce("component", "rep"))
+    named = named.join(late, "joined", "left").select(*_PRINTS, F.coalesce("least", "joined").alias("component_id"))
     members = described(source, size, paths=False)
     joined = members.where("n_shingles > 0 and doc_id is not null").join(named, _PRINTS).select("doc_id", "n_shingles", "component_id")
     alone = members.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -88,6 +88,24 @@ def test_near_duplicates(docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_a_template(spark, monkeypatch):
+    """A template of three quarters of the words: most documents are below 0.8 to each other, neighbours are above."""
+    template = [f"t{i}" for i in range(150)]
+    own = [[f"x{i // 2}_{j}" for j in range(7)] + [f"y{i}_{j}" for j in range(18)] for i in range(240)]
+    sets = [set(template + words) for words in own]
+    want = list(range(240))
+    for i in range(240):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                want = [want[j] if c == want[i] else c for c in want] if want[j] < want[i] else [want[i] if c == want[j] else c for c in want]
+    assert want == [i - i % 2 for i in range(240)]
+    rows = spark.createDataFrame([(i, " ".join(template + words)) for i, words in enumerate(own)], "doc_id long, text string")
+    for block in (512, 20):
+        monkeypatch.setattr(neardup, "BLOCK_CLASSES", block, raising=False)
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(rows, size=1).collect()}
+        assert [got[i] for i in range(240)] == want
+
+
 def test_bpe(docs, empty):
     encoder = bpe.PieceEncoder(bpe.vocabulary_bytes(__import__("public_tokenizers").path("byte_bpe_50k.tiktoken")))
     plain = sorted(((k, encoder._merge(t or "")) for k, t in texts()), key=repr)
