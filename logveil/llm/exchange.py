@@ -8,6 +8,7 @@ entry per chunk and not one per occurrence.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from typing import NamedTuple
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes of a chunk.
 CHUNK_BYTES = 8 << 20
+#: Ids of 8 bytes that a broadcast may hold.
+FEW = 1 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -23,6 +26,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        # with a local master, driver and executor are one process
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="logveil-checkpoint-"))
 
 
@@ -32,6 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """Ids to join with, broadcast if there are `FEW` at most."""
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 class Extent(NamedTuple):
     rows: int
     bytes: int

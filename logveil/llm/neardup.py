@@ -9,9 +9,10 @@ classes are joined:
 * a node of at most `SMALL` classes compares all its pairs; a larger one branches
   by the next token;
 * in a leaf that is still large after the last level, classes are compared with two
-  leaders first, which joins groups of near copies in few links; then all pairs of the
-  leaf's classes that are not yet in one component are compared on the full sets, in
-  blocks of bounded size, each pair in the first tree whose leaf it shares;
+  leaders first, which joins groups of near copies in few links; then the classes outside
+  the leaf's largest component are compared with all others of the leaf that are not in
+  theirs, on the full sets, in blocks of bounded size, each pair in the first tree whose
+  leaf it shares;
 * pairs whose sizes or 1-bit minwise sketches rule a link out are passed over;
 * candidates are confirmed on the full sets.
 
@@ -24,9 +25,11 @@ the full sets of candidates only.  Nodes are counted with map-side aggregation a
 joined back, so a large node is a skewed join key that Spark can split, never a
 group in memory; a group of m copies gives m rows and not m squared pairs.  A large
 leaf of m classes in many components is dealt out as pairs of blocks, so its sets
-are sent once for each block: such a family costs m squared comparisons.
+are sent once for each block: such a family costs m squared comparisons.  Up to
+`exchange.FEW` ids of candidates are broadcast to pick their texts; more are joined.
 
-Defined results: without words or text a set is empty and linked with nothing; a
+Defined results: ids may be of any type with an order (other than integers they are
+known by a 64-bit hash on the way); without words or text a set is empty and linked with nothing; a
 row with a null doc_id takes no part (component_id null, kept true); rows that
 share a doc_id count as one document when linked; ties go to the smallest doc_id;
 an empty table gives an empty result; other columns are not carried.
@@ -40,9 +43,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logveil.llm.components import components
-from logveil.llm.exchange import cut
+from logveil.llm.exchange import cut, few
 from logveil.llm.textbytes import mix, slices, split_words, windows
 
 TREES = 16
@@ -57,8 +61,6 @@ PERCENT = 80
 #: Classes and bytes of sets that make up one block of a large leaf, about.
 BLOCK_CLASSES = 512
 BLOCK_BYTES = 4 << 20
-#: Ids that are broadcast to pick documents; more are joined by a shuffle.
-FEW = 1 << 20
 _BLOCK = 1 << 15
 
 
@@ -151,14 +153,15 @@ def described(source: DataFrame, size: int, paths: bool) -> DataFrame:
 def candidates(classes: DataFrame) -> DataFrame:
     """Classes (rep, n_shingles, sketch, paths) to rows (a, b, leaf, low, high, n).
 
-    Without a leaf: a distinct pair of classes to confirm, a < b.  With one: class a, of n shingles, stands in a large leaf with these leaders.
+    Without a leaf: a distinct pair of classes to confirm, a < b.  With one: class a, of n shingles, stands in a large leaf
+    with these leaders, the smallest and the largest class, which a group of near copies has in common in most trees.
     """
     rows = classes.select("rep", "n_shingles", "sketch", F.explode("paths").alias("p")).select("rep", "n_shingles", "sketch", "p.*")
     found = []
     for depth in range(len(DEPTHS)):
         rows = rows.withColumnRenamed(f"k{depth}", "node")
-        flip = F.shiftrightunsigned(F.col("node"), 1)
-        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min(F.col("rep").bitwiseXOR(flip)).alias("low"), F.max(F.col("rep").bitwiseXOR(flip)).alias("high")).where("members > 1")
+        leaders = [F.min("rep").alias("low"), F.max("rep").alias("high")] if depth == len(DEPTHS) - 1 else []
+        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("members"), *leaders).where("members > 1")
         joined = rows.join(counts, "node")
         group = F.array_sort(F.collect_list(F.struct(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), F.col("sketch").alias("s"))))
         small = joined.where(F.col("members") <= SMALL).groupBy("node").agg(group.alias("g"))
@@ -169,12 +172,11 @@ def candidates(classes: DataFrame) -> DataFrame:
         found.append(pairs.where(fits & alike).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
         rows = joined.where(F.col("members") > SMALL)
         if depth < len(DEPTHS) - 1:
-            rows = rows.drop("node", "members", "low", "high")
+            rows = rows.drop("node", "members")
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    chiefs = [F.col(leader).bitwiseXOR(F.shiftrightunsigned(F.col("node"), 1)).alias(leader) for leader in ("low", "high")]
-    leaves = rows.select(F.col("rep").alias("a"), F.col("node").alias("leaf"), *chiefs, F.col("n_shingles").alias("n"))
+    leaves = rows.select(F.col("rep").alias("a"), F.col("node").alias("leaf"), "low", "high", F.col("n_shingles").alias("n"))
     return every.where("a <> b").distinct().unionByName(leaves, allowMissingColumns=True)
 
 
@@ -186,7 +188,7 @@ def with_leaders(found: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """The full sets (doc_id, shingles) of the wanted doc_ids."""
+    """The full sets (doc_id, shingles) of the wanted doc_ids (distinct)."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple] = set()  # equal rows of a task give one set
@@ -201,29 +203,32 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                         own.append(sets[a:b].tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(own, pa.binary())], names=["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(collect, "doc_id long, shingles binary")
+    return docs.select("doc_id", "text").join(few(wanted), "doc_id", "left_semi").mapInArrow(collect, "doc_id long, shingles binary")
 
 
 def leaf_links(found: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) between components, from all pairs of large leaves' classes that `labels` (node, component) has not joined."""
+    """Links (a, b) between components, from the pairs of large leaves' classes that `labels` (node, component) has not joined.
+
+    In each leaf, classes outside its largest component (strays) are compared with all its classes, block by block:
+    a class is sent once for each block of strays, and a stray once more for each block of the leaf.
+    """
 
     def compare(table: pa.Table) -> pa.Table:
-        node, low, high = (table.column(c)[0].as_py() for c in ("leaf", "low", "high"))
-        component, block, n = (table.column(c).to_numpy() for c in ("component", "block", "n"))
+        leaf = table.column("leaf")[0].as_py()
+        rep, component, n = (table.column(c).to_numpy() for c in ("rep", "component", "n"))
+        stray, guest = (table.column(c).to_numpy(zero_copy_only=False) for c in ("stray", "guest"))
         sketch = table.column("sketch").to_numpy().view(np.uint64)
         keys = np.array(table.column("leaves").to_pylist(), np.int64)
-        earlier = keys[:, : int(np.argmax(keys[0] == node))]
+        earlier = keys[:, : int(np.argmax(keys[0] == leaf))]
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
         known, codes = np.unique(np.concatenate(sets), return_inverse=True)
         codes = np.split(codes, np.cumsum([len(x) for x in sets])[:-1])
         mark, joined, a, b = np.zeros(len(known), dtype=bool), component.copy(), [], []
-        for i in range(len(sets) - 1):
-            rest = slice(i + 1, None)
-            wanted = (joined[rest] != joined[i]) & (np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * percent)
-            wanted &= 64 - np.bitwise_count(sketch[rest] ^ sketch[i]) >= ALIKE
-            if low < high:
-                wanted &= block[rest] != block[i]
-            at = i + 1 + np.flatnonzero(wanted)
+        for i in np.flatnonzero(guest).tolist():
+            wanted = ~guest & (joined != joined[i]) & (~stray | (rep < rep[i]))
+            wanted &= np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent
+            wanted &= 64 - np.bitwise_count(sketch ^ sketch[i]) >= ALIKE
+            at = np.flatnonzero(wanted)
             at = at[~(earlier[at] == earlier[i]).any(axis=1)]
             if not len(at):
                 continue
@@ -238,19 +243,25 @@ def leaf_links(found: DataFrame, labels: DataFrame, classes: DataFrame, docs: Da
                     joined[joined == joined[j]] = joined[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    def blocks(members: str, total: str):
+        return F.ceil(F.greatest(F.col(members) / BLOCK_CLASSES, F.col(total) * 8 / BLOCK_BYTES)).cast("int")
+
     leaves = found.where("leaf is not null").select("leaf", F.col("a").alias("rep"), "n")
     placed = leaves.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
-    mixed = placed.groupBy("leaf").agg(blocks.alias("blocks"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("leaf", "blocks")
-    rows = cut(placed.join(mixed, "leaf").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
-    wanted = rows.select("rep").distinct()
-    if wanted.count() <= FEW:
-        wanted = F.broadcast(wanted)
+    parts = placed.groupBy("leaf", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
+    largest = F.struct("m", "component", "t")
+    mixed = parts.groupBy("leaf").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"), F.sum("t").alias("t"), F.max(largest).alias("main")).where("parts > 1")
+    mixed = mixed.withColumn("sm", F.col("m") - F.col("main.m")).withColumn("st", F.col("t") - F.col("main.t"))
+    mixed = mixed.select("leaf", F.col("main.component").alias("main"), blocks("m", "t").alias("homes"), blocks("sm", "st").alias("guests"))
+    rows = cut(placed.join(mixed, "leaf").withColumn("stray", F.col("component") != F.col("main")))
+    wanted = few(rows.select("rep").distinct())
     known = classes.join(wanted, "rep", "left_semi").select("rep", F.col("n_shingles").alias("n"), "sketch", F.transform("paths", lambda p: p[f"k{len(DEPTHS) - 1}"]).alias("leaves"))
     sets = full_sets(docs, wanted.withColumnRenamed("rep", "doc_id"), size).select(F.col("doc_id").alias("rep"), "shingles").withColumn("n", (F.octet_length("shingles") / 8).cast("long"))
     dealt = rows.join(known, ["rep", "n"]).where(F.array_contains("leaves", F.col("leaf"))).join(sets, ["rep", "n"])
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    return dealt.groupBy("leaf", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+    own = lambda count, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(count)).cast("int")
+    at_home = dealt.withColumn("guest", F.lit(False)).withColumn("home", own("homes", 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("guests") - 1)))
+    visiting = dealt.where("stray").withColumn("guest", F.lit(True)).withColumn("block", own("guests", 2)).withColumn("home", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)))
+    return at_home.unionByName(visiting.select(*at_home.columns)).groupBy("leaf", "home", "block").applyInArrow(compare, "a long, b long").distinct()
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -278,6 +289,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int = SIZE, percent: int =
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept."""
+    if not isinstance(docs.schema[id].dataType, T.IntegralType):
+        return _with_other_ids(docs, size, text, id)
     source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     identified = described(source, size, paths=True).where("doc_id is not null")
     classes = cut(identified.groupBy(*_PRINTS).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")))
@@ -290,3 +303,12 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, text: str = "text", id: s
     joined = members.where("n_shingles > 0 and doc_id is not null").join(named, _PRINTS).select("doc_id", "n_shingles", "component_id")
     alone = members.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return joined.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _with_other_ids(docs: DataFrame, size: int, text: str, id: str) -> DataFrame:
+    """The same for ids of another type, which are known by a 64-bit hash on the way."""
+    keyed = docs.select(F.col(id).alias("name"), F.when(F.col(id).isNotNull(), F.xxhash64(id)).alias("doc_id"), F.col(text).alias("text"))
+    found = near_duplicates(keyed, size).drop("kept").join(keyed.where("doc_id is not null").select("doc_id", "name").distinct(), "doc_id", "left")
+    least = found.groupBy("component_id").agg(F.min("name").alias("least"))
+    named = found.join(least, "component_id", "left").select(F.col("name").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
+    return named.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
