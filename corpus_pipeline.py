@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logveil.llm import bpe, decontaminate, langid, lines, neardup
-from logveil.llm.exchange import ensure_checkpoint_dir, few
+from logveil.llm.exchange import cut, ensure_checkpoint_dir, few
 
 #: A text whose best language explains less than this share of its n-grams is rejected.
 LEAST_SCORE = 0.1
@@ -42,7 +42,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    copies = cut(neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct())
     return docs.join(few(copies), "doc_id", "left_anti").select(*docs.columns)
 
 

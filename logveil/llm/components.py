@@ -5,36 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logveil.llm.exchange import cut
+from logveil.llm.exchange import cut, few
 
 
 def components(links: DataFrame) -> DataFrame:
     """Links (a, b) of longs to (node, component): the smallest node that can be reached.
 
-    In each round every node points to the neighbour (or itself) of the lowest rank, a hash
-    that changes with the round, and links are carried over to what their ends point to.
-    About a quarter of the nodes or more goes in a round, so links shrink and the rounds
-    grow with the logarithm of the nodes, in chains and stars alike.  Ranks are compared
-    with map-side aggregation, and a hub of very many links is a join key that Spark can
-    split.  An empty link table gives an empty result.
+    In each round every node points to the neighbour (or itself) of the lowest rank, and
+    links are carried over to what their ends point to.  Ranks are the nodes themselves in
+    even rounds, which joins groups around their smallest node at once, and a hash in odd
+    ones, after which about a quarter of the nodes or more is gone, in chains too; so the
+    rounds grow with the logarithm of the nodes.  Ranks are compared with map-side
+    aggregation, and a hub of very many links is a join key that Spark can split.  Up to
+    `exchange.FEW` pointers are broadcast.  An empty link table gives an empty result.
     """
     edges = cut(_undirected(links))
     rounds: list[DataFrame] = []
     while not edges.isEmpty():
-        rank = F.xxhash64(F.lit(len(rounds)), "b")
-        ends = edges.select("a", "b").union(edges.select("b", "a")).union(edges.select("a", "a")).union(edges.select("b", "b"))
+        rank = F.xxhash64(F.lit(len(rounds)), "b") if len(rounds) % 2 else F.col("b")
+        ends = edges.select(F.explode(F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x in "ab" for y in "ab"))).alias("e")).select("e.*")
         points = cut(ends.groupBy("a").agg(F.min(F.struct(rank.alias("rank"), "b")).alias("to")).select(F.col("a").alias("node"), F.col("to.b").alias("at")))
-        rounds.append(points)
-        left = edges.join(points.toDF("a", "x"), "a")
-        edges = cut(_undirected(left.join(points.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))))
+        rounds.append(few(points))
+        carried = edges.join(rounds[-1].toDF("a", "x"), "a").join(rounds[-1].toDF("b", "y"), "b")
+        edges = cut(_undirected(carried.select(F.col("x").alias("a"), F.col("y").alias("b"))))
     if not rounds:
         return edges.toDF("node", "component")
-    found = rounds[-1]
-    for earlier in reversed(rounds[:-1]):
-        further = found.toDF("at", "end")
-        found = earlier.join(further, "at", "left").select("node", F.coalesce("end", "at").alias("at"))
+    found = rounds[0]
+    for later in rounds[1:]:
+        found = found.join(later.toDF("at", "end"), "at", "left").select("node", F.coalesce("end", "at").alias("at"))
     found = cut(found)
-    return found.join(found.groupBy("at").agg(F.min("node").alias("component")), "at").select("node", "component")
+    least = cut(found.groupBy("at").agg(F.min("node").alias("component")))
+    return cut(found.join(few(least), "at").select("node", "component"))
 
 
 def _undirected(links: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: Text bytes of a chunk.
 CHUNK_BYTES = 8 << 20
-#: Ids of 8 bytes that a broadcast may hold.
+#: Rows of a few numbers that a broadcast may hold.
 FEW = 1 << 20
 
 
@@ -38,10 +38,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def few(ids: DataFrame) -> DataFrame:
-    """Ids to join with, broadcast if there are `FEW` at most."""
-    ids = cut(ids)
-    return F.broadcast(ids) if ids.count() <= FEW else ids
+def few(rows: DataFrame) -> DataFrame:
+    """Short rows to join with (checkpointed or cheap to count), broadcast if there are `FEW` at most."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
 
 
 class Extent(NamedTuple):

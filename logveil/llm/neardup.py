@@ -59,8 +59,8 @@ ALIKE = 45
 SIZE = 5
 PERCENT = 80
 #: Classes and bytes of sets that make up one block of a large leaf, about.
-BLOCK_CLASSES = 512
-BLOCK_BYTES = 4 << 20
+BLOCK_CLASSES = 2048
+BLOCK_BYTES = 12 << 20
 _BLOCK = 1 << 15
 
 
@@ -203,7 +203,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                         own.append(sets[a:b].tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(own, pa.binary())], names=["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").join(few(wanted), "doc_id", "left_semi").mapInArrow(collect, "doc_id long, shingles binary")
+    return docs.select("doc_id", "text").join(few(cut(wanted)), "doc_id", "left_semi").mapInArrow(collect, "doc_id long, shingles binary")
 
 
 def leaf_links(found: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -247,14 +247,14 @@ def leaf_links(found: DataFrame, labels: DataFrame, classes: DataFrame, docs: Da
         return F.ceil(F.greatest(F.col(members) / BLOCK_CLASSES, F.col(total) * 8 / BLOCK_BYTES)).cast("int")
 
     leaves = found.where("leaf is not null").select("leaf", F.col("a").alias("rep"), "n")
-    placed = leaves.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = leaves.join(few(labels).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     parts = placed.groupBy("leaf", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
     largest = F.struct("m", "component", "t")
     mixed = parts.groupBy("leaf").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"), F.sum("t").alias("t"), F.max(largest).alias("main")).where("parts > 1")
     mixed = mixed.withColumn("sm", F.col("m") - F.col("main.m")).withColumn("st", F.col("t") - F.col("main.t"))
-    mixed = mixed.select("leaf", F.col("main.component").alias("main"), blocks("m", "t").alias("homes"), blocks("sm", "st").alias("guests"))
+    mixed = few(cut(mixed.select("leaf", F.col("main.component").alias("main"), blocks("m", "t").alias("homes"), blocks("sm", "st").alias("guests"))))
     rows = cut(placed.join(mixed, "leaf").withColumn("stray", F.col("component") != F.col("main")))
-    wanted = few(rows.select("rep").distinct())
+    wanted = few(cut(rows.select("rep").distinct()))
     known = classes.join(wanted, "rep", "left_semi").select("rep", F.col("n_shingles").alias("n"), "sketch", F.transform("paths", lambda p: p[f"k{len(DEPTHS) - 1}"]).alias("leaves"))
     sets = full_sets(docs, wanted.withColumnRenamed("rep", "doc_id"), size).select(F.col("doc_id").alias("rep"), "shingles").withColumn("n", (F.octet_length("shingles") / 8).cast("long"))
     dealt = rows.join(known, ["rep", "n"]).where(F.array_contains("leaves", F.col("leaf"))).join(sets, ["rep", "n"])
@@ -296,8 +296,8 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, text: str = "text", id: s
     classes = cut(identified.groupBy(*_PRINTS).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")))
     found = cut(candidates(classes))
     labels = components(confirm(with_leaders(found), source, size))
-    late = components(leaf_links(found, labels, classes, source, size)).toDF("joined", "least")
-    named = classes.join(labels, classes["rep"] == labels["node"], "left").withColumn("joined", F.coalesce("component", "rep"))
+    late = few(components(leaf_links(found, labels, classes, source, size))).toDF("joined", "least")
+    named = classes.join(few(labels), classes["rep"] == labels["node"], "left").withColumn("joined", F.coalesce("component", "rep"))
     named = named.join(late, "joined", "left").select(*_PRINTS, F.coalesce("least", "joined").alias("component_id"))
     members = described(source, size, paths=False)
     joined = members.where("n_shingles > 0 and doc_id is not null").join(named, _PRINTS).select("doc_id", "n_shingles", "component_id")
