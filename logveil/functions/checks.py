@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,6 +109,11 @@ def guid_is_nil(value: Column) -> Column:
 PSEUDONYM = r"\[[A-Z][A-Z0-9_:]*_[0-9a-f]+(?:_\d+)?\]"
 
 
+def own_pseudonym(tags: list[str], hash_len: int) -> str:
+    """The pattern of pseudonyms with one of these tags and a hash part of this length."""
+    return rf"\[(?:{'|'.join(re.escape(t) for t in sorted(tags))})_[0-9a-f]{{{hash_len}}}(?:_\d+)?\]"
+
+
 def holds_pseudonym(value: Column) -> Column:
     return value.rlike(PSEUDONYM)
 

@@ -12,6 +12,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: A noncharacter, which texts do not hold as a rule.
+_MARK = "\uffff"
+
+
 def unicode(pattern: str) -> str:
     return pattern if pattern.startswith("(?U") else f"(?U){pattern}"
 
@@ -34,8 +38,12 @@ def extract_all(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def gaps(text: Column, pattern: str) -> Column:
-    """What stands between the matches: one more than there are matches."""
-    return F.split(text, unicode(pattern), -1)
+    """What stands between the matches: one more than there are matches.
+
+    Replacing keeps its compiled pattern and splitting does not, so matches give way to a character first, where a text has none of it.
+    """
+    marked = F.split(F.regexp_replace(text, unicode(pattern), _MARK), _MARK, -1)
+    return F.when(text.contains(_MARK), F.split(text, unicode(pattern), -1)).otherwise(marked)
 
 
 def interleave(between: Column, out: Column) -> Column:

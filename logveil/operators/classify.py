@@ -22,7 +22,8 @@ def classified(value: Column, options: Options, default: Column | str = "VALUE")
     default = F.lit(default) if isinstance(default, str) else default
 
     def first(bare: Column) -> Column:
-        out: Column | None = None
+        # no format is a short word of letters, digits and underscores
+        out: Column | None = F.when(bare.rlike(r"\A[A-Za-z0-9_]{0,8}\z"), F.lit(None).cast("string"))
         for tag in CLASS_ORDER:
             match, check = full_match(bare, by_tag[tag].pattern), by_tag[tag].check
             if check is not None and tag not in ("SID", "UUID", "IP_NET"):

@@ -9,18 +9,22 @@ from logveil.functions import checks
 from logveil.functions.lists import FAMILIES, RESIDUAL_PATH_WORDS, RISK, RISK_OTHER, STRUCTURAL
 from logveil.functions.regex import extract_all, gaps, starts
 from logveil.plans.options import Options
-from logveil.plans.rules import RESIDUAL, Rule, rules
+from logveil.plans.rules import RESIDUAL, Rule, pseudonyms, rules
 
 FINDING = "struct<tag:string,value:string,start:int,end:int>"
 
 
-def rule_findings(text: Column, rule: Rule, options: Options) -> Column:
-    """Matches of one rule that pass its check, as an array of (tag, value, start, end)."""
-    whole = extract_all(text, rule.pattern)
-    rows = F.arrays_zip(whole.alias("v"), starts(gaps(text, rule.pattern), whole).alias("at"))
+def rule_findings(text: Column, rule: Rule, options: Options, masked: bool = False) -> Column:
+    """Matches of one rule that pass its check, as an array of (tag, value, start, end); of masked text, those outside pseudonyms."""
+    hidden = pseudonyms(options) if masked else ""
+    pattern = f"(?U){hidden}|{rule.pattern}" if masked else rule.pattern
+    whole = extract_all(text, pattern)
+    rows = F.arrays_zip(whole.alias("v"), starts(gaps(text, pattern), whole).alias("at"))
     found = F.transform(rows, lambda r: F.struct(F.lit(rule.tag).alias("tag"), r["v"].alias("value"), r["at"].cast("int").alias("start"), (r["at"] + F.length(r["v"])).cast("int").alias("end")))
     good = lambda f: ~checks.is_allowed(f["value"], options.allowlist) & (F.lit(True) if rule.check is None or rule.tag == "IP_NET" else rule.check(f["value"], text, f["start"], f["end"]))
-    return F.when(text.rlike(rule.regex()), F.filter(found, good)).otherwise(F.array().cast(f"array<{FINDING}>"))
+    if masked:
+        found = F.filter(found, lambda f: ~f["value"].rlike(rf"\A{hidden}\z"))
+    return F.when(rule.may_match(text), F.filter(found, good)).otherwise(F.array().cast(f"array<{FINDING}>"))
 
 
 def family_of(tag: Column) -> Column:
@@ -71,7 +75,7 @@ def residual(text: Column, options: Options) -> Column:
     patterns = RESIDUAL | {"PAN": rf"(?<!\d)\d{{{max(12, options.min_digit_run)},19}}(?!\d)"}
     def of_kind(kind: str, pattern: str) -> Column:
         good = (lambda v: kept(v) & tests[kind](v)) if kind in tests else kept
-        return F.transform(F.filter(extract_all(text, pattern), good), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("sample")))
+        return F.transform(F.filter(extract_all(text, f"(?U){pseudonyms(options)}|{pattern}"), good), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("sample")))
 
     arrays = [of_kind(kind, pattern) for kind, pattern in patterns.items()]
     return F.array_distinct(F.concat(*arrays))
@@ -89,7 +93,7 @@ def issues(text: Column, options: Options) -> Column:
     for rule in rules(options):
         if rule.tag in STRUCTURAL or rule.tag.startswith("CUSTOM:"):
             continue
-        left = F.filter(rule_findings(text, rule, options), lambda f: ~f["value"].rlike(r"\[[A-Z][A-Za-z0-9_:]+\]"))
+        left = F.filter(rule_findings(text, rule, options, masked=True), lambda f: ~f["value"].rlike(r"\[[A-Z][A-Za-z0-9_:]+\]"))
         if rule.tag == "IP_NET":
             continue
         out.append(F.when(F.size(left) > 0, rule.tag))

@@ -1,4 +1,4 @@
-"""Masking of structured documents: typed columns, flattened documents and documents of no schema."""
+"""Masking of structured documents: typed columns, flattened documents and text of any shape."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logveil.operators.classify import classified
-from logveil.operators.mask import mask_nested, mask_text, masked_value
+from logveil.operators.mask import mask_nested, mask_text, masked_value, settled
 from logveil.plans.options import ContextRule, Options
 
 
@@ -125,7 +125,8 @@ def _by_run_time_key(key: Column, value: Column, above: list[str], options: Opti
 def flatten(df: DataFrame, column: str, id: str) -> DataFrame:
     """Documents in a JSON text column to (id, path, key, leaf) rows; invalid documents give none.
 
-    A level of all documents is exploded at a time, until no document has a deeper one.
+    A level of all documents is exploded at a time, until no document has a deeper one.  Keys with a
+    dot, bracket, quote or backslash are quoted in the path: $['a.b'].
     """
     level = df.select(id, F.lit("$").alias("path"), F.lit("").alias("key"), F.try_parse_json(column).alias("v")).where("v is not null")
     found: list[DataFrame] = []
@@ -139,7 +140,9 @@ def flatten(df: DataFrame, column: str, id: str) -> DataFrame:
         deeper.createOrReplaceTempView("__logveil_level")
         sql = f"select t.`{id}`, t.path, t.key as above, e.pos, e.key as k, e.value as v from __logveil_level t, lateral variant_explode(t.v) e"
         rows = df.sparkSession.sql(sql)
-        step = F.when(F.col("k").isNotNull(), F.concat(F.lit("."), F.col("k"))).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        quoted = F.concat(F.lit("['"), F.replace(F.replace("k", F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("']"))
+        named = F.when(F.col("k").rlike(r"^[^.\[\]'\\]+$"), F.concat(F.lit("."), F.col("k"))).otherwise(quoted)
+        step = F.when(F.col("k").isNotNull(), named).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
         level = rows.select(id, F.concat("path", step).alias("path"), F.coalesce("k", "above").alias("key"), "v")
     out = found[0]
     for more in found[1:]:
@@ -155,44 +158,147 @@ def with_hints(flat: DataFrame, options: Options) -> DataFrame:
     return flat.join(F.broadcast(table), name == F.col("__key"), "left").drop("__key")
 
 
-def mask_schemaless(df: DataFrame, options: Options, column: str, id: str) -> DataFrame:
-    """Masks JSON text of any shape: leaves are flattened, masked as columns, and put back in place.
+def mask_any(df: DataFrame, options: Options, column: str = "text") -> DataFrame:
+    """Masks text of any shape in place: a JSON document, JSON Lines, or free text.
 
-    Leaves under sensitive keys are masked as values, all others as free text.  Documents that are
-    not valid JSON are masked as free text.  Layout: one line stays one line, others are indented.
+    Strings under context rules and sensitive keys are masked as values, all others as free text; lines
+    of JSON Lines that are no JSON are free text too.  Numbers keep their spelling.  A document of one
+    line stays one line, others are indented.  Documents are taken apart and put together by two Arrow
+    functions within the row; masking itself is a projection, and nothing is shuffled or joined.
+    Of keys that occur twice in an object the last counts.  Null stays null.
     """
-    keyed = df.withColumn("__doc", F.xxhash64(column))
-    strings = flatten(keyed.where(F.try_parse_json(column).isNotNull()).select("__doc", column).dropDuplicates(["__doc"]), column, "__doc")
-    leaves = with_hints(strings.where("leaf is not null"), options)
-    full = F.lower(F.regexp_replace(F.regexp_replace("path", r"\[\d+\]", ""), "[^0-9A-Za-z]+", ""))
-    sensitive = {"".join(plain_key(p) for p in k.split(".")): key_tag([k], options) for k in options.sensitive_keys}
-    by_path = F.create_map(*(F.lit(x) for pair in sorted(sensitive.items()) for x in pair))
-    hint = F.when(~F.col("path").rlike(r"\]$"), F.coalesce("hint", by_path[full]))
-    as_value = masked_value(F.col("leaf"), classified(F.col("leaf"), options, F.coalesce(hint, F.lit("SENSITIVE"))), options)["out"]
-    named = leaves.where(hint.isNotNull() & (F.col("leaf") != "")).select("__doc", "path", as_value.alias("new"))
-    prose = mask_text(leaves.where(hint.isNull()), options, "leaf").select("__doc", "path", F.col("leaf").alias("new"))
-    changed = named.unionByName(prose).groupBy("__doc").agg(F.map_from_entries(F.collect_list(F.struct("path", "new"))).alias("__new"))
-    joined = mask_text(keyed, options, column, out="__text").join(changed, "__doc", "left")
-    return joined.withColumn(column, _put_back(F.col(column), F.col("__new"), F.col("__text"))).select(*df.columns)
+    taken = df.withColumn("__parts", _take_apart(options)(F.col(column)))
+    taken = taken.withColumn("__free", F.transform("__parts", lambda p: F.when(p["kind"] == _FREE, p["value"])))
+    masked = mask_nested(taken, options, "__free", 1)
+    chosen = [r for r in options.context_rules if r.enabled]
+
+    def new(part: Column, i: Column) -> Column:
+        value = part["value"]
+        out = F.when(part["kind"] == _SENSITIVE, masked_value(value, classified(value, options, part["tag"]), options)["out"])
+        for k, rule in enumerate(chosen):
+            out = out.when(part["kind"] == _RULE + k, masked_value(value, rule.tag.upper(), options, rule.strategy)["out"])
+        return out.otherwise(F.get("__free", i))
+
+    values = settled(masked.withColumn("__new", F.transform("__parts", new)), "__new")
+    return values.withColumn(column, _put_together(column, "__new")).select(*df.columns)
+
+
+def mask_schemaless(df: DataFrame, options: Options, column: str, id: str | None = None) -> DataFrame:
+    """The same as mask_any; documents need no id."""
+    return mask_any(df, options, column)
+
+
+#: Kinds of strings: free text, under a sensitive key, and (from this number on) under a context rule.
+_FREE, _SENSITIVE, _RULE = 0, 1, 2
+_PART = T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("tag", T.StringType()), T.StructField("value", T.StringType())]))
+
+
+class _Raw(str):
+    """A number or constant as it is written."""
+
+
+def _parsed(text: str):
+    """The JSON document that a text is, or None."""
+    body = text.strip()
+    if body[:1] + body[-1:] not in ("{}", "[]"):
+        return None
+    try:
+        return json.loads(body, parse_float=_Raw, parse_int=_Raw, parse_constant=_Raw)
+    except (ValueError, RecursionError):
+        return None
+
+
+def _pieces(text: str) -> list[tuple[str, object]]:
+    """A text as (piece, JSON value or None): one for a document or free text, one for each line of JSON Lines.
+
+    Objects that fill a line of other text are documents too; the lines between them stay together.
+    """
+    value = _parsed(text)
+    if value is not None:
+        return [(text, value)]
+    lines = text.splitlines()
+    full = [x for x in lines if x.strip()]
+    if len(full) > 1 and all(x.lstrip()[0] in "{[" for x in full):
+        return [(x, _parsed(x)) for x in lines]
+    out: list[tuple[str, object]] = []
+    for line in text.split("\n") if "\n" in text and "{" in text else [text]:
+        value = _parsed(line) if line.lstrip()[:1] == "{" else None
+        if value is None and out and out[-1][1] is None:
+            out[-1] = (f"{out[-1][0]}\n{line}", None)
+        else:
+            out.append((line, value))
+    return out
+
+
+def _strings(value, keys: tuple[str, ...], in_array: bool) -> Iterator[tuple[tuple[str, ...] | None, str]]:
+    """Strings of a document in order, each with its keys (None in an array)."""
+    if isinstance(value, dict):
+        for key, inner in value.items():
+            yield from _strings(inner, (*keys, key), False)
+    elif isinstance(value, list):
+        for inner in value:
+            yield from _strings(inner, keys, True)
+    elif isinstance(value, str) and not isinstance(value, _Raw):
+        yield (None if in_array else keys), value
+
+
+def _take_apart(options: Options):
+    known: dict[tuple[str, ...], tuple[int, str | None]] = {}
+    chosen = [r for r in options.context_rules if r.enabled]
+
+    def kind(keys: tuple[str, ...] | None) -> tuple[int, str | None]:
+        if not keys:
+            return _FREE, None
+        if keys not in known:
+            if len(known) > 100_000:
+                known.clear()
+            rule, tag = context_rule(list(keys), options), key_tag(["", *keys], options)
+            known[keys] = (_RULE + chosen.index(rule), None) if rule is not None else (_SENSITIVE, tag) if tag is not None else (_FREE, None)
+        return known[keys]
+
+    @F.pandas_udf(_PART)
+    def take(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            parts: list[dict] | None = None if text is None else []
+            for piece, value in _pieces(text) if text is not None else ():
+                for keys, string in [(None, piece)] if value is None else _strings(value, (), False):
+                    number, tag = kind(keys) if string else (_FREE, None)
+                    parts.append({"kind": number, "tag": tag, "value": string})
+            out.append(parts)
+        return pd.Series(out, dtype=object)
+
+    return take
 
 
 @F.pandas_udf(T.StringType())
-def _put_back(documents: pd.Series, new: pd.Series, text: pd.Series) -> pd.Series:
-    def fill(value, path: str, leaves: dict):
+def _put_together(documents: pd.Series, new: pd.Series) -> pd.Series:
+    def fill(value, strings: Iterator[str]):
         if isinstance(value, dict):
-            return {k: fill(v, f"{path}.{k}", leaves) for k, v in value.items()}
+            return {k: fill(v, strings) for k, v in value.items()}
         if isinstance(value, list):
-            return [fill(v, f"{path}[{i}]", leaves) for i, v in enumerate(value)]
-        return leaves.get(path, value) if isinstance(value, str) else value
-
-    def rows() -> Iterator[str | None]:
-        for document, leaves, masked in zip(documents, new, text, strict=True):
-            try:
-                value = json.loads(document)
-            except (TypeError, ValueError):
-                yield masked
-                continue
-            filled = fill(value, "$", dict(leaves) if leaves is not None else {})
-            yield json.dumps(filled, ensure_ascii=False, indent=2 if "\n" in document.strip() else None)
-
-    return pd.Series(list(rows()), dtype=object)
+            return [fill(v, strings) for v in value]
+        return next(strings) if isinstance(value, str) and not isinstance(value, _Raw) else value
+
+    def written(value, pad: str | None, level: int = 1) -> str:
+        if isinstance(value, _Raw):
+            return str(value)
+        if not isinstance(value, dict | list) or not value:
+            return json.dumps(value, ensure_ascii=False)
+        inner = [f"{json.dumps(k, ensure_ascii=False)}: {written(v, pad, level + 1)}" for k, v in value.items()] if isinstance(value, dict) else [written(v, pad, level + 1) for v in value]
+        opening, closing = "{}" if isinstance(value, dict) else "[]"
+        if pad is None:
+            return f"{opening}{', '.join(inner)}{closing}"
+        return f"{opening}\n{pad * level}" + f",\n{pad * level}".join(inner) + f"\n{pad * (level - 1)}{closing}"
+
+    out = []
+    for text, values in zip(documents, new, strict=True):
+        if text is None:
+            out.append(None)
+            continue
+        strings = iter(values)
+        pieces = []
+        for piece, value in _pieces(text):
+            pieces.append(next(strings) if value is None else written(fill(value, strings), "  " if "\n" in piece.strip() else None))
+        out.append("\n".join(pieces))
+    return pd.Series(out, dtype=object)

@@ -15,7 +15,7 @@ from logveil.functions.hashing import normalized, pseudonym
 from logveil.functions.regex import bind, extract_all, gaps, interleave, starts
 from logveil.operators.classify import classified
 from logveil.plans.options import Options
-from logveil.plans.rules import RFC5424_HOST, Rule, rules
+from logveil.plans.rules import RFC5424_HOST, Rule, pseudonyms, rules
 
 REPLACEMENT = "struct<tag:string,original:string,normalized:string,pseudonym:string,reversible:boolean>"
 
@@ -72,8 +72,9 @@ def masked_value(value: Column, tag: Column | str, options: Options, strategy: s
 
 
 def _rule_step(state: Column, rule: Rule, options: Options) -> Column:
-    """A state (text, found) after one rule."""
-    text, pattern = state["text"], rule.pattern
+    """A state (text, found) after one rule.  Pseudonyms match first and stay, so no rule looks into one."""
+    text, hidden = state["text"], pseudonyms(options)
+    pattern = f"(?U){hidden}|{rule.pattern}"
     whole = extract_all(text, pattern)
     between = gaps(text, pattern)
     fields = [whole.alias("m")]
@@ -105,7 +106,7 @@ def _rule_step(state: Column, rule: Rule, options: Options) -> Column:
         masked = masked_value(value, tag, options, rule.strategy, rule.canonical)
         if rule.value != (0,):
             masked = bind(masked, lambda x: F.struct(F.concat(head, x["out"], tail).alias("out"), x["replacement"].alias("replacement")))
-        good = value != ""
+        good = (value != "") & ~(row["m"].startswith("[") & row["m"].rlike(rf"\A{hidden}\z"))
         if rule.check is not None:
             at = row["at"] if rule.tag == "HASH" else F.lit(0)
             good = good & rule.check(value, text, at, at + F.length(value))
@@ -117,7 +118,7 @@ def _rule_step(state: Column, rule: Rule, options: Options) -> Column:
         rows = F.filter(F.transform(parts, lambda p: p["replacement"]), lambda r: r.isNotNull())
         return F.struct(interleave(between, F.transform(parts, lambda p: p["out"])).alias("text"), F.concat(state["found"], rows).alias("found"))
 
-    return F.when(text.rlike(rule.regex()), bind(F.transform(rows, replaced), put_together)).otherwise(state)
+    return F.when(rule.may_match(text), bind(F.transform(rows, replaced), put_together)).otherwise(state)
 
 
 _HOST = Rule("RFC5424", RFC5424_HOST, value=(2,))

@@ -86,6 +86,13 @@ def doc_kind(text: Column) -> Column:
     return F.when(text.isNull() | (bare == ""), "empty").when(many & whole, "ndjson").when(shaped & F.try_parse_json(bare).isNotNull(), "json").when(many, "ndjson").otherwise("text")
 
 
+def ndjson_lines(df: DataFrame, column: str = "text") -> DataFrame:
+    """One row per non-empty line of JSON Lines: line_no, line, kind (json, or text where a line is no document)."""
+    rows = numbered_lines(df, column).where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "")
+    bare = F.regexp_replace("line", r"^\s+|\s+$", "")
+    return rows.withColumn("kind", F.when(bare.rlike(r"(?s)^(?:\{.*\}|\[.*\])$") & F.try_parse_json(bare).isNotNull(), "json").otherwise("text"))
+
+
 def decode_quality(text: Column) -> Column:
     """1 less the share of U+FFFD and control characters among the first 20 000."""
     head = F.substring(text, 1, 20000)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logveil.functions.regex import extract_all, gaps, starts
 from logveil.operators.detect import findings, issues, residual, risk, rule_findings, verify
+from logveil.operators.jsondocs import mask_any
 from logveil.operators.mapping import replacements
 from logveil.operators.mask import mask_text
 from logveil.plans.options import Options
-from logveil.plans.rules import rules
+from logveil.plans.rules import pseudonyms, rules
 
 
 def count_by(rows: DataFrame, *columns: str) -> DataFrame:
@@ -45,13 +47,22 @@ def results(df: DataFrame, options: Options, column: str = "text") -> DataFrame:
 
 
 def scan_lines(lines: DataFrame, options: Options, line: str = "line") -> DataFrame:
-    """Per line: replacements, unique values, counts by tag, issues of the masked line, and the changed spans.  No writer."""
+    """Per line: replacements, unique values, counts by tag, issues of the masked line, and the spans of pseudonyms in it.  No writer."""
     masked = mask_text(lines, options, line, out="masked", replacements="found")
     unique = F.size(F.array_distinct(F.transform("found", lambda r: F.struct(r["tag"], r["normalized"]))))
-    out = masked.withColumn("replacements", F.size("found")).withColumn("unique_values", unique).withColumn("stats_by_type", _stats(F.col("found"))).withColumn("changed", ~F.col(line).eqNullSafe(F.col("masked")))
+    out = masked.withColumn("replacements", F.size("found")).withColumn("unique_values", unique).withColumn("stats_by_type", _stats(F.col("found"))).withColumn("changed", ~F.col(line).eqNullSafe(F.col("masked"))).withColumn("spans", pseudonym_spans(F.col("masked"), options))
     return verify(out, options, "masked")
 
 
+def pseudonym_spans(text: Column, options: Options) -> Column:
+    """Where pseudonyms stand in masked text, as an array of (start, end)."""
+    pattern = pseudonyms(options)
+    found = extract_all(text, pattern)
+    places = F.arrays_zip(starts(gaps(text, pattern), found).alias("at"), found.alias("v"))
+    spans = F.transform(places, lambda p: F.struct(p["at"].cast("int").alias("start"), (p["at"] + F.length(p["v"])).cast("int").alias("end")))
+    return F.when(text.contains("["), spans).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+
+
 def scan_files(lines: DataFrame, options: Options, by: str = "path", line: str = "line") -> DataFrame:
     """Per file: size, lines, changed lines, replacements, unique values, counts by tag, issues and safe."""
     rows = scan_lines(lines, options, line)
@@ -102,9 +113,9 @@ def audit(rows: DataFrame, action: str, source: str, org_name: str = "", exit_co
 def score_corpus(corpus: DataFrame, options: Options) -> DataFrame:
     """Labelled rows (id, input, must_keep[], must_not_contain[]) to one row: tp, fn, fp, recall, precision_proxy.
 
-    A forbidden token that is still there is a miss; a token to keep that is gone is a false positive.
+    Inputs of any shape are masked.  A forbidden token that is still there is a miss; a token to keep that is gone is a false positive.
     """
-    masked = mask_text(corpus.withColumn("__out", F.col("input")), options, "__out")
+    masked = mask_any(corpus.withColumn("__out", F.col("input")), options, "__out")
     missed = F.size(F.filter("must_not_contain", lambda t: F.col("__out").contains(t)))
     lost = F.size(F.filter("must_keep", lambda t: ~F.col("__out").contains(t)))
     counted = masked.agg(F.sum(F.size("must_not_contain") - missed).alias("tp"), F.sum(missed).alias("fn"), F.sum(lost).alias("fp"))

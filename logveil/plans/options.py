@@ -10,7 +10,7 @@ from logveil.functions.hashing import Key
 
 @dataclass(frozen=True)
 class CustomRule:
-    """A rule of the user's own; `pattern` is a Java regular expression."""
+    """A rule of the user's own; `pattern` is a Java regular expression.  Without a name it goes by its type."""
 
     name: str
     pattern: str
@@ -19,6 +19,10 @@ class CustomRule:
     priority: int = 0
     enabled: bool = True
 
+    @property
+    def tag(self) -> str:
+        return f"CUSTOM:{(self.name or self.type or 'CUSTOM').upper()}"
+
 
 @dataclass(frozen=True)
 class ContextRule:

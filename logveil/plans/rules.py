@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logveil.functions import checks
-from logveil.functions.lists import CEF_USER_FIELDS
+from logveil.functions.lists import CASE_SENSITIVE, CEF_USER_FIELDS, CLASS_ORDER
 from logveil.functions.regex import alternatives, unicode
 from logveil.plans.options import Options
 
@@ -51,6 +51,25 @@ IP = rf"{IPV4}|(?<![0-9a-fA-F:.])(?:[0-9a-fA-F]{{0,4}}:){{2,7}}[0-9a-fA-F]{{0,4}
 #: Words before a field name that make it prose.
 NOT_A_FIELD = ["invalid ", "wrong ", "bad ", "incorrect "]
 RFC5424_HOST = r"(?m)^(<\d+>\d+\s+\S+\s+)(\S+)(?=\s+.*$)"
+def key_value(fields: tuple[str, ...], longest: int) -> str:
+    """name=value or name: value, quoted or not; prose about a field is none."""
+    guard = "".join(f"(?<!{w})" for w in NOT_A_FIELD)
+    n = f"{{1,{longest}}}"
+    return rf"""(?i){guard}(\b(?:{alternatives(list(fields))})\b\s*[:=]\s*)(?:"([^"]{n})"|'([^']{n})'|([^\s,;()\[\]{{}}`'"]{n}))"""
+
+
+def cef_value(fields: tuple[str, ...], longest: int) -> str:
+    return rf"(?i)(\b(?:{alternatives(list(fields))})=[\"']?)([^\s,;()\[\]{{}}\"']{{1,{longest}}})"
+
+
+def phone(prefixes: tuple[str, ...]) -> str:
+    return rf"(?:{alternatives(list(prefixes))})(?:[\s()./\-]*\d){{7,12}}\b"
+
+
+def fqdn(tlds: tuple[str, ...]) -> str:
+    return rf"(?i)\b(?:[a-zA-Z0-9\-]+\.)+(?:{alternatives(list(tlds))})\b"
+
+
 # ---- fixed values: rules that look for leftovers in masked text ----
 RESIDUAL = {
     "EMAIL": EMAIL,
@@ -64,6 +83,34 @@ RESIDUAL = {
 }
 # ---- end of fixed values ----
 
+#: Strings of which every match of a rule holds one.  Where case does not count they are in lower case and free of i, k and s, which other characters fold to.
+HINTS: dict[str, tuple[str, ...]] = {
+    "JWT": ("eyJ",),
+    "URL": ("://",),
+    "TOKEN": ("gh", "hub_pat_", "xox", "ya29.", "eyj"),
+    "CLOUD_SECRET": ("acce", "torage", "google", "ontoken", "account", "ecret", "_token"),
+    "SSH_KEY": ("-----BEGIN",),
+    "CONN_STR": ("://", "="),
+    "BASE64_CMD": ("-e",),
+    "CEF_KV": ("=",),
+    "SECRET": ("=", ":"),
+    "USER_FIELD": ("=", ":"),
+    "AUTH_USER": ("for", "nval", "'", '"'),
+    "AUTH_USER_SU_FROM": ("'",),
+    "AUTH_USER_CISCO": ("vty", "from", "fa", "ogged", "onnected", "uthent"),
+    "AUTH_USER_SUDO": ("udo:",),
+    "AUTH_USER_WIN": ("ccount",),
+    "USER_PATH": ("/home/", ":\\u", "/u"),
+    "SID": ("S-",),
+    "UUID": ("-",),
+    "EMAIL": ("@",),
+    "IBAN": ("by",),
+    "FQDN": (".",),
+    "USER": ("\\",),
+    "MAC": (":", "-", "."),
+    "IP": (".", ":"),
+}
+
 #: What a check sees of a match: (value, text, start, end).
 Check = Callable[[Column, Column, Column, Column], Column]
 
@@ -91,11 +138,16 @@ class Rule:
     def regex(self) -> str:
         return unicode(self.pattern)
 
-
-def _key_value(fields: tuple[str, ...], longest: int) -> str:
-    guard = "".join(f"(?<!{w})" for w in NOT_A_FIELD)
-    n = f"{{1,{longest}}}"
-    return rf"""(?i){guard}(\b(?:{alternatives(list(fields))})\b\s*[:=]\s*)(?:"([^"]{n})"|'([^']{n})'|([^\s,;()\[\]{{}}`'"]{n}))"""
+    def may_match(self, text: Column) -> Column:
+        """Whether the text can hold a match: a test for fixed strings, which is cheap, and then the pattern."""
+        words = HINTS.get(self.tag)
+        if words is None:
+            return text.rlike(self.regex())
+        body = F.lower(text) if any(c.isalpha() for w in words for c in w) and self.pattern.startswith("(?i)") else text
+        some = body.contains(words[0])
+        for word in words[1:]:
+            some = some | body.contains(word)
+        return some & text.rlike(self.regex())
 
 
 def organisation(options: Options) -> str | None:
@@ -120,7 +172,7 @@ def rules(options: Options) -> list[Rule]:
         plausible = checks.hash_is_plausible(value)
         return plausible & checks.hash_has_context(text, start, end) if options.hash_requires_context else plausible
 
-    found = [Rule(f"CUSTOM:{r.name.upper()}", r.pattern, forced=f"CUSTOM:{r.name.upper()}", strategy=r.strategy) for r in custom]
+    found = [Rule(r.tag, r.pattern, forced=r.tag, strategy=r.strategy) for r in custom]
     found += [
         simple("JWT", JWT),
         simple("URL", URL),
@@ -129,9 +181,9 @@ def rules(options: Options) -> list[Rule]:
         simple("SSH_KEY", SSH_KEY),
         simple("CONN_STR", CONN_STR),
         Rule("BASE64_CMD", B64_CMD, value=(2,), forced="B64_CMD"),
-        Rule("CEF_KV", rf"(?i)(\b(?:{alternatives(list(options.cef_fields))})=[\"']?)([^\s,;()\[\]{{}}\"']{{1,{n}}})", value=(2,), user_fields=options.cef_user_fields),
-        Rule("SECRET", _key_value(options.secret_fields, n), value=(2, 3, 4), default="SECRET"),
-        Rule("USER_FIELD", _key_value(options.user_fields, n), value=(2, 3, 4), default="USER"),
+        Rule("CEF_KV", cef_value(options.cef_fields, n), value=(2,), user_fields=options.cef_user_fields),
+        Rule("SECRET", key_value(options.secret_fields, n), value=(2, 3, 4), default="SECRET"),
+        Rule("USER_FIELD", key_value(options.user_fields, n), value=(2, 3, 4), default="USER"),
         user("AUTH_USER", AUTH_USER),
         user("AUTH_USER_SU_FROM", AUTH_SU_FROM),
         user("AUTH_USER_CISCO", AUTH_CISCO),
@@ -146,8 +198,8 @@ def rules(options: Options) -> list[Rule]:
         simple("UNP", UNP, only(checks.unp_is_valid)),
         simple("BY_ID", BY_ID, only(checks.personal_id_is_shaped)),
         simple("PAN", PAN, only(checks.pan_is_plausible)),
-        simple("PHONE", rf"(?:{alternatives(list(options.phone_prefixes))})(?:[\s()./\-]*\d){{7,12}}\b", only(checks.phone_is_plausible)),
-        simple("FQDN", rf"(?i)\b(?:[a-zA-Z0-9\-]+\.)+(?:{alternatives(list(options.fqdn_tlds))})\b", only(lambda v: checks.fqdn_is_plausible(v, options.fqdn_stop_words))),
+        simple("PHONE", phone(options.phone_prefixes), only(checks.phone_is_plausible)),
+        simple("FQDN", fqdn(options.fqdn_tlds), only(lambda v: checks.fqdn_is_plausible(v, options.fqdn_stop_words))),
         simple("USER", LOGIN, only(checks.login_is_plausible)),
         simple("MAC", MAC),
         # an address with a length or a port is masked as an address; the tag is for classified values
@@ -159,4 +211,11 @@ def rules(options: Options) -> list[Rule]:
     return found
 
 
+def pseudonyms(options: Options) -> str:
+    """The pattern of what masking writes, which no rule looks into."""
+    tags = {*CLASS_ORDER, *CASE_SENSITIVE, *options.key_hints.values(), "VALUE", "SENSITIVE", "ORG", "CARD"}
+    tags |= {rule.forced for rule in rules(options) if rule.forced} | {rule.tag.upper() for rule in options.context_rules}
+    return checks.own_pseudonym(sorted(tags), options.key.hash_len)
+
+
 assert set(CEF_USER_FIELDS) <= set(Options().cef_fields)
