@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logveil.llm.arrowcols import appended
-from logveil.llm.exchange import cut, partitions
+from logveil.llm.exchange import cut, partitions, small_batches
 from logveil.llm.textbytes import slices
 
 CHUNK = 1 << 15
@@ -105,6 +105,7 @@ def with_columns(df: DataFrame, new: dict[str, str]) -> str:
 
 
 def broadcast_vocabulary(spark: SparkSession, path: str | None):
+    small_batches(spark)
     return spark.sparkContext.broadcast(vocabulary_bytes(path or public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
@@ -125,7 +126,8 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, chunk:
     # equal rows have equal keys and equal ids
     keyed = docs.where(length > chunk).withColumn("__k1", F.xxhash64(text)).withColumn("__k2", F.xxhash64(F.lit(1), text))
     # the hash of the row deals copies of one text out
-    keyed = keyed.withColumn("__k3", F.xxhash64(*[c for c in docs.columns if docs.schema[c].dataType.simpleString() in ("bigint", "int", "string") and c != text]) if len(docs.columns) > 1 else F.lit(0).cast("long"))
+    others = [c for c in docs.columns if docs.schema[c].dataType.simpleString() in ("bigint", "int", "string") and c != text]
+    keyed = keyed.withColumn("__k3", F.xxhash64(F.lit(2), *others))
     ids = _encode_chunks(keyed.select("__k1", "__k2", "__k3", F.col(text).alias("text")), vocabulary, chunk, overlap)
     kept = [c for c in docs.columns if c not in new]
     long = keyed.join(ids, ["__k1", "__k2", "__k3"]).select(*kept, "token_ids", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"))

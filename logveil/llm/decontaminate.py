@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logveil.llm.arrowcols import SPANS, appended, per_doc, runs
-from logveil.llm.exchange import cut
+from logveil.llm.exchange import cut, small_batches
 from logveil.llm.textbytes import ALNUM, Words, column_bytes, covered, slices, split_words, windows
 
 WINDOW = 10
@@ -116,6 +116,7 @@ def _scan_block(docs: DataFrame, rows: list[tuple], text: str, merge: bool) -> D
 
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Adds n_words, n_hit, spans of hit words and item_ids (sorted) to the documents."""
+    small_batches(docs.sparkSession)
     found = item_windows(benchmark, size)
     total = found.agg(F.sum(F.octet_length("phrase") + F.octet_length("item_id") + 64)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))

@@ -12,11 +12,16 @@ import re
 import tempfile
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes of a chunk.
 CHUNK_BYTES = 8 << 20
+#: Chunks and ranges up to which both have their usual size; entries between them number the square of this.
+MOST_PIECES = 4096
+#: Texts of an Arrow batch.
+BATCH_ROWS = 1000
 #: Rows of a few numbers that a broadcast may hold.
 FEW = 1 << 20
 
@@ -55,7 +60,31 @@ def extent(docs: DataFrame, text: str = "text") -> Extent:
 
 
 def pieces(total_bytes: int, each: int = CHUNK_BYTES) -> int:
-    return max(1, -(-total_bytes // each))
+    """Chunks (or ranges) of a corpus.  Beyond `MOST_PIECES` they grow, and their number with the root of the corpus only."""
+    wanted = max(1, -(-total_bytes // each))
+    return wanted if wanted <= MOST_PIECES else int((wanted * MOST_PIECES) ** 0.5)
+
+
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order, and whether each occurs twice or more."""
+    ordered = np.sort(hashes)
+    new = np.ones(len(ordered), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    at = np.flatnonzero(new)
+    return ordered[at], np.diff(np.append(at, len(ordered))) > 1
+
+
+def bounds(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where each of 2 ** bits ranges of hashes begins and ends in ordered keys."""
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, np.uint64)
+    return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of at most `BATCH_ROWS` texts between the JVM and Python, whose buffers would else take most of an executor's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def chunk_of(*columns: str, chunks: int) -> Column:

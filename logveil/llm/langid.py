@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from logveil.llm.arrowcols import appended
 from logveil.llm.bpe import with_columns
+from logveil.llm.exchange import small_batches
 from logveil.llm.textbytes import mix, slices
 
 UNKNOWN = "und"
@@ -106,6 +107,7 @@ class Model(NamedTuple):
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """Learns the filters from (text, lang) rows."""
+    small_batches(labelled.sparkSession)
     known = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy("lang").limit(65).collect()}
     if len(sizes) > 64:
@@ -148,6 +150,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", explained: bool =
 
     With explained, also that share of n-grams alone, which does not fall as languages are added.
     """
+    small_batches(docs.sparkSession)
     added = {"lang_pred": "string", "score": "double"} | ({"explained": "double"} if explained else {})
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.slots, model.filled))
 

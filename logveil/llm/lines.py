@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from logveil.llm.arrowcols import appended
 from logveil.llm.editdistance import within
-from logveil.llm.exchange import cut, extent, partitions, pieces
+from logveil.llm.exchange import cut, extent, partitions, pieces, small_batches
 from logveil.llm.textbytes import Words, mix, powers, slices, split_words
 
 MOST = 2
@@ -181,6 +181,7 @@ class LineJoin:
 
     def __init__(self, docs: DataFrame, most: int = MOST, least: int = LEAST):
         self.spark, self.most, self.least = docs.sparkSession, most, least
+        small_batches(self.spark)
         self.source = docs.select(_key("doc_id").alias("key"), "text")
         size = extent(self.source)
         self.bits = (pieces(size.bytes, RANGE_TEXT) - 1).bit_length()

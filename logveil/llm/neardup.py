@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logveil.llm.components import components
-from logveil.llm.exchange import cut, few
+from logveil.llm.exchange import cut, few, small_batches
 from logveil.llm.textbytes import mix, slices, split_words, windows
 
 TREES = 16
@@ -291,6 +291,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, text: str = "text", id: s
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept."""
     if not isinstance(docs.schema[id].dataType, T.IntegralType):
         return _with_other_ids(docs, size, text, id)
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     identified = described(source, size, paths=True).where("doc_id is not null")
     classes = cut(identified.groupBy(*_PRINTS).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")))

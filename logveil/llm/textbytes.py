@@ -130,6 +130,33 @@ def windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(acc[at], size), at
 
 
+def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` values, whatever lies between them (documents' ends are the caller's)."""
+    n = len(hashes) - size + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    power, inverse = _POWERS[: BLOCK], _inverse_powers()
+    if size >= BLOCK // 2:
+        raise ValueError("runs are too long")
+    step = BLOCK - size + 1
+    for lo in range(0, max(n, 0), step):
+        part = hashes[lo : lo + BLOCK]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part * power[: len(part)], dtype=np.uint64)))
+        m = len(part) - size + 1
+        out[lo : lo + m] = (sums[size:] - sums[:m]) * inverse[:m]
+    return out
+
+
+_inverse: list[np.ndarray] = []
+
+
+def _inverse_powers() -> np.ndarray:
+    if not _inverse:
+        out = np.full(BLOCK, pow(int(_MULT), -1, 1 << 64), np.uint64)
+        out[0] = 1
+        _inverse.append(np.cumprod(out, dtype=np.uint64))
+    return _inverse[0]
+
+
 def covered(at: np.ndarray, size: int, n: int) -> np.ndarray:
     """Which of n words lie in a run of `size` words that starts at one of `at`."""
     edges = np.zeros(n + 1, np.int64)

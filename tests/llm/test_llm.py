@@ -54,23 +54,43 @@ def test_edit_distance():
     assert within(a, b, 2).tolist() == [plain(x, y) <= 2 for x, y in zip(a, b, strict=True)]
 
 
-def test_substrings(docs, empty):
-    own = [WORD.findall(t or "") for _, t in texts()]
+def without_copies(rows, window=35):
+    """Per row: its id, words, removed words and kept text, by comparing all windows."""
+    own = [WORD.findall(t or "") for _, t in rows]
     seen: dict[tuple, int] = {}
     for w in own:
-        for i in range(len(w) - 34):
-            seen[tuple(w[i : i + 35])] = seen.get(tuple(w[i : i + 35]), 0) + 1
+        for i in range(len(w) - window + 1):
+            seen[tuple(w[i : i + window])] = seen.get(tuple(w[i : i + window]), 0) + 1
     want = []
-    for (k, _), w in zip(texts(), own, strict=True):
+    for (k, _), w in zip(rows, own, strict=True):
         gone = [False] * len(w)
-        for i in range(len(w) - 34):
-            if seen[tuple(w[i : i + 35])] > 1:
-                gone[i : i + 35] = [True] * 35
+        for i in range(len(w) - window + 1):
+            if seen[tuple(w[i : i + window])] > 1:
+                gone[i : i + window] = [True] * window
         want.append((k, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
-    assert rows_of(substrings.parse(docs), "doc_id", "n_words", "n_removed", "kept_text") == sorted(want, key=repr)
+    return sorted(want, key=repr)
+
+
+def test_substrings(docs, empty):
+    for block_bytes in (8 << 20, 9000):
+        got = substrings.parse(docs, block_bytes=block_bytes)
+        assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_text") == without_copies(texts())
     assert substrings.parse(empty).count() == 0
 
 
+def test_substrings_of_periods_and_overlaps(spark):
+    """Copies within a text, of short periods, and passages that lie across the ends of two others."""
+    rng = random.Random(9)
+    prose = lambda n: " ".join(rng.choice("abcdefghij") for _ in range(n))
+    base = prose(150)
+    words = base.split()
+    rows = [(1, "x " * 90), (2, "a b c " * 40), (3, prose(20) + " a b c" * 20), (4, base), (5, " ".join(words[:60]) + " " + prose(30)), (6, prose(7) + " " + " ".join(words[40:110])), (7, " ".join(words[20:130])), (8, " ".join(words[100:])), (8, None), (None, base), (9, " ".join(words[:34])), (10, "a\u00a0b " * 40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for window, block_bytes in ((35, 8 << 20), (35, 200), (7, 300), (1, 1000), (2, 1000)):
+        got = substrings.parse(table, window, block_bytes=block_bytes)
+        assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_text") == without_copies(rows, window), window
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, " ".join(WORD.findall(texts()[40][1])[12:30])), (2, "one"), (3, None), (4, "zz yy")], "item_id long, text string")
     found = decontaminate.scan(docs, items)
