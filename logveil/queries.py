@@ -6,6 +6,7 @@ down part by part; others on documents, pages, conversations and customers.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -44,6 +45,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoint_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder; one machine gets a folder of its own where none is named."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="logveil-checkpoint-"))
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def hashed(value: str, key: Key = KEY) -> str:
     """SQL of a value's shortened keyed hash."""
     inner, outer = (p.hex() for p in key.pads())
@@ -548,10 +560,7 @@ def _stream_lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 def _written(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """All rows of a stream, by way of files in the shared checkpoint folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logveil-checkpoint-"))
-    folder = f"{context.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    folder = checkpoint_folder(spark, "stream")
     running = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(f"{folder}/rows")
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -88,8 +88,12 @@ def detect_charset(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def lines(spark: SparkSession, paths: str | list[str], pattern: str | None = None) -> DataFrame:
-    """(path, line_no, line) of text files, numbered from 1; charsets and gzip as in whole_files."""
-    return numbered_lines(whole_files(spark, paths, pattern).select("path", "text"))
+    """(path, line_no, line) of text files, numbered from 1; charsets and gzip as in whole_files.
+
+    A line feed at the end begins no further line.  A file is read by one task; for large files see text_lines.
+    """
+    files = whole_files(spark, paths, pattern).select("path", "text")
+    return numbered_lines(files.withColumn("text", F.when(F.col("text").endswith("\n"), F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))))
 
 
 def text_lines(spark: SparkSession, paths: str | list[str], pattern: str | None = None) -> DataFrame:
