@@ -23,6 +23,14 @@ def runs(flags: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)
 
 
+def fresh_name(columns: list[str], name: str) -> str:
+    """A name for a helper column that no carried column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def per_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of a value per word over each document."""
     total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))

@@ -25,10 +25,12 @@ shuffled once by doc_id and read by the step that fetches candidate lines and by
 the last step.  Equal lines of a task give one entry, so a frequent line costs an
 entry per task and map-side aggregation its rows.
 
-Defined results: a null text has no lines and stays null; empty lines stay; a null
-doc_id stands after all others; rows that share a doc_id are copies of one
-document and are treated alike; an empty table gives an empty result; the
-documents' other columns are carried.
+Defined results: a null text has no lines and stays null; empty lines stay; doc_id may
+be of any type (integers in their order, others in that of their hashes), and rows
+without one stand after all others; rows that share a doc_id are documents in the order
+of a hash of their texts, and repeated rows are one document and treated alike; an empty
+table gives an empty result; the documents' other columns are carried, and give way
+where they clash with the new ones.
 """
 
 from __future__ import annotations
@@ -39,10 +41,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from logveil.llm.arrowcols import appended
+from logveil.llm.arrowcols import appended, fresh_name
 from logveil.llm.editdistance import within
-from logveil.llm.exchange import cut, extent, partitions, pieces, small_batches
+from logveil.llm.exchange import cut, extent, few, partitions, pieces, small_batches
 from logveil.llm.textbytes import Words, mix, powers, slices, split_words
 
 MOST = 2
@@ -171,9 +174,17 @@ def _joined(table: pa.Table, most: int, bits: int, again: bool) -> pa.Table:
 _JOINED = "a long, b long, range int, entries binary"
 
 
-def _key(id: str) -> Column:
-    """The place of a document among all; one without an id comes last."""
-    return F.coalesce(F.col(id).cast("long"), F.lit(2**63 - 1))
+def _key(docs: DataFrame) -> Column:
+    """The place of a document among all: by id, those without one last, then by a hash of the text.
+
+    Ids that are no integers have the order of their hashes.
+    """
+    whole = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
+    id = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) if whole else F.xxhash64("doc_id")
+    return F.struct(F.col("doc_id").isNull().alias("late"), id.alias("id"), F.xxhash64("text").alias("row"))
+
+
+_KEY = "struct<late:boolean,id:long,row:long>"
 
 
 class LineJoin:
@@ -182,11 +193,12 @@ class LineJoin:
     def __init__(self, docs: DataFrame, most: int = MOST, least: int = LEAST):
         self.spark, self.most, self.least = docs.sparkSession, most, least
         small_batches(self.spark)
-        self.source = docs.select(_key("doc_id").alias("key"), "text")
+        self.source = docs.select(_key(docs).alias("key"), "text")
         size = extent(self.source)
         self.bits = (pieces(size.bytes, RANGE_TEXT) - 1).bit_length()
         self.parts = partitions(self.spark, pieces(size.bytes))
-        self.dealt = docs.withColumn("__key", _key("doc_id")).repartition(self.parts, "__key")
+        self.key = fresh_name(docs.columns, "_key")
+        self.dealt = docs.withColumn(self.key, _key(docs)).repartition(self.parts, self.key)
 
     def numbered(self) -> DataFrame:
         """Every judged line: (id, key of its document, line)."""
@@ -200,7 +212,7 @@ class LineJoin:
                     doc = np.repeat(np.arange(batch.num_rows), lines.counts)[keep]
                     yield pa.RecordBatch.from_arrays([pa.array(lines.hashes[keep].view(np.int64)), batch.column("key").take(pa.array(doc)), pa.array(keep - lines.first[doc], pa.int32())], names=["id", "key", "line"])
 
-        return self.source.mapInArrow(number, "id long, key long, line int")
+        return self.source.mapInArrow(number, f"id long, key {_KEY}, line int")
 
     def candidates(self) -> DataFrame:
         """Candidate pairs (a, b) of all lines by their ids."""
@@ -247,7 +259,7 @@ class LineJoin:
                     yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_body, pa.binary())], names=["id", "body"])
 
         by_doc = wanted.groupBy("key").agg(F.collect_set("id").alias("ids")).repartition(self.parts, "key")
-        joined = self.dealt.select("__key", "text").join(by_doc, F.col("__key") == F.col("key")).select("text", "ids")
+        joined = self.dealt.select(F.col(self.key).alias("at"), "text").join(by_doc, F.col("at") == F.col("key")).select("text", "ids")
         return joined.mapInArrow(pick, "id long, body binary").dropDuplicates(["id"])
 
 
@@ -286,9 +298,11 @@ def dedup(docs: DataFrame, most: int = MOST, least: int = LEAST) -> DataFrame:
     near = ordered.groupBy("id").agg(F.max(F.col("before") < F.col("first")).alias("near"), F.count(F.lit(1)).alias("links"))
     told = first.join(near, "id", "left").where(F.col("links").isNotNull() | (F.col("last") > F.col("first.key")))
     told = told.select("id", F.col("first.key").alias("home"), F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
-    marks = numbered.select("id", "key").distinct().join(told, "id").where((F.col("key") != F.col("home")) | (F.col("links") > 0))
+    # a line that stands in very many documents is a key of one row on the other side
+    marks = numbered.select("id", "key").distinct().join(few(cut(told)), "id").where((F.col("key") != F.col("home")) | (F.col("links") > 0))
     mark = F.struct("id", ((F.col("key") != F.col("home")) | F.col("near")).alias("gone"), "near", "links")
-    by_doc = marks.groupBy("key").agg(F.collect_list(mark).alias("__marks")).withColumnRenamed("key", "__at").repartition(join.parts, "__at")
+    marks_name, at = fresh_name(docs.columns, "_marks"), fresh_name(docs.columns, "_at")
+    by_doc = marks.groupBy("key").agg(F.collect_list(mark).alias(marks_name)).withColumnRenamed("key", at).repartition(join.parts, at)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -296,7 +310,7 @@ def dedup(docs: DataFrame, most: int = MOST, least: int = LEAST) -> DataFrame:
                 lines, texts = split_lines(batch.column("text")), batch.column("text").to_pylist()
                 hashes, long = lines.hashes.view(np.int64).tolist(), (lines.ends - lines.starts >= least).tolist()
                 removed, near, linked = [], [], []
-                for doc, marks in enumerate(batch.column("__marks").to_pylist()):
+                for doc, marks in enumerate(batch.column(marks_name).to_pylist()):
                     told = {m["id"]: m for m in marks or ()}
                     seen: set[int] = set()
                     drop, n_near, n_links = set(), 0, 0
@@ -319,12 +333,12 @@ def dedup(docs: DataFrame, most: int = MOST, least: int = LEAST) -> DataFrame:
                     removed.append(len(drop))
                     near.append(n_near)
                     linked.append(n_links)
-                cleaned = batch.drop_columns(["__marks"])
+                cleaned = batch.drop_columns([marks_name])
                 cleaned = cleaned.set_column(cleaned.schema.get_field_index("text"), "text", pa.array(texts, cleaned.schema.field("text").type))
                 yield appended(cleaned, list(_ADDED), [pa.array(lines.counts, pa.int64()), *(pa.array(x, pa.int64()) for x in (removed, near, linked))])
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in _ADDED]
-    joined = join.dealt.join(by_doc, F.col("__key") == F.col("__at"), "left").select(*docs.columns, "__marks")
+    joined = join.dealt.join(by_doc, F.col(join.key) == F.col(at), "left").select(*docs.columns, marks_name)
     return joined.mapInArrow(rebuild, ", ".join([*kept, *(f"{c} long" for c in _ADDED)]))
 
 

@@ -3,8 +3,9 @@
 The measures are Column expressions (no user functions, no shuffle) and every
 rule of the table becomes one comparison of the projection, so a rule is added
 by a table row.  A null text has the measures of an empty one.  Rows are judged
-one by one: repeated rows get equal verdicts, an empty table gives an empty
-result and extra columns are kept as they are.
+one by one: repeated rows get equal verdicts and an empty table gives an empty
+result.  Extra columns are carried, and give way where they are named measures,
+failed or kept.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logveil.llm.arrowcols import fresh_name
+
 _BLANKS = " \t\n\x0b\x0c\r"
 _SPACE = r"[\x20\x09-\x0D]+"
 _SYMBOLS = "#*$%&|<>"
@@ -92,8 +95,9 @@ def repeated_words(words: Column) -> Column:
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds a struct column `measures` to the table."""
     body = F.coalesce(F.col(text), F.lit(""))
-    marked = docs.withColumn("__words", split_words(body)).withColumn("__lines", F.filter(F.split(body, "\n"), lambda x: _length_without(x, _BLANKS) > 0))
-    words, lines = F.col("__words"), F.col("__lines")
+    w_name, l_name, c_name = (fresh_name(docs.columns, n) for n in ("_words", "_lines", "_counts"))
+    marked = docs.withColumn(w_name, split_words(body)).withColumn(l_name, F.filter(F.split(body, "\n"), lambda x: _length_without(x, _BLANKS) > 0))
+    words, lines = F.col(w_name), F.col(l_name)
     n, chars = F.size(words), _length_without(body, _BLANKS)
     capitals = F.length(body) - F.length(F.regexp_replace(body, r"\p{Lu}", ""))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
@@ -108,9 +112,9 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
         stops.cast("long").alias("n_stop_words"),
         capitals.cast("long").alias("n_capitals"),
     )
-    c = F.col("__counts")
+    c = F.col(c_name)
     measures = F.struct(
-        "__counts.*",
+        f"{c_name}.*",
         ratio(c["word_chars"], c["n_words"]).alias("mean_word_chars"),
         ratio(c["n_symbols"], c["n_words"]).alias("symbol_ratio"),
         ratio(c["n_repeat_words"], c["n_words"]).alias("repeat_ratio"),
@@ -118,7 +122,7 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
         ratio(c["n_capitals"], c["word_chars"]).alias("capital_ratio"),
         ratio(c["n_dup_lines"], c["n_lines"]).alias("dup_line_ratio"),
     )
-    return marked.withColumn("__counts", counts).withColumn("measures", measures).drop("__words", "__lines", "__counts")
+    return marked.withColumn(c_name, counts).withColumn("measures", measures).drop(w_name, l_name, c_name)
 
 
 def failed_rules(rules: tuple[Rule, ...] = RULES) -> Column:
