@@ -21,7 +21,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = hpylm.score(docs, trains=~held_out)
-    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
