@@ -42,7 +42,7 @@ from logveil.llm.textbytes import slices
 CHUNK = 1 << 15
 OVERLAP = 1 << 10
 #: Distinct pieces whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Pieces at the end of a chunk that its cut end may have changed.
 _UNSURE = 2
 

@@ -7,7 +7,8 @@ re-encodes from the beginning of a leaf that ends before the edit (a match of th
 pattern looks a few characters ahead and never back) up to the first old leaf
 beginning behind the edit at which the new text has a boundary too; from there on
 both texts have the same pre-tokens.  The leaves between take the new pre-tokens,
-and only the nodes above them are summed again.
+and only the nodes above them are summed again.  Leaves that would hold more than four
+times their usual number of pre-tokens are split, so edits stay local after many insertions.
 
 Trees are two integer arrays in heap order: the root is entry 1, the leaves are
 the last half.  Building scans the text once without a shuffle; edits that come
@@ -40,8 +41,10 @@ from logveil.llm.textbytes import slices
 LEAF = 32
 #: Characters before an edit whose pre-tokens it may change.
 AHEAD = 4
+#: Characters behind a leaf that are split with it, so that the boundary at its end is sure.
+BEYOND = 64
 #: Distinct pieces whose counts a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 EDITS = "array<struct<start:int,stop:int,replacement:string>>"
 
 
@@ -112,7 +115,7 @@ class CountTree:
         old_end += self.chars[self.leaves + last]
         last += 1
         while True:
-            pieces = counts.split(new[begin : old_end + grown + (AHEAD if old_end < len(text) else 0)])
+            pieces = counts.split(new[begin : old_end + grown + (BEYOND if old_end < len(text) else 0)])
             if old_end >= len(text):
                 break
             # boundaries of a cut text are sure but for the last two
@@ -127,6 +130,9 @@ class CountTree:
             old_end += self.chars[self.leaves + last]
             last += 1
         slots, n = last - first, len(pieces)
+        if n > 4 * LEAF * slots:
+            self._split(first, last, list(map(len, pieces)), [counts[p] for p in pieces])
+            return new, n
         for k in range(slots):
             own = pieces[k * n // slots : (k + 1) * n // slots]
             self.chars[self.leaves + first + k] = sum(map(len, own))
@@ -138,6 +144,18 @@ class CountTree:
         return new, n
 
 
+    def _split(self, first: int, last: int, lengths: list[int], tokens: list[int]) -> None:
+        """Puts new leaves of usual size in place of leaves first ... last - 1; no other leaf is encoded again."""
+        rows = []
+        for old, new in ((self.chars, lengths), (self.tokens, tokens)):
+            own = old[self.leaves :]
+            rows.append(own[:first] + [sum(new[k : k + LEAF]) for k in range(0, len(new), LEAF)] + own[last:])
+        used = max((i + 1 for i, x in enumerate(rows[0]) if x), default=1)
+        self.leaves = 1 << max(0, (used - 1).bit_length())
+        self.chars, self.tokens = ([0] * self.leaves + row[:used] + [0] * (self.leaves - used) for row in rows)
+        self.sum_up(range(self.leaves - 1, 0, -1))
+
+
 _TREE = {"tree_chars": "array<int>", "tree_tokens": "array<int>", "n_tokens": "long"}
 
 

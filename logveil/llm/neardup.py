@@ -21,9 +21,9 @@ tree, so at depth 4 the trees miss one such pair in some thousands, and pairs of
 higher similarity or in smaller nodes less.  Links are joined into components.
 
 Plan: the text is scanned once for sets' fingerprints and paths, and once more for
-the full sets of candidates only.  Nodes are counted with map-side aggregation and
-joined back, so a large node is a skewed join key that Spark can split, never a
-group in memory; a group of m copies gives m rows and not m squared pairs.  A large
+the full sets of candidates only.  Nodes are counted with map-side aggregation; those
+above `SMALL` are marked by a join (broadcast up to `exchange.FEW`), so only small nodes
+become groups in memory; a group of m copies gives m rows and not m squared pairs.  A large
 leaf of m classes in many components is dealt out as pairs of blocks, so its sets
 are sent once for each block: such a family costs m squared comparisons.  Up to
 `exchange.FEW` ids of candidates are broadcast to pick their texts; more are joined.
@@ -157,26 +157,25 @@ def candidates(classes: DataFrame) -> DataFrame:
     with these leaders, the smallest and the largest class, which a group of near copies has in common in most trees.
     """
     rows = classes.select("rep", "n_shingles", "sketch", F.explode("paths").alias("p")).select("rep", "n_shingles", "sketch", "p.*")
+    group = F.array_sort(F.collect_list(F.struct(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), F.col("sketch").alias("s"))))
     found = []
     for depth in range(len(DEPTHS)):
-        rows = rows.withColumnRenamed(f"k{depth}", "node")
+        node = f"k{depth}"
         leaders = [F.min("rep").alias("low"), F.max("rep").alias("high")] if depth == len(DEPTHS) - 1 else []
-        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("members"), *leaders).where("members > 1")
-        joined = rows.join(counts, "node")
-        group = F.array_sort(F.collect_list(F.struct(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), F.col("sketch").alias("s"))))
-        small = joined.where(F.col("members") <= SMALL).groupBy("node").agg(group.alias("g"))
-        left = small.select("g", F.posexplode("g").alias("i", "x"))
+        large = rows.groupBy(F.col(node).alias("large")).agg(F.count(F.lit(1)).alias("members"), *leaders).where(F.col("members") > SMALL).drop("members")
+        marked = rows.join(few(cut(large)), F.col(node) == F.col("large"), "left")
+        left = marked.where("large is null").groupBy(node).agg(group.alias("g")).where(F.size("g") > 1).select("g", F.posexplode("g").alias("i", "x"))
         pairs = left.select("x", F.explode(F.slice("g", F.col("i") + 2, F.size("g"))).alias("y"))
         fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * PERCENT
         alike = 64 - F.bit_count(F.col("x.s").bitwiseXOR(F.col("y.s"))) >= ALIKE
         found.append(pairs.where(fits & alike).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-        rows = joined.where(F.col("members") > SMALL)
+        rows = marked.where("large is not null")
         if depth < len(DEPTHS) - 1:
-            rows = rows.drop("node", "members")
+            rows = rows.drop(node, "large")
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    leaves = rows.select(F.col("rep").alias("a"), F.col("node").alias("leaf"), "low", "high", F.col("n_shingles").alias("n"))
+    leaves = rows.select(F.col("rep").alias("a"), F.col("large").alias("leaf"), "low", "high", F.col("n_shingles").alias("n"))
     return every.where("a <> b").distinct().unionByName(leaves, allowMissingColumns=True)
 
 

@@ -200,3 +200,47 @@ def test_quality(spark):
     got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
     assert got[1]["measures"]["n_repeat_words"] == 6 and got[2]["measures"]["n_words"] == 0 and got[3]["measures"]["n_dup_lines"] == 1
     assert got[4]["measures"]["n_symbols"] == 3 and got[5]["measures"]["n_repeat_words"] == 60 and "repeated_words" in got[5]["failed"]
+
+
+def test_ids_of_other_kinds(spark):
+    """Strings as ids, several rows without one, and carried columns with the names of helpers."""
+    line = "the same line of more than forty characters in each"
+    rows = [("b", f"{line}\nfirst own line of the document, long enough"), ("a", f"{line}\nand another line that stands only here, yes"), (None, line), (None, f"{line}\nx"), (None, line)]
+    table = spark.createDataFrame(rows, "doc_id string, text string").withColumn("_key", F.lit(2)).withColumn("_marks", F.lit(3)).withColumn("__key", F.lit(4)).withColumn("n_lines", F.lit("old"))
+    found = lines.dedup(table).collect()
+    assert all((r["_key"], r["_marks"], r["__key"]) == (2, 3, 4) and isinstance(r["n_lines"], int) for r in found)
+    assert sum(line in r["text"] for r in found) == 1 and sum(r["n_removed"] for r in found) == 4
+    names = {r["doc_id"]: r for r in neardup.near_duplicates(spark.createDataFrame([("q", line), ("p", line), ("r", "other words"), (None, line)], "doc_id string, text string"), size=2).collect()}
+    assert names["q"]["component_id"] == "p" and names["p"]["kept"] and not names["q"]["kept"] and names["r"]["component_id"] == "r" and names[None]["kept"]
+
+
+def test_tables_without_other_columns(spark):
+    texts = spark.createDataFrame([("x " * 30_000, 1.5), ("x " * 30_000, 2.5), ("y", 0.0)], "text string, weight double")
+    assert sorted(r["n_tokens"] for r in bpe.encode(texts).collect())[0] == 1 and bpe.encode(texts.select("text")).count() == 3
+
+
+def test_clashing_names_and_empty_tables(spark, empty):
+    judged = quality.judge(spark.createDataFrame([(1, "a b", 5, "m")], "doc_id int, text string, kept int, _words string")).first()
+    assert judged["kept"] is False and judged["_words"] == "m" and judged["measures"]["n_words"] == 2
+    assert quality.judge(empty).count() == 0 and counts.count_trees(empty).count() == 0
+    assert chat.expand(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    extra = spark.createDataFrame([(1, 0, "user", "t", "old")], "conv_id long, turn long, role string, text string, formatted string")
+    assert chat.expand(extra).first()["formatted"].startswith(chat.START)
+    model = langid.fit(spark.createDataFrame([("ab", "one"), ("ab", "two")] * 3, "text string, lang string"))
+    asked = spark.createDataFrame([(1, "ab", "x"), (1, "ab", "x"), (2, "abab", "x")], "doc_id int, text string, lang_pred string")
+    assert [r["lang_pred"] for r in langid.predict(asked, model).collect()] == ["one"] * 3
+
+
+def test_token_counts_stay_local(spark):
+    """Many insertions at one place: leaves are split, and an edit encodes no more than some leaves."""
+    encoder = bpe.PieceEncoder(bpe.vocabulary_bytes(__import__("public_tokenizers").path("byte_bpe_50k.tiktoken")))
+    own = counts.PieceCounts(encoder)
+    rng = random.Random(1)
+    body = " ".join("word" + str(rng.randint(0, 99)) for _ in range(2000))
+    tree, most = counts.CountTree.build(own, body), 0
+    for _ in range(150):
+        body, again = tree.edit(own, body, 5000, 5000, " it's some more text, 12 words " * 3)
+        most = max(most, again)
+    assert tree.total() == len(encoder._merge(body)) and most < 12 * counts.LEAF and sum(tree.chars[tree.leaves :]) == len(body)
+    emptied, _ = tree.edit(own, body, 0, len(body), "")
+    assert emptied == "" and tree.total() == 0
