@@ -181,7 +181,12 @@ def _key(docs: DataFrame) -> Column:
     """
     whole = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
     id = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) if whole else F.xxhash64("doc_id")
-    return F.struct(F.col("doc_id").isNull().alias("late"), id.alias("id"), F.xxhash64("text").alias("row"))
+    return F.struct(F.col("doc_id").isNull().alias("late"), id.alias("id"), _row().alias("row"))
+
+
+def _row() -> Column:
+    """What documents are dealt out and joined by."""
+    return F.xxhash64("doc_id", "text")
 
 
 _KEY = "struct<late:boolean,id:long,row:long>"
@@ -198,10 +203,10 @@ class LineJoin:
         self.bits = (pieces(size.bytes, RANGE_TEXT) - 1).bit_length()
         self.parts = partitions(self.spark, pieces(size.bytes))
         self.key = fresh_name(docs.columns, "_key")
-        self.dealt = docs.withColumn(self.key, _key(docs)).repartition(self.parts, self.key)
+        self.dealt = docs.withColumn(self.key, _row()).repartition(self.parts, self.key)
 
     def numbered(self) -> DataFrame:
-        """Every judged line: (id, key of its document, line)."""
+        """Every judged line, once for each document: (id, key of the document, first line that is it)."""
         least = self.least
 
         def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,6 +215,11 @@ class LineJoin:
                     lines = split_lines(batch.column("text"))
                     keep = np.flatnonzero(lines.ends - lines.starts >= least)
                     doc = np.repeat(np.arange(batch.num_rows), lines.counts)[keep]
+                    order = np.lexsort((keep, lines.hashes[keep], doc))
+                    keep, doc = keep[order], doc[order]
+                    fresh = np.ones(len(keep), dtype=bool)
+                    fresh[1:] = (doc[1:] != doc[:-1]) | (lines.hashes[keep[1:]] != lines.hashes[keep[:-1]])
+                    keep, doc = keep[fresh], doc[fresh]
                     yield pa.RecordBatch.from_arrays([pa.array(lines.hashes[keep].view(np.int64)), batch.column("key").take(pa.array(doc)), pa.array(keep - lines.first[doc], pa.int32())], names=["id", "key", "line"])
 
         return self.source.mapInArrow(number, f"id long, key {_KEY}, line int")
@@ -258,8 +268,8 @@ class LineJoin:
                                 out_body.append(lines.data[lines.starts[at] : lines.ends[at]].tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_body, pa.binary())], names=["id", "body"])
 
-        by_doc = wanted.groupBy("key").agg(F.collect_set("id").alias("ids")).repartition(self.parts, "key")
-        joined = self.dealt.select(F.col(self.key).alias("at"), "text").join(by_doc, F.col("at") == F.col("key")).select("text", "ids")
+        by_doc = wanted.groupBy(F.col("key.row").alias("row")).agg(F.collect_set("id").alias("ids")).repartition(self.parts, "row")
+        joined = self.dealt.select(F.col(self.key).alias("at"), "text").join(by_doc, F.col("at") == F.col("row")).select("text", "ids")
         return joined.mapInArrow(pick, "id long, body binary").dropDuplicates(["id"])
 
 
@@ -299,10 +309,10 @@ def dedup(docs: DataFrame, most: int = MOST, least: int = LEAST) -> DataFrame:
     told = first.join(near, "id", "left").where(F.col("links").isNotNull() | (F.col("last") > F.col("first.key")))
     told = told.select("id", F.col("first.key").alias("home"), F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
     # a line that stands in very many documents is a key of one row on the other side
-    marks = numbered.select("id", "key").distinct().join(few(cut(told)), "id").where((F.col("key") != F.col("home")) | (F.col("links") > 0))
+    marks = numbered.select("id", "key").join(few(cut(told)), "id").where((F.col("key") != F.col("home")) | (F.col("links") > 0))
     mark = F.struct("id", ((F.col("key") != F.col("home")) | F.col("near")).alias("gone"), "near", "links")
     marks_name, at = fresh_name(docs.columns, "_marks"), fresh_name(docs.columns, "_at")
-    by_doc = marks.groupBy("key").agg(F.collect_list(mark).alias(marks_name)).withColumnRenamed("key", at).repartition(join.parts, at)
+    by_doc = marks.groupBy(F.col("key.row").alias(at)).agg(F.collect_list(mark).alias(marks_name)).repartition(join.parts, at)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -208,9 +208,16 @@ def test_op10(spark, folder):
     assert len({x[2] for x in want}) <= len(want) - 20
 
 
+def held(text: str | None, benchmark: list[dict]) -> bool:
+    """Whether a text holds a window of an item."""
+    words = " ".join(["", *ALNUM.findall((text or "").translate(LOWER)), ""])
+    items = [ALNUM.findall((i["text"] or "").translate(LOWER)) for i in benchmark]
+    return any(" ".join(["", *w[k : k + 10], ""]) in words for w in items for k in range(max(1, len(w) - 9) if w else 0))
+
+
 def test_pipeline(spark, folder):
     """Each stage on what the one before kept, and run() as a whole."""
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs, benchmark = spark.read.parquet(f"{folder}/documents.parquet"), tables()[1]
     before = [r.asDict() for r in docs.collect()]
     for name, stage in corpus_pipeline.STAGES:
         after = stage(spark, docs, folder)
@@ -220,19 +227,20 @@ def test_pipeline(spark, folder):
             # 200 to 203 have no letters; 205 has words of no learned language
             assert sorted(i for i in ids if i != 205) == sorted(r["doc_id"] for r in before if r["doc_id"] not in (200, 201, 202, 203, 205)) and all(r["lang"] for r in rows)
         if name == "line_dedup":
-            lines = [line for r in rows for line in (r["text"] or "").split("\n") if len(line) >= 40]
+            # repeated rows are treated alike, so each document counts once
+            lines = [line for text in {r["doc_id"]: r["text"] or "" for r in rows}.values() for line in text.split("\n") if len(line) >= 40]
             assert len(lines) == len(set(lines)) and all(r["n_chars"] == len(r["text"]) for r in rows)
         if name == "near_dedup":
             known = near(before, 5)
             assert sorted(ids) == sorted(r["doc_id"] for r in before if known[r["doc_id"]][1] == r["doc_id"])
         if name == "decontamination":
-            assert sorted(ids) == sorted(r["doc_id"] for r in before if r["doc_id"] not in (150, 151, 152, 204))
+            assert sorted(ids) == sorted(r["doc_id"] for r in before if not held(r["text"], benchmark))
         if name != corpus_pipeline.STAGES[-1][0]:
             assert after.columns == ["doc_id", "text", "lang", "source", "n_chars"]
             before, docs = rows, spark.createDataFrame(rows, docs.schema)
     texts = {r["doc_id"]: r["text"] for r in before}
     assert {r["doc_id"]: r["decoded_sha256"] for r in rows} == {k: sha(t) for k, t in texts.items()}
     final = corpus_pipeline.run(spark, folder)
-    assert sorted(r["doc_id"] for r in final.collect()) == sorted(texts)
+    assert sorted(r["doc_id"] for r in final.collect()) == sorted(r["doc_id"] for r in before)
     empty = docs.limit(0)
     assert all(stage(spark, empty, folder).count() == 0 for _, stage in corpus_pipeline.STAGES)
