@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -27,6 +28,11 @@ class Key:
     def derive(cls, salt: str, iterations: int = 600_000, context: bytes = b"logveil", hash_len: int = 12) -> Key:
         return cls(hashlib.pbkdf2_hmac("sha256", salt.encode(), context, iterations), hash_len)
 
+    @classmethod
+    def random(cls, hash_len: int = 12) -> Key:
+        """A key of this run only: its pseudonyms cannot be made again."""
+        return cls(os.urandom(32), hash_len)
+
     def pads(self) -> tuple[bytes, bytes]:
         """The inner and the outer padded key of HMAC-SHA256."""
         raw = hashlib.sha256(self.value).digest() if len(self.value) > _BLOCK else self.value

@@ -11,12 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logveil.functions.checks import PSEUDONYM
+from logveil.functions.hashing import Key
 from logveil.functions.regex import extract_all, gaps
 
-#: Base of a pseudonym (without its suffix) and the suffix.
-_PARTS = r"^\[(.+)_([0-9a-f]+?)(?:_(\d+))?\]$"
-
-
 def replacements(masked: DataFrame, column: str = "replacements", order: list[str] | None = None) -> DataFrame:
     """Rows of a replacements column; `order` names columns that tell which spelling came first."""
     rows = masked.select(*(order or []), F.posexplode(column).alias("__pos", "__r"))
@@ -30,21 +27,31 @@ def build(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
     return resolved(first.select("tag", "original", "normalized", "base"))
 
 
+def _numbered(pseudonym: Column, hash_len: int | None) -> Column:
+    """Whether a pseudonym ends in a collision suffix: a number behind the hash part.
+
+    The hash part has `hash_len` digits; where that is not known, more than the suffix.
+    """
+    hash_part, suffix = F.regexp_extract(pseudonym, r"_([0-9a-f]+)_\d+\]$", 1), F.regexp_extract(pseudonym, r"_(\d+)\]$", 1)
+    fits = F.length(hash_part) == hash_len if hash_len is not None else F.length(hash_part) > F.length(suffix)
+    return (hash_part != "") & fits & ~suffix.startswith("0")
+
+
 def base_of(pseudonym: Column, hash_len: int | None = None) -> Column:
     """The pseudonym without a collision suffix."""
-    return F.regexp_replace(pseudonym, r"^\[(.+_[0-9a-f]+)_\d+\]$", "[$1]")
+    return F.when(_numbered(pseudonym, hash_len), F.regexp_replace(pseudonym, r"_\d+\]$", "]")).otherwise(pseudonym)
 
 
-def suffix_of(pseudonym: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(pseudonym, r"^\[.+_[0-9a-f]+_(\d+)\]$", 1), F.lit("")).cast("int"), F.lit(1))
+def suffix_of(pseudonym: Column, hash_len: int | None = None) -> Column:
+    number = F.when(_numbered(pseudonym, hash_len), F.regexp_extract(pseudonym, r"_(\d+)\]$", 1))
+    return F.coalesce(number.try_cast("int"), F.lit(1))
 
 
-def parse(pseudonym: Column) -> Column:
-    """struct(prefix, hash, suffix); null for other strings.  A suffix is a decimal after a hash part."""
-    with_suffix = pseudonym.rlike(r"^\[.+_[0-9a-f]+_\d+\]$")
-    base = base_of(pseudonym)
+def parse(pseudonym: Column, hash_len: int | None = None) -> Column:
+    """struct(prefix, hash, suffix); null for other strings."""
+    base = base_of(pseudonym, hash_len)
     part = lambda k: F.regexp_extract(base, r"^\[(.+)_([0-9a-f]+)\]$", k)
-    found = F.struct(part(1).alias("prefix"), part(2).alias("hash"), F.when(with_suffix, suffix_of(pseudonym)).otherwise(1).alias("suffix"))
+    found = F.struct(part(1).alias("prefix"), part(2).alias("hash"), suffix_of(pseudonym, hash_len).alias("suffix"))
     return F.when(base.rlike(r"^\[.+_[0-9a-f]+\]$"), found)
 
 
@@ -56,19 +63,19 @@ def resolved(values: DataFrame) -> DataFrame:
     return named.select("tag", "original", "normalized", final.alias("pseudonym"))
 
 
-def merge(maps: list[DataFrame]) -> DataFrame:
+def merge(maps: list[DataFrame], hash_len: int | None = None) -> DataFrame:
     """Dictionaries of several runs to one; the result does not depend on their order."""
     every = maps[0]
     for more in maps[1:]:
         every = every.unionByName(more)
-    first = every.groupBy("tag", "normalized").agg(F.min("original").alias("original"), F.min(base_of(F.col("pseudonym"))).alias("base"))
+    first = every.groupBy("tag", "normalized").agg(F.min("original").alias("original"), F.min(base_of(F.col("pseudonym"), hash_len)).alias("base"))
     return resolved(first.select("tag", "original", "normalized", "base"))
 
 
-def extend(known: DataFrame, new: DataFrame) -> DataFrame:
+def extend(known: DataFrame, new: DataFrame, hash_len: int | None = None) -> DataFrame:
     """A dictionary with new values; known values keep their suffixes, new ones come after them."""
-    fresh = new.join(known, ["tag", "normalized"], "left_anti").groupBy("tag", "normalized").agg(F.min("original").alias("original"), F.min(base_of(F.col("pseudonym"))).alias("base"))
-    used = known.groupBy(base_of(F.col("pseudonym")).alias("base")).agg(F.max(suffix_of(F.col("pseudonym"))).alias("used"))
+    fresh = new.join(known, ["tag", "normalized"], "left_anti").groupBy("tag", "normalized").agg(F.min("original").alias("original"), F.min(base_of(F.col("pseudonym"), hash_len)).alias("base"))
+    used = known.groupBy(base_of(F.col("pseudonym"), hash_len).alias("base")).agg(F.max(suffix_of(F.col("pseudonym"), hash_len)).alias("used"))
     rank = F.row_number().over(Window.partitionBy("base").orderBy("normalized", "original")) + F.coalesce("used", F.lit(0))
     named = fresh.join(used, "base", "left").withColumn("__k", rank)
     final = F.when(F.col("__k") == 1, F.col("base")).otherwise(F.concat(F.expr("left(base, length(base) - 1)"), F.lit("_"), F.col("__k").cast("string"), F.lit("]")))
@@ -124,15 +131,19 @@ def tags(mapping: DataFrame) -> DataFrame:
     return mapping.select("tag").distinct().orderBy("tag")
 
 
-def protect(mapping: DataFrame, passphrase: str) -> DataFrame:
-    """Encrypts the originals (AES-GCM; authenticated) with a key made from a passphrase."""
-    key = F.unhex(F.sha2(F.lit(passphrase), 256))
+def _sealing_key(passphrase: str, salt: str, iterations: int) -> Column:
+    return F.lit(Key.derive(salt, iterations, passphrase.encode()).value)
+
+
+def protect(mapping: DataFrame, passphrase: str, salt: str, iterations: int = 600_000) -> DataFrame:
+    """Encrypts the originals (AES-GCM; authenticated) with a key stretched from a passphrase and a salt."""
+    key = _sealing_key(passphrase, salt, iterations)
     return mapping.withColumn("original", F.base64(F.aes_encrypt("original", key, F.lit("GCM")))).withColumn("normalized", F.base64(F.aes_encrypt("normalized", key, F.lit("GCM"))))
 
 
-def unprotect(mapping: DataFrame, passphrase: str) -> DataFrame:
-    """Decrypts; with a wrong passphrase the originals are null."""
-    key = F.unhex(F.sha2(F.lit(passphrase), 256))
+def unprotect(mapping: DataFrame, passphrase: str, salt: str, iterations: int = 600_000) -> DataFrame:
+    """Decrypts; with a wrong passphrase or salt the originals are null."""
+    key = _sealing_key(passphrase, salt, iterations)
     plain = lambda c: F.try_aes_decrypt(F.unbase64(c), key, F.lit("GCM")).cast("string")
     return mapping.withColumn("original", plain("original")).withColumn("normalized", plain("normalized"))
 

@@ -38,7 +38,8 @@ class ContextRule:
 
 @dataclass(frozen=True)
 class Options:
-    key: Key = field(default_factory=lambda: Key.derive("", 1))
+    #: derived from a salt for pseudonyms that runs share; else a random one
+    key: Key = field(default_factory=Key.random)
     org_name: str = ""
     org_aliases: tuple[str, ...] = ()
     org_aliases_share_pseudonym: bool = False

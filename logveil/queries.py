@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -383,9 +384,9 @@ _SECRET = "SELECT c_custkey, c_name AS original, true AS hidden FROM customer"
 def mapping_protect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Originals come back with the right passphrase and with no other."""
     rows = _customers(spark, sf_dir).withColumn("pseudonym", F.col("base"))
-    sealed = mapping.protect(rows, "pass")
-    wrong = mapping.unprotect(sealed, "other").select("c_custkey", F.col("original").isNull().alias("hidden"))
-    return mapping.unprotect(sealed, "pass").select("c_custkey", "original").join(wrong, "c_custkey")
+    sealed = mapping.protect(rows, "pass", "salt")
+    wrong = mapping.unprotect(sealed, "other", "salt").select("c_custkey", F.col("original").isNull().alias("hidden"))
+    return mapping.unprotect(sealed, "pass", "salt").select("c_custkey", "original").join(wrong, "c_custkey")
 
 
 _ROUND = ["kv", "sshd", "mail", "none"]
@@ -395,7 +396,8 @@ _ROUND = ["kv", "sshd", "mail", "none"]
 def reidentify_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked lines with their originals put back."""
     tags = [t for k in _ROUND for t in TAGS[k]]
-    masked = mask.mask_text(log_lines(spark, sf_dir, *_ROUND), OPTIONS, "line", replacements="found", tags=tags)
+    # the dictionary and both sides of the join read the masked lines
+    masked = mask.mask_text(log_lines(spark, sf_dir, *_ROUND), OPTIONS, "line", replacements="found", tags=tags).persist(StorageLevel.DISK_ONLY)
     known = mapping.build(mapping.replacements(masked, "found"))
     return mapping.reidentify(masked.select("event_id", "kind", "line"), known, "line", "event_id")
 

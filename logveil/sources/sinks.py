@@ -19,7 +19,10 @@ def write_text_mirror(lines: DataFrame, folder: str, by: str = "path", number: s
 
 
 def write_report(report: DataFrame, path: str, form: str = "jsonl") -> None:
-    """A report as JSON Lines, as one JSON array or as CSV (maps and structs as JSON, lists joined)."""
+    """A report as JSON Lines, as one JSON array or as CSV (maps and structs as JSON, lists joined).
+
+    An array is one row, so it is for reports that fit one.
+    """
     if form == "jsonl":
         report.write.mode("overwrite").json(path)
     elif form == "json":

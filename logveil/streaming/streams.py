@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -49,8 +50,8 @@ def grow_dictionary(lines: DataFrame, options: Options, table: str, checkpoint:
         new = build(rows)
         try:
             known = spark.read.parquet(table).where(F.col("batch") < number).select(*new.columns)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
             known = new.limit(0)
         grown = extend(known, new).join(known.select("tag", "normalized"), ["tag", "normalized"], "left_anti")
@@ -59,12 +60,17 @@ def grow_dictionary(lines: DataFrame, options: Options, table: str, checkpoint:
     return lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).start()
 
 
+#: Characters of a document that is put together from lines.
+LONGEST = 16 << 20
 CHUNK = "path string, chunk_no long, kind string, chunk string"
 _STATE = "next_line long, next_chunk long, waiting string, buffer string"
 
 
 def split_chunks(buffer: str) -> tuple[list[tuple[str, str]], str]:
-    """Complete (kind, chunk) pieces at the front of a buffer, and the rest that may still be completed."""
+    """Complete (kind, chunk) pieces at the front of a buffer of whole lines, and the rest that may still be completed.
+
+    A line that no JSON document can begin with is text, and so is one of a document that grows beyond `LONGEST`.
+    """
     out: list[tuple[str, str]] = []
     decoder = json.JSONDecoder()
     while buffer:
@@ -80,8 +86,14 @@ def split_chunks(buffer: str) -> tuple[list[tuple[str, str]], str]:
             continue
         try:
             _, size = decoder.raw_decode(body)
-        except json.JSONDecodeError:
-            break
+        except json.JSONDecodeError as e:
+            # more lines help only if the text ended too early
+            if e.pos >= len(body.rstrip()) and len(buffer) <= LONGEST:
+                break
+            end = len(buffer) - len(body) + body.find("\n") + 1
+            out.append(("text", buffer[:end]))
+            buffer = buffer[end:]
+            continue
         size += len(buffer) - len(body)
         out.append(("json", buffer[:size]))
         buffer = buffer[size:].removeprefix("\n")

@@ -109,3 +109,47 @@ def test_merge_spans(spark):
 def test_corpus_score_counts_misses(spark):
     rows = spark.createDataFrame([("1", "mail joe@bank.com to x", ["mail", "gone"], ["joe@bank.com", "to x"])], "id string, input string, must_keep array<string>, must_not_contain array<string>")
     assert tuple(reports.score_corpus(rows, OPTIONS).first())[:3] == (1, 1, 1)
+
+
+def test_rules_keep_out_of_pseudonyms(spark):
+    """A pseudonym of digits that looks like a telephone number stays whole and is restored."""
+    from logveil.queries import OPTIONS
+
+    rows = spark.createDataFrame([(1, "from 10.17.78.7 ok"), (2, "call +375291234567 from 10.17.78.7")], "doc_id long, text string")
+    masked = mask.mask_text(rows, OPTIONS, replacements="found").cache()
+    texts = {r["doc_id"]: r["text"] for r in masked.collect()}
+    assert texts[1] == "from [IP_375567428066] ok" and texts[2].endswith("from [IP_375567428066]")
+    known = mapping.build(mapping.replacements(masked, "found"))
+    assert {r["text"] for r in mapping.reidentify(masked.select("doc_id", "text"), known).collect()} == {"from 10.17.78.7 ok", "call +375291234567 from 10.17.78.7"}
+    assert detect.verify(masked, OPTIONS).where("not safe").count() == 0
+
+
+def test_many_addresses_come_back(spark):
+    """100 000 addresses under the rules of addresses, telephone and card numbers."""
+    from logveil.queries import OPTIONS
+
+    rows = spark.range(100_000).select(F.col("id").alias("doc_id"), F.expr("'ip 10.' || id % 256 || '.' || (id div 256) % 256 || '.' || pmod(xxhash64(id), 256) || ' end'").alias("text"))
+    masked = mask.mask_text(rows, OPTIONS, replacements="found", tags=["IP", "PHONE", "PAN", "UNP"]).persist()
+    known = mapping.build(mapping.replacements(masked, "found"))
+    back = mapping.reidentify(masked.select("doc_id", "text"), known)
+    assert back.exceptAll(rows).count() == 0 and masked.where(~F.col("text").rlike(r"^ip \[IP_[0-9a-f]{12}\] end$")).count() == 0
+
+
+def test_suffixes_of_pseudonyms(spark):
+    rows = spark.createDataFrame([("[CUSTOM:RULE_1_375567428066]",), ("[USER_ab12_3]",), ("[USER_0123]",), ("[IP_375567428066_2]",), ("x",)], "p string")
+    got = [r["x"] for r in rows.select(mapping.parse(F.col("p")).alias("x")).collect()]
+    assert [tuple(x) if x else None for x in got] == [("CUSTOM:RULE_1", "375567428066", 1), ("USER", "ab12", 3), ("USER", "0123", 1), ("IP", "375567428066", 2), None]
+    known = spark.createDataFrame([("CUSTOM:RULE_1", "a", "a", "[CUSTOM:RULE_1_375567428066]")], "tag string, original string, normalized string, pseudonym string")
+    new = spark.createDataFrame([("CUSTOM:RULE_1", "b", "b", "[CUSTOM:RULE_1_375567428066]")], known.schema)
+    assert {r["pseudonym"] for r in mapping.extend(known, new).collect()} == {"[CUSTOM:RULE_1_375567428066]", "[CUSTOM:RULE_1_375567428066_2]"} == {r["pseudonym"] for r in mapping.merge([known, new], 12).collect()}
+
+
+def test_text_of_any_shape(spark):
+    from logveil.operators import jsondocs
+    from logveil.queries import OPTIONS
+
+    texts = ['{"user":"alice","n":1}\n{"user":"bob","n":2}', 'a line\n{"user":"carol"}\nmore 10.0.0.1', '{"a.b":"10.0.0.2","a":{"b":"10.0.0.3"},"n":12345678901234567890.12}', None, "", "[1, 2", '{\n "user": "dave", "e": [], "x": null\n}', '{"k": "v", "k": "10.0.0.4"}', "[" * 5000]
+    out = [r["text"] for r in jsondocs.mask_any(spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1), OPTIONS).orderBy("id").collect()]
+    assert not any(name in (t or "") for t in out for name in ("alice", "bob", "carol", "dave", "10.0.0"))
+    assert out[0].count("\n") == 1 and '"n": 2' in out[0] and out[1].startswith("a line\n{") and "12345678901234567890.12" in out[2]
+    assert out[3] is None and out[4] == "" and out[5] == "[1, 2" and out[6].startswith('{\n  "user": "[USER_') and out[8] == texts[8]

@@ -4,6 +4,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from logveil import queries
+from logveil.streaming import streams
 
 
 def test_stream_mask_is_drained_to_files(spark, tmp_path):
@@ -13,3 +14,9 @@ def test_stream_mask_is_drained_to_files(spark, tmp_path):
     rows = {r["event_id"]: r["line"] for r in got.collect()}
     assert len(rows) == 50 and len(set(rows.values())) == 7 and not any("u3" in x for x in rows.values())
     assert queries.stream_mask(spark, str(tmp_path)).count() == 50
+
+
+def test_lines_that_begin_no_document():
+    pieces, rest = streams.split_chunks('[2026-01-01] INFO\n{"a":\n1}\n[bad\n{"b": [1,\n')
+    assert pieces == [("text", "[2026-01-01] INFO\n"), ("json", '{"a":\n1}'), ("text", "[bad\n")] and rest == '{"b": [1,\n'
+    assert streams.split_chunks('{"a": "no end\n{"b": 2}\n') == ([("text", '{"a": "no end\n'), ("json", '{"b": 2}')], "")
