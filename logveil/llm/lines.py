@@ -9,7 +9,7 @@ line, at a place that their lengths narrow down:
   substrings that could equal a segment of a line of its length or up to `most`
   bytes less (the probes); a signature names the length, the segment and its bytes;
 * signatures are compared within ranges of their hash, packed by tasks; two lines of
-  a signature are candidates if their sketches (parities of their bytes' counts in 64
+  a signature are candidates if their sketches (parities of their bytes' counts in 32
   buckets, of which an edit changes two at most) allow it;
 * a signature of more than `GROUP` lines is dealt out again: sketches that differ in
   at most 2 * most bits agree on one of 2 * most + 1 blocks of bits, so its lines meet
@@ -56,8 +56,8 @@ GROUP = 64
 RANGE_TEXT = 8 << 20
 _LINE_BYTES = np.ones(256, dtype=bool)
 _LINE_BYTES[10] = False
-_ENTRY = np.dtype([("sig", "<u8"), ("id", "<u8"), ("sketch", "<u8")])
-_BUCKET = np.uint64(1) << (mix(np.arange(256, dtype=np.uint64), 71) & np.uint64(63))
+_ENTRY = np.dtype([("sig", "<u8"), ("id", "<u8"), ("sketch", "<u4")])
+_BUCKET = (np.uint64(1) << (mix(np.arange(256, dtype=np.uint64), 71) & np.uint64(31))).astype(np.uint32)
 
 
 def split_lines(column) -> Words:
@@ -82,7 +82,7 @@ def signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: np.n
     place = np.arange(len(data)) - np.repeat(np.append(0, starts), np.diff(np.concatenate(([0], starts, [len(data)]))))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * power[np.minimum(place, longest)], dtype=np.uint64)))
     bounds = np.stack((starts, ends), axis=1).ravel()
-    sketch = np.bitwise_xor.reduceat(np.append(_BUCKET[data], np.uint64(0)), bounds)[::2]
+    sketch = np.bitwise_xor.reduceat(np.append(_BUCKET[data], np.uint32(0)), bounds)[::2]
     out = []
     for delta in range(most + 1):
         target = length - delta
@@ -120,10 +120,10 @@ def _packed(entries: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
 
 def _blocks(entries: np.ndarray, most: int) -> np.ndarray:
     """Each entry once for every block of its sketch's bits, under a signature for the block."""
-    edges = np.linspace(0, 64, 2 * most + 2).astype(int)
+    edges = np.linspace(0, 32, 2 * most + 2).astype(int)
     out = []
     for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        bits = (entries["sketch"] >> np.uint64(a)) & np.uint64((1 << int(b - a)) - 1)
+        bits = (entries["sketch"].astype(np.uint64) >> np.uint64(a)) & np.uint64((1 << int(b - a)) - 1)
         part = entries.copy()
         part["sig"] = mix(entries["sig"] ^ mix(bits * np.uint64(64) + np.uint64(k), 41))
         out.append(part)
@@ -174,31 +174,25 @@ def _joined(table: pa.Table, most: int, bits: int, again: bool) -> pa.Table:
 _JOINED = "a long, b long, range int, entries binary"
 
 
-def _key(docs: DataFrame) -> Column:
-    """The place of a document among all: by id, those without one last, then by a hash of the text.
-
-    Ids that are no integers have the order of their hashes.
-    """
+def _order(docs: DataFrame) -> Column:
+    """The place of a document among all by its id: those without one last, ids that are no integers by their hashes."""
     whole = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
-    id = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) if whole else F.xxhash64("doc_id")
-    return F.struct(F.col("doc_id").isNull().alias("late"), id.alias("id"), _row().alias("row"))
+    id = F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    return F.coalesce(id, F.lit(2**63 - 1))
 
 
 def _row() -> Column:
-    """What documents are dealt out and joined by."""
+    """What documents are dealt out and joined by, and their order where their ids are equal."""
     return F.xxhash64("doc_id", "text")
 
 
-_KEY = "struct<late:boolean,id:long,row:long>"
-
-
 class LineJoin:
     """The steps of one run over documents (doc_id, text)."""
 
     def __init__(self, docs: DataFrame, most: int = MOST, least: int = LEAST):
         self.spark, self.most, self.least = docs.sparkSession, most, least
         small_batches(self.spark)
-        self.source = docs.select(_key(docs).alias("key"), "text")
+        self.source = docs.select(_order(docs).alias("place"), _row().alias("row"), "text")
         size = extent(self.source)
         self.bits = (pieces(size.bytes, RANGE_TEXT) - 1).bit_length()
         self.parts = partitions(self.spark, pieces(size.bytes))
@@ -206,7 +200,7 @@ class LineJoin:
         self.dealt = docs.withColumn(self.key, _row()).repartition(self.parts, self.key)
 
     def numbered(self) -> DataFrame:
-        """Every judged line, once for each document: (id, key of the document, first line that is it)."""
+        """Every judged line, once for each document: (id, place and row of the document, first line that is it)."""
         least = self.least
 
         def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,9 +214,9 @@ class LineJoin:
                     fresh = np.ones(len(keep), dtype=bool)
                     fresh[1:] = (doc[1:] != doc[:-1]) | (lines.hashes[keep[1:]] != lines.hashes[keep[:-1]])
                     keep, doc = keep[fresh], doc[fresh]
-                    yield pa.RecordBatch.from_arrays([pa.array(lines.hashes[keep].view(np.int64)), batch.column("key").take(pa.array(doc)), pa.array(keep - lines.first[doc], pa.int32())], names=["id", "key", "line"])
+                    yield pa.RecordBatch.from_arrays([pa.array(lines.hashes[keep].view(np.int64)), batch.column("place").take(pa.array(doc)), batch.column("row").take(pa.array(doc)), pa.array(keep - lines.first[doc], pa.int32())], names=["id", "place", "row", "line"])
 
-        return self.source.mapInArrow(number, f"id long, key {_KEY}, line int")
+        return self.source.mapInArrow(number, "id long, place long, row long, line int")
 
     def candidates(self) -> DataFrame:
         """Candidate pairs (a, b) of all lines by their ids."""
@@ -248,7 +242,7 @@ class LineJoin:
         return found.where("range is null").select("a", "b").unionByName(large.select("a", "b")).distinct()
 
     def texts(self, wanted: DataFrame) -> DataFrame:
-        """Lines (id, key of a document) to (id, body), read from those documents."""
+        """Lines (id, row of a document) to (id, body), read from those documents."""
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
@@ -268,7 +262,7 @@ class LineJoin:
                                 out_body.append(lines.data[lines.starts[at] : lines.ends[at]].tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_body, pa.binary())], names=["id", "body"])
 
-        by_doc = wanted.groupBy(F.col("key.row").alias("row")).agg(F.collect_set("id").alias("ids")).repartition(self.parts, "row")
+        by_doc = wanted.groupBy("row").agg(F.collect_set("id").alias("ids")).repartition(self.parts, "row")
         joined = self.dealt.select(F.col(self.key).alias("at"), "text").join(by_doc, F.col("at") == F.col("row")).select("text", "ids")
         return joined.mapInArrow(pick, "id long, body binary").dropDuplicates(["id"])
 
@@ -290,7 +284,7 @@ def near_lines(join: LineJoin, first: DataFrame) -> DataFrame:
     """Links (a, b) between lines by their ids; first: (id, first occurrence) of all lines."""
     pairs = cut(join.candidates())
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = join.texts(first.join(ids, "id").select("id", F.col("first.key").alias("key")))
+    texts = join.texts(first.join(ids, "id").select("id", F.col("first.row").alias("row")))
     return verified(pairs, texts, join.most)
 
 
@@ -301,15 +295,16 @@ def dedup(docs: DataFrame, most: int = MOST, least: int = LEAST) -> DataFrame:
     """
     join = LineJoin(docs, most, least)
     numbered = cut(join.numbered())
-    first = cut(numbered.groupBy("id").agg(F.min(F.struct("key", "line")).alias("first"), F.max("key").alias("last")))
+    first = cut(numbered.groupBy("id").agg(F.min(F.struct("place", "row", "line")).alias("first"), F.max(F.struct("place", "row")).alias("last")))
+    home = F.struct(F.col("first.place").alias("place"), F.col("first.row").alias("row"))
     links = cut(near_lines(join, first))
     both = links.union(links.select("b", "a")).toDF("id", "other")
     ordered = both.join(first.select("id", "first"), "id").join(first.select(F.col("id").alias("other"), F.col("first").alias("before")), "other")
     near = ordered.groupBy("id").agg(F.max(F.col("before") < F.col("first")).alias("near"), F.count(F.lit(1)).alias("links"))
-    told = first.join(near, "id", "left").where(F.col("links").isNotNull() | (F.col("last") > F.col("first.key")))
-    told = told.select("id", F.col("first.key").alias("home"), F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
+    told = first.join(near, "id", "left").where(F.col("links").isNotNull() | (F.col("last") > home))
+    told = told.select("id", home.alias("home"), F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
     # a line that stands in very many documents is a key of one row on the other side
-    marks = numbered.select("id", "key").join(few(cut(told)), "id").where((F.col("key") != F.col("home")) | (F.col("links") > 0))
+    marks = numbered.select("id", F.struct("place", "row").alias("key")).join(few(cut(told)), "id").where((F.col("key") != F.col("home")) | (F.col("links") > 0))
     mark = F.struct("id", ((F.col("key") != F.col("home")) | F.col("near")).alias("gone"), "near", "links")
     marks_name, at = fresh_name(docs.columns, "_marks"), fresh_name(docs.columns, "_at")
     by_doc = marks.groupBy(F.col("key.row").alias(at)).agg(F.collect_list(mark).alias(marks_name)).repartition(join.parts, at)
