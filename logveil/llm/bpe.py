@@ -52,17 +52,18 @@ def vocabulary_bytes(path: str) -> bytes:
         return file.read()
 
 
+def ranks_of(vocabulary: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in vocabulary.splitlines() if line)}
+
+
 class PieceEncoder(dict):
     """Pieces of the pattern to their ids as little-endian 32-bit integers."""
 
     def __init__(self, vocabulary: bytes, pattern: str = public_tokenizers.PATTERN):
         super().__init__()
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in vocabulary.splitlines() if line)}
+        ranks = ranks_of(vocabulary)
         self._merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.split = regex.compile(pattern).findall
-        self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
@@ -83,6 +84,16 @@ class PieceEncoder(dict):
         """Where the pieces of a text begin."""
         return np.concatenate(([0], np.cumsum([len(p) for p in self.split(text)])))[:-1].astype(np.int64)
 
+
+class Decoder:
+    """Token ids to bytes; it needs no encoder."""
+
+    def __init__(self, vocabulary: bytes):
+        ranks = ranks_of(vocabulary)
+        self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -151,27 +162,30 @@ def _encode_chunks(keyed: DataFrame, vocabulary, chunk: int, overlap: int) -> Da
 
     def find_boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocabulary)
-        for batch in batches:
-            head, tail = [], []
-            for part, parts, body in zip(*(batch.column(c).to_pylist() for c in ("part", "parts", "text")), strict=True):
-                at = encoder.boundaries(body)
-                at = at if part == parts - 1 else at[:-_UNSURE]
-                head.append(at[at < overlap].tolist())
-                tail.append((at[at >= chunk] - chunk).tolist())
-            rows = batch.drop_columns(["text"])
-            yield appended(rows, ["head", "tail"], [pa.array(head, pa.list_(pa.int32())), pa.array(tail, pa.list_(pa.int32()))])
+        for whole in batches:
+            for batch in slices(whole):
+                head, tail = [], []
+                for part, parts, body in zip(*(batch.column(c).to_pylist() for c in ("part", "parts", "text")), strict=True):
+                    at = encoder.boundaries(body)
+                    at = at if part == parts - 1 else at[:-_UNSURE]
+                    head.append(at[at < overlap].tolist())
+                    tail.append((at[at >= chunk] - chunk).tolist())
+                rows = batch.drop_columns(["text"])
+                yield appended(rows, ["head", "tail"], [pa.array(head, pa.list_(pa.int32())), pa.array(tail, pa.list_(pa.int32()))])
 
     def encode_between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocabulary)
-        for batch in batches:
-            ids = [encoder.encode(body[a:b]) for body, a, b in zip(*(batch.column(c).to_pylist() for c in ("text", "begin", "end")), strict=True)]
-            yield appended(batch.drop_columns(["text", "begin", "end"]), ["ids"], [pa.array(ids, pa.binary())])
+        for whole in batches:
+            for batch in slices(whole):
+                ids = [encoder.encode(body[a:b]) for body, a, b in zip(*(batch.column(c).to_pylist() for c in ("text", "begin", "end")), strict=True)]
+                yield appended(batch.drop_columns(["text", "begin", "end"]), ["ids"], [pa.array(ids, pa.binary())])
 
     def encode_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocabulary)
-        for batch in batches:
-            ids = [encoder.encode(body) for body in batch.column("text").to_pylist()]
-            yield appended(batch.drop_columns(["text"]), ["token_ids"], [pa.array(ids, pa.binary())])
+        for whole in batches:
+            for batch in slices(whole):
+                ids = [encoder.encode(body) for body in batch.column("text").to_pylist()]
+                yield appended(batch.drop_columns(["text"]), ["token_ids"], [pa.array(ids, pa.binary())])
 
     n = partitions(spark, 1)
     rows = keyed.mapInArrow(cut_up, f"{_KEY}, part int, parts int, text string").repartition(n, *keys, "part")
@@ -196,8 +210,9 @@ def decode(encoded: DataFrame, ids: str = "token_ids", path: str | None = None)
     vocabulary = broadcast_vocabulary(encoded.sparkSession, path)
 
     def decode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(vocabulary)
-        for batch in batches:
-            yield appended(batch, ["decoded"], [pa.array([encoder.decode(x) if x else b"" for x in batch.column(ids).to_pylist()], pa.binary())])
+        decoder = Decoder(vocabulary.value)
+        for whole in batches:
+            for batch in slices(whole):
+                yield appended(batch, ["decoded"], [pa.array([decoder.decode(x) if x else b"" for x in batch.column(ids).to_pylist()], pa.binary())])
 
     return encoded.mapInArrow(decode_rows, with_columns(encoded, {"decoded": "binary"}))

@@ -122,7 +122,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums over some megabytes at a time."""
         for whole in batches:
-            for batch in slices(whole, 1 << 20):
+            for batch in slices(whole, 1 << 18):
                 names, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
                 code = {k: i for i, k in enumerate(languages)}
                 of = np.array([code[x] for x in names], np.int64)
@@ -157,7 +157,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", explained: bool =
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*sent.value)
         for whole in batches:
-            for batch in slices(whole, 1 << 20):
+            for batch in slices(whole, 1 << 18):
                 texts = batch.column(text).to_pylist()
                 if not own.languages:
                     names, score, knows = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))

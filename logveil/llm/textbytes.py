@@ -165,8 +165,8 @@ def covered(at: np.ndarray, size: int, n: int) -> np.ndarray:
     return np.cumsum(edges[:n]) > 0
 
 
-def slices(batch, target: int = 1 << 21):
-    """A record batch in row ranges of about `target` bytes."""
+def slices(batch, target: int = 1 << 19):
+    """A record batch in row ranges of about `target` bytes, so that a task's arrays stay small."""
     size = max(1, batch.num_rows * target // max(batch.nbytes, 1))
     for at in range(0, batch.num_rows, size):
         yield batch.slice(at, size)
