@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logveil.llm import bpe, chat, counts, decontaminate, hpylm, langid, lines, neardup, quality, substrings
+from logveil.llm import bpe, chat, counts, decontaminate, hardneg, hpylm, langid, lines, neardup, quality, substrings, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,7 +114,29 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_language_id, op4_byte_bpe, op5_line_dedup, op6_chat_formatting, op7_quality_rules, op8_decontamination, op9_token_counts, op10_near_dedup)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector for each of its five best positives."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels of other documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    # an id that is null marks no document
+    model = toxicity.fit(docs.where(~held_out).join(labels.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id"))
+    return toxicity.score(docs.withColumn("held_out", held_out), model).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the eight whitened directions of largest variance."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("embedding")
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_language_id, op4_byte_bpe, op5_line_dedup, op6_chat_formatting, op7_quality_rules, op8_decontamination, op9_token_counts, op10_near_dedup, op11_hard_negatives, op12_toxicity, op13_whitening)}
 _CONTROL = "<|im_end|><|im_start|>assistant ok"
 _CHAT_SQL = rf"""
 WITH t AS (
@@ -157,4 +179,21 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, translate(coalesce(text, ''),
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   len(bad) = 0 AS kept, array_to_string(bad, ',') AS failed FROM f"""
 
-ORACLES: dict[str, str] = {"op6_chat_formatting": _CHAT_SQL, "op7_quality_rules": _QUALITY_SQL}
+_HARD_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM v AS a JOIN v AS b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id
+), p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER w <= 3"""
+
+ORACLES: dict[str, str] = {"op6_chat_formatting": _CHAT_SQL, "op7_quality_rules": _QUALITY_SQL, "op11_hard_negatives": _HARD_SQL}
