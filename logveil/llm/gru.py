@@ -14,7 +14,7 @@ from typing import NamedTuple
 import numpy as np
 
 #: Slots of n-gram vectors, their width, the width of word vectors, states of a direction, and width of the attention.
-SLOTS, CHARS, WORDS, STATES, ATTENTION = 1 << 16, 16, 8, 8, 8
+SLOTS, CHARS, WORDS, STATES, ATTENTION = 1 << 15, 12, 8, 8, 8
 
 
 class Lexicon(NamedTuple):
@@ -68,12 +68,18 @@ def word_inputs(p: dict[str, np.ndarray], words: Lexicon, keep: np.ndarray | flo
 
 
 def gates(p: dict[str, np.ndarray], inputs: np.ndarray) -> np.ndarray:
-    """What each distinct word adds to the gates of both directions: (words, 2, 3 * STATES)."""
-    return np.stack([inputs @ p["enter"][k] + p["enter_bias"][k] for k in range(2)], axis=1)
+    """What each distinct word adds to the gates of both directions: (2, words, 3 * STATES)."""
+    return np.matmul(inputs, p["enter"]) + p["enter_bias"][:, None]
+
+
+def all_gates(p: dict[str, np.ndarray], words: Lexicon, keep: float = 1.0, abreast: int = 1 << 15) -> np.ndarray:
+    """The gates of any number of words, some at a time."""
+    parts = [gates(p, word_inputs(p, words.take(np.arange(lo, min(lo + abreast, len(words.known)))), keep)) for lo in range(0, len(words.known), abreast)]
+    return np.concatenate(parts, axis=1) if parts else np.zeros((2, 0, 3 * STATES), np.float32)
 
 
 def run(p: dict[str, np.ndarray], entering: np.ndarray, index: np.ndarray, present: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """Logits of windows; index and present are (steps, windows), index of the rows of `entering`.
+    """Logits of windows; index and present are (steps, windows), index of the words of `entering`.
 
     With a list as keep, what the backward run needs is appended to it.
     """
@@ -81,17 +87,26 @@ def run(p: dict[str, np.ndarray], entering: np.ndarray, index: np.ndarray, prese
     h, kind = STATES, entering.dtype
     states = np.zeros((steps, 2, windows, h), kind)
     now = np.zeros((2, windows, h), kind)
-    saved = []
+    into = np.empty((2, windows, 3 * h), kind)
+    saved, full = [], present.all(axis=1)
     for s in range(steps):
         t = (s, steps - 1 - s)
-        into = np.stack([entering[index[t[k]], k] for k in range(2)])
-        there = np.stack([present[t[0]], present[t[1]]])[:, :, None]
+        for k in range(2):
+            np.take(entering[k], index[t[k]], axis=0, out=into[k], mode="clip")
         turned = np.matmul(now, p["turn"])
-        rz = _sigmoid(into[:, :, : 2 * h] + turned[:, :, : 2 * h])
+        rz = into[:, :, : 2 * h] + turned[:, :, : 2 * h]
+        rz *= 0.5
+        np.tanh(rz, out=rz)
+        rz += 1
+        rz *= 0.5
         r, z = rz[:, :, :h], rz[:, :, h:]
         inner = turned[:, :, 2 * h :] + p["turn_bias"][:, None]
         n = np.tanh(into[:, :, 2 * h :] + r * inner)
-        after = np.where(there, n + z * (now - n), now)
+        after = n + z * (now - n)
+        there = np.True_
+        if not (full[t[0]] and full[t[1]]):
+            there = np.stack([present[t[0]], present[t[1]]])[:, :, None]
+            after = np.where(there, after, now)
         if keep is not None:
             saved.append((now, r, z, n, inner, there))
         now = after
@@ -158,10 +173,10 @@ def gradients(p: dict[str, np.ndarray], words: Lexicon, index: np.ndarray, prese
             parts[k].append(into[k])
     for k in range(2):
         at, sums = _summed(np.concatenate(rows[k]), np.concatenate(parts[k]))
-        d_entering[at, k] = sums
-    g["enter"] = np.stack([inputs.T @ d_entering[:, k] for k in range(2)])
-    g["enter_bias"] = d_entering.sum(axis=0)
-    d_inputs = d_entering[:, 0] @ p["enter"][0].T + d_entering[:, 1] @ p["enter"][1].T
+        d_entering[k, at] = sums
+    g["enter"] = np.matmul(inputs.T, d_entering)
+    g["enter_bias"] = d_entering.sum(axis=1)
+    d_inputs = d_entering[0] @ p["enter"][0].T + d_entering[1] @ p["enter"][1].T
     known = np.flatnonzero(words.known)
     g["words"] = _summed(words.known[known], (d_inputs[:, CHARS:] * keep)[known])
     size = np.diff(words.first)

@@ -2,8 +2,8 @@
 
 A text is lower-cased (A-Z) and cut into words of letters and digits.  Windows of
 `WINDOW` words start every `STRIDE` words until one reaches the end of the text, so
-every word of a text of any length is scored, and most of them twice, with other
-neighbours.  The network (see `gru`) reads a word's character n-grams and the word
+every word of a text of any length is scored, and a word near the end of a window once
+more with what follows it.  The network (see `gru`) reads a word's character n-grams and the word
 itself; a document's score is the highest of its windows.
 
 Training reads a bounded sample of labelled rows: about `SAMPLE` documents a class,
@@ -14,7 +14,7 @@ steps, windows of toxic documents that the network takes for clean go, except ea
 document's highest, and half of the clean windows drawn are those it takes for toxic
 most.  A sixth of the labelled documents is not trained on: of these, `CALIBRATED` a
 class at most are scored whole in Spark, and a logistic curve from highest logits to
-labels is fitted, with classes weighed by their share of all labelled rows.  The weights (about 5 MB) go to executors
+labels is fitted, with classes weighed by their share of all labelled rows.  The weights (about 2 MB) go to executors
 in one broadcast; scoring is one scan without a shuffle, with `ABREAST` windows at a time.
 
 Defined results: a text that is null or without a word has the share of toxic
@@ -40,21 +40,23 @@ from logveil.llm.bpe import with_columns
 from logveil.llm.exchange import small_batches
 from logveil.llm.textbytes import ALNUM, Words, mix, slices, split_words
 
-WINDOW, STRIDE = 96, 64
+WINDOW, STRIDE = 96, 80
 #: Labelled documents of a class that are learned from, and windows of each.
-SAMPLE, WINDOWS = 2000, 6
+SAMPLE, WINDOWS = 1500, 6
 #: Labelled documents of a class that the curve from logits to scores is fitted on, at most.
 CALIBRATED = 2000
 #: One of so many labelled documents is kept for that curve.
 RESERVED = 6
 #: Windows of a training step, passes over the sample, and steps at least and at most.
-BATCH, EPOCHS, STEPS = 64, 4, (300, 600)
+BATCH, EPOCHS, STEPS = 64, 4, (120, 500)
 #: Lengths of character n-grams in UTF-8 bytes, a word's bounds included.
-LENGTHS = (2, 3, 4, 5, 6)
+LENGTHS = (3, 4, 5)
 #: Words that stand in so many sampled windows have vectors of their own, so many words at most.
 COMMON, VOCABULARY = 3, 1 << 13
 #: Windows scored at a time.
 ABREAST = 1024
+#: Words that a task remembers the gates of.
+REMEMBERED = 1 << 17
 
 
 class Model(NamedTuple):
@@ -91,6 +93,11 @@ def lexicon(words: Words, at: np.ndarray, vocabulary: np.ndarray) -> gru.Lexicon
     return gru.Lexicon(slots[order], np.searchsorted(owners[order], np.arange(len(at) + 1)), known)
 
 
+def _lexicon_in_parts(words: Words, at: np.ndarray, vocabulary: np.ndarray, abreast: int = 1 << 15) -> gru.Lexicon:
+    parts = [lexicon(words, at[lo : lo + abreast], vocabulary) for lo in range(0, len(at), abreast)] or [lexicon(words, at, vocabulary)]
+    return gru.Lexicon(np.concatenate([x.grams for x in parts]), np.append(0, np.cumsum(np.concatenate([np.diff(x.first) for x in parts]))), np.concatenate([x.known for x in parts]))
+
+
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For documents of so many words: (document, first word within it, words) of every window."""
     many = np.where(counts > 0, 1 + -(-np.maximum(counts - WINDOW, 0) // STRIDE), 0)
@@ -176,7 +183,7 @@ def train(texts: pa.Array, label: np.ndarray, doc: np.ndarray, seed: int) -> tup
     common = np.bincount(pair, minlength=len(distinct))
     chosen = np.argsort(-common, kind="stable")[:VOCABULARY]
     vocabulary = np.sort(distinct[chosen[common[chosen] >= COMMON]])
-    every = lexicon(words, at, vocabulary)
+    every = _lexicon_in_parts(words, at, vocabulary)
     p = gru.start(len(vocabulary), rng)
     adam = gru.Adam(p)
     alive = np.flatnonzero(words.counts > 0)
@@ -209,24 +216,46 @@ def train(texts: pa.Array, label: np.ndarray, doc: np.ndarray, seed: int) -> tup
 
 def _logits(p: dict[str, np.ndarray], every: gru.Lexicon, words: Words, of_word: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Logits of some windows while words' own vectors still drop out half of the time."""
-    entering = gru.gates(p, gru.word_inputs(p, every, 0.5))
+    entering = gru.all_gates(p, every, 0.5)
     return np.concatenate([gru.run(p, entering, *_grid(words.first[x], words.counts[x], of_word)) for x in np.array_split(rows, max(1, len(rows) // ABREAST))])
 
 
-def scores(model: Model, texts: pa.Array) -> np.ndarray:
+class Remembered:
+    """The gates of words that a task has met, `REMEMBERED` at most besides those of the texts at hand."""
+
+    def __init__(self, model: Model):
+        self.model, self.hashes = model, np.zeros(0, np.uint64)
+        self.gates = np.zeros((2, 0, 3 * gru.STATES), np.float32)
+
+    def of(self, words: Words) -> np.ndarray:
+        """Numbers of the words among `gates`."""
+        distinct, at, of_word = np.unique(words.hashes, return_index=True, return_inverse=True)
+        new = ~np.isin(distinct, self.hashes, assume_unique=True)
+        if len(self.hashes) + np.count_nonzero(new) > REMEMBERED:
+            self.__init__(self.model)
+            new[:] = True
+        if new.any():
+            hashes = np.concatenate([self.hashes, distinct[new]])
+            more = gru.all_gates(self.model.weights, _lexicon_in_parts(words, at[new], self.model.vocabulary))
+            order = np.argsort(hashes, kind="stable")
+            self.hashes, self.gates = hashes[order], np.ascontiguousarray(np.concatenate([self.gates, more], axis=1)[:, order])
+        return np.searchsorted(self.hashes, distinct)[of_word]
+
+
+def scores(model: Model, texts: pa.Array, known: Remembered | None = None) -> np.ndarray:
     """The highest score of each text's windows."""
     words = split_words(texts, ALNUM, lower=True)
     out = np.full(len(texts), model.share)
     if model.weights is None or not len(words.hashes):
         return out
-    _, at, of_word = np.unique(words.hashes, return_index=True, return_inverse=True)
-    entering = gru.gates(model.weights, gru.word_inputs(model.weights, lexicon(words, at, model.vocabulary)))
+    known = known or Remembered(model)
+    of_word = known.of(words)
     doc, begin, size = windows(words.counts)
     order = np.argsort(-size, kind="stable")
     logit = np.empty(len(doc))
     for lo in range(0, len(order), ABREAST):
         part = order[lo : lo + ABREAST]
-        logit[part] = gru.run(model.weights, entering, *_grid(words.first[doc[part]] + begin[part], size[part], of_word))
+        logit[part] = gru.run(model.weights, known.gates, *_grid(words.first[doc[part]] + begin[part], size[part], of_word))
     first = np.flatnonzero(np.append(True, np.diff(doc) != 0))
     out[doc[first]] = 1 / (1 + np.exp(-np.clip(model.slope * np.maximum.reduceat(logit, first) + model.shift, -30, 30)))
     return out
@@ -239,8 +268,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*sent.value)
+        known = Remembered(own)
         for whole in batches:
-            for batch in slices(whole, 1 << 20):
-                yield appended(batch, ["score"], [pa.array(scores(own, batch.column(text)))])
+            for batch in slices(whole, 1 << 21):
+                yield appended(batch, ["score"], [pa.array(scores(own, batch.column(text), known))])
 
     return docs.mapInArrow(judge, with_columns(docs, {"score": "double"}))
