@@ -37,9 +37,13 @@ def hash_is_plausible(value: Column) -> Column:
     return value.rlike("[A-Fa-f]") & (F.size(F.array_distinct(_chars(F.lower(F.trim(value))))) >= 4)
 
 
-def hash_has_context(text: Column, start: Column, end: Column, radius: int = HASH_RADIUS) -> Column:
-    """A word about hashes within `radius` characters of [start, end)."""
+def hash_has_context(text: Column, start: Column, end: Column, radius: int = HASH_RADIUS, short_hash_len: int | None = None) -> Column:
+    """A word about hashes within `radius` characters of [start, end); whole hashes of pseudonyms count as short ones."""
     low = F.greatest(start - radius, F.lit(0))
+    if short_hash_len is not None:
+        near = lambda part: F.regexp_replace(part, rf"(\[[A-Z][A-Z0-9_:]*_[0-9a-f]{{{short_hash_len}}})[0-9a-f]+\]", "$1]")
+        before, behind = near(F.left(text, start)), near(F.substring(text, end + 1, F.length(text)))
+        return F.concat(F.right(before, F.lit(radius)), F.substring(text, start + 1, end - start), F.left(behind, F.lit(radius))).rlike(HASH_WORDS)
     return F.substring(text, low + 1, end + radius - low).rlike(HASH_WORDS)
 
 
@@ -109,9 +113,10 @@ def guid_is_nil(value: Column) -> Column:
 PSEUDONYM = r"\[[A-Z][A-Z0-9_:]*_[0-9a-f]+(?:_\d+)?\]"
 
 
-def own_pseudonym(tags: list[str], hash_len: int) -> str:
-    """The pattern of pseudonyms with one of these tags and a hash part of this length."""
-    return rf"\[(?:{'|'.join(re.escape(t) for t in sorted(tags))})_[0-9a-f]{{{hash_len}}}(?:_\d+)?\]"
+def own_pseudonym(tags: list[str], *hash_lens: int) -> str:
+    """The pattern of pseudonyms with one of these tags and a hash part of one of these lengths."""
+    parts = "|".join(f"[0-9a-f]{{{n}}}" for n in sorted(set(hash_lens), reverse=True))
+    return rf"\[(?:{'|'.join(re.escape(t) for t in sorted(tags))})_(?:{parts})(?:_\d+)?\]"
 
 
 def holds_pseudonym(value: Column) -> Column:

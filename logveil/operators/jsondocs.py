@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logveil.functions.jsonscan import pieces
 from logveil.operators.classify import classified
-from logveil.operators.mask import mask_nested, mask_text, masked_value, settled
+from logveil.operators.mask import REPLACEMENT, mask_nested, mask_text, masked_value, settled
 from logveil.plans.options import ContextRule, Options
 
 
@@ -158,29 +159,51 @@ def with_hints(flat: DataFrame, options: Options) -> DataFrame:
     return flat.join(F.broadcast(table), name == F.col("__key"), "left").drop("__key")
 
 
-def mask_any(df: DataFrame, options: Options, column: str = "text") -> DataFrame:
-    """Masks text of any shape in place: a JSON document, JSON Lines, or free text.
+def mask_any(df: DataFrame, options: Options, column: str = "text", replacements: str | None = None, begins: str | None = None) -> DataFrame:
+    """Masks text of any shape in place: a JSON document, JSON Lines, or free text with objects in it.
 
-    Strings under context rules and sensitive keys are masked as values, all others as free text; lines
-    of JSON Lines that are no JSON are free text too.  Numbers keep their spelling.  A document of one
-    line stays one line, others are indented.  Documents are taken apart and put together by two Arrow
-    functions within the row; masking itself is a projection, and nothing is shuffled or joined.
-    Of keys that occur twice in an object the last counts.  Null stays null.
+    Strings under context rules and sensitive keys are masked as values, all others as free text, and so
+    is what stands between documents.  Arrays are documents where the text is one, or JSON Lines; in
+    other text only objects are, from a line's beginning on and over any number of lines.  Numbers and
+    what stands around documents keep their spelling.  A document of one line stays one line, others are
+    indented.  One Arrow function within the row finds the strings; masking and putting together are
+    projections, and nothing is shuffled or joined.  Of keys that occur twice in an object the last
+    counts; documents nested deeper than Python's stack are free text.  Null stays null.
+    `replacements` names a column for what was replaced, as in mask_text; `begins` one with the brackets
+    that begin documents, for parts of a text that is known as a whole (see openings).
     """
-    taken = df.withColumn("__parts", _take_apart(options)(F.col(column)))
+    taken = df.withColumn("__parts", _take_apart(options)(F.col(column), F.col(begins) if begins else F.lit(None).cast("string")))
     taken = taken.withColumn("__free", F.transform("__parts", lambda p: F.when(p["kind"] == _FREE, p["value"])))
-    masked = mask_nested(taken, options, "__free", 1)
+    masked = mask_nested(taken, options, "__free", 1, replacements="__found")
     chosen = [r for r in options.context_rules if r.enabled]
 
     def new(part: Column, i: Column) -> Column:
         value = part["value"]
-        out = F.when(part["kind"] == _SENSITIVE, masked_value(value, classified(value, options, part["tag"]), options)["out"])
+        out = F.when(part["kind"] == _SENSITIVE, masked_value(value, classified(value, options, part["tag"]), options))
         for k, rule in enumerate(chosen):
-            out = out.when(part["kind"] == _RULE + k, masked_value(value, rule.tag.upper(), options, rule.strategy)["out"])
-        return out.otherwise(F.get("__free", i))
+            out = out.when(part["kind"] == _RULE + k, masked_value(value, rule.tag.upper(), options, rule.strategy))
+        return out.otherwise(F.struct(F.get("__free", i).alias("out"), F.lit(None).cast(REPLACEMENT).alias("replacement")))
+
+    def written(part: Column, i: Column) -> Column:
+        out = F.get("__new", i)["out"]
+        text = F.when(part["quoted"], _quoted(out)).otherwise(out)
+        return F.concat(part["before"], F.coalesce(text, F.lit("")))
 
     values = settled(masked.withColumn("__new", F.transform("__parts", new)), "__new")
-    return values.withColumn(column, _put_together(column, "__new")).select(*df.columns)
+    done = values.withColumn(column, F.when(F.col("__parts").isNotNull(), F.array_join(F.transform("__parts", written), "")))
+    kept = df.columns
+    if replacements:
+        own = F.filter(F.transform("__new", lambda x: x["replacement"]), lambda r: r.isNotNull())
+        every = F.concat(own, F.flatten(F.transform("__found", lambda f: F.coalesce(f, F.array().cast(f"array<{REPLACEMENT}>")))))
+        done = done.withColumn(replacements, F.coalesce(every, F.array().cast(f"array<{REPLACEMENT}>")))
+        kept = [*(c for c in kept if c != replacements), replacements]
+    return done.select(*kept)
+
+
+def _quoted(value: Column) -> Column:
+    """A string as JSON writes it."""
+    listed = F.to_json(F.array(value))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
 def mask_schemaless(df: DataFrame, options: Options, column: str, id: str | None = None) -> DataFrame:
@@ -188,65 +211,43 @@ def mask_schemaless(df: DataFrame, options: Options, column: str, id: str | None
     return mask_any(df, options, column)
 
 
-#: Kinds of strings: free text, under a sensitive key, and (from this number on) under a context rule.
-_FREE, _SENSITIVE, _RULE = 0, 1, 2
-_PART = T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("tag", T.StringType()), T.StructField("value", T.StringType())]))
+#: Kinds of strings: what stands behind the last one, free text, under a sensitive key, and (from this number on) under a context rule.
+_END, _FREE, _SENSITIVE, _RULE = -1, 0, 1, 2
+_PART = T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("tag", T.StringType()), T.StructField("value", T.StringType()), T.StructField("before", T.StringType()), T.StructField("quoted", T.BooleanType())]))
 
 
 class _Raw(str):
     """A number or constant as it is written."""
 
 
-def _parsed(text: str):
-    """The JSON document that a text is, or None."""
-    body = text.strip()
-    if body[:1] + body[-1:] not in ("{}", "[]"):
-        return None
-    try:
-        return json.loads(body, parse_float=_Raw, parse_int=_Raw, parse_constant=_Raw)
-    except (ValueError, RecursionError):
-        return None
+def openings(text: str) -> str:
+    """The brackets that begin documents in a text: both where it is one document or JSON Lines, in other text that of objects."""
+    bare = text.lstrip()
+    if bare[:1] not in ("{", "["):
+        return "{" if "{" in bare else ""
+    full = [line.lstrip() for line in text.split("\n") if line.strip()]
+    if len(full) == 1 or all(line[0] in "{[" for line in full):
+        return "{["
+    return "{[" if sum(1 for _, chunk in pieces(text) if chunk.strip()) == 1 else "{"
 
 
-def _pieces(text: str) -> list[tuple[str, object]]:
-    """A text as (piece, JSON value or None): one for a document or free text, one for each line of JSON Lines.
-
-    Objects that fill a line of other text are documents too; the lines between them stay together.
-    """
-    value = _parsed(text)
-    if value is not None:
-        return [(text, value)]
-    lines = text.splitlines()
-    full = [x for x in lines if x.strip()]
-    if len(full) > 1 and all(x.lstrip()[0] in "{[" for x in full):
-        return [(x, _parsed(x)) for x in lines]
-    out: list[tuple[str, object]] = []
-    for line in text.split("\n") if "\n" in text and "{" in text else [text]:
-        value = _parsed(line) if line.lstrip()[:1] == "{" else None
-        if value is None and out and out[-1][1] is None:
-            out[-1] = (f"{out[-1][0]}\n{line}", None)
-        else:
-            out.append((line, value))
-    return out
-
-
-def _strings(value, keys: tuple[str, ...], in_array: bool) -> Iterator[tuple[tuple[str, ...] | None, str]]:
-    """Strings of a document in order, each with its keys (None in an array)."""
-    if isinstance(value, dict):
-        for key, inner in value.items():
-            yield from _strings(inner, (*keys, key), False)
-    elif isinstance(value, list):
-        for inner in value:
-            yield from _strings(inner, keys, True)
-    elif isinstance(value, str) and not isinstance(value, _Raw):
-        yield (None if in_array else keys), value
+def _documents(text: str, begins: str) -> Iterator[tuple[str, object]]:
+    """A text as (chunk, JSON value or None for free text)."""
+    for kind, chunk in pieces(text, begins) if begins else [("text", text)]:
+        value = None
+        if kind == "json":
+            try:
+                value = json.loads(chunk, parse_float=_Raw, parse_int=_Raw, parse_constant=_Raw)
+            except (ValueError, RecursionError):
+                value = None
+        yield chunk, value
 
 
 def _take_apart(options: Options):
     known: dict[tuple[str, ...], tuple[int, str | None]] = {}
     chosen = [r for r in options.context_rules if r.enabled]
 
-    def kind(keys: tuple[str, ...] | None) -> tuple[int, str | None]:
+    def kind(keys: tuple[str, ...]) -> tuple[int, str | None]:
         if not keys:
             return _FREE, None
         if keys not in known:
@@ -256,49 +257,60 @@ def _take_apart(options: Options):
             known[keys] = (_RULE + chosen.index(rule), None) if rule is not None else (_SENSITIVE, tag) if tag is not None else (_FREE, None)
         return known[keys]
 
+    def part(number: int, tag: str | None, value: str, before: list[str], quoted: bool) -> dict:
+        made = {"kind": number, "tag": tag, "value": value, "before": "".join(before), "quoted": quoted}
+        before.clear()
+        return made
+
+    def written(value, keys: tuple[str, ...], in_array: bool, pad: str | None, level: int, before: list[str], parts: list[dict]) -> None:
+        """Writes a document anew, up to each string and behind it."""
+        if isinstance(value, str) and not isinstance(value, _Raw):
+            number, tag = kind(keys) if value and not in_array else (_FREE, None)
+            # half of a surrogate pair is no text
+            parts.append(part(number, tag, value.encode("utf-8", "replace").decode("utf-8") if _HALF.search(value) else value, before, True))
+            return
+        if not isinstance(value, dict | list) or not value:
+            before.append(str(value) if isinstance(value, _Raw) else json.dumps(value))
+            return
+        opening, closing = "{}" if isinstance(value, dict) else "[]"
+        first, other, last = (opening, ", ", closing) if pad is None else (f"{opening}\n{pad * level}", f",\n{pad * level}", f"\n{pad * (level - 1)}{closing}")
+        before.append(first)
+        for i, (key, inner) in enumerate(value.items() if isinstance(value, dict) else ((None, v) for v in value)):
+            if i:
+                before.append(other)
+            if key is not None:
+                name = json.dumps(key, ensure_ascii=False)
+                before.append(f"{json.dumps(key) if _HALF.search(name) else name}: ")
+            written(inner, keys if key is None else (*keys, key), key is None, pad, level + 1, before, parts)
+        before.append(last)
+
     @F.pandas_udf(_PART)
-    def take(texts: pd.Series) -> pd.Series:
+    def take(texts: pd.Series, begins: pd.Series) -> pd.Series:
         out = []
-        for text in texts:
-            parts: list[dict] | None = None if text is None else []
-            for piece, value in _pieces(text) if text is not None else ():
-                for keys, string in [(None, piece)] if value is None else _strings(value, (), False):
-                    number, tag = kind(keys) if string else (_FREE, None)
-                    parts.append({"kind": number, "tag": tag, "value": string})
+        for text, brackets in zip(texts, begins, strict=True):
+            if text is None:
+                out.append(None)
+                continue
+            parts: list[dict] = []
+            before: list[str] = []
+            for chunk, value in _documents(text, openings(text) if brackets is None else brackets):
+                more: list[dict] = []
+                behind = list(before)
+                try:
+                    if value is not None:
+                        written(value, (), False, "  " if "\n" in chunk else None, 1, behind, more)
+                except RecursionError:
+                    value = None
+                if value is None:
+                    more = [part(_FREE, None, chunk, before, False)]
+                    behind = []
+                parts += more
+                before = behind
+            parts.append(part(_END, None, "", before, False))
             out.append(parts)
         return pd.Series(out, dtype=object)
 
     return take
 
 
-@F.pandas_udf(T.StringType())
-def _put_together(documents: pd.Series, new: pd.Series) -> pd.Series:
-    def fill(value, strings: Iterator[str]):
-        if isinstance(value, dict):
-            return {k: fill(v, strings) for k, v in value.items()}
-        if isinstance(value, list):
-            return [fill(v, strings) for v in value]
-        return next(strings) if isinstance(value, str) and not isinstance(value, _Raw) else value
-
-    def written(value, pad: str | None, level: int = 1) -> str:
-        if isinstance(value, _Raw):
-            return str(value)
-        if not isinstance(value, dict | list) or not value:
-            return json.dumps(value, ensure_ascii=False)
-        inner = [f"{json.dumps(k, ensure_ascii=False)}: {written(v, pad, level + 1)}" for k, v in value.items()] if isinstance(value, dict) else [written(v, pad, level + 1) for v in value]
-        opening, closing = "{}" if isinstance(value, dict) else "[]"
-        if pad is None:
-            return f"{opening}{', '.join(inner)}{closing}"
-        return f"{opening}\n{pad * level}" + f",\n{pad * level}".join(inner) + f"\n{pad * (level - 1)}{closing}"
-
-    out = []
-    for text, values in zip(documents, new, strict=True):
-        if text is None:
-            out.append(None)
-            continue
-        strings = iter(values)
-        pieces = []
-        for piece, value in _pieces(text):
-            pieces.append(next(strings) if value is None else written(fill(value, strings), "  " if "\n" in piece.strip() else None))
-        out.append("\n".join(pieces))
-    return pd.Series(out, dtype=object)
+_HALF = re.compile("[\ud800-\udfff]")

@@ -55,12 +55,18 @@ def parse(pseudonym: Column, hash_len: int | None = None) -> Column:
     return F.when(base.rlike(r"^\[.+_[0-9a-f]+\]$"), found)
 
 
-def resolved(values: DataFrame) -> DataFrame:
-    """(tag, original, normalized, base) to the dictionary: the k-th value of a base gets suffix k (from 2)."""
-    rank = F.row_number().over(Window.partitionBy("base").orderBy("normalized", "original"))
-    named = values.withColumn("__k", rank)
+def resolved(values: DataFrame, identity: str | None = None) -> DataFrame:
+    """(tag, original, normalized, base) to the dictionary: the k-th value of a base gets suffix k (from 2).
+
+    With `identity`, a column of values' whole hashes, those that share one share a name; the column stays.
+    """
+    if identity is None:
+        named = values.withColumn("__k", F.row_number().over(Window.partitionBy("base").orderBy("normalized", "original")))
+    else:
+        first = F.min("normalized").over(Window.partitionBy(identity))
+        named = values.withColumn("__first", first).withColumn("__k", F.dense_rank().over(Window.partitionBy("base").orderBy("__first", identity)))
     final = F.when(F.col("__k") == 1, F.col("base")).otherwise(F.concat(F.expr("left(base, length(base) - 1)"), F.lit("_"), F.col("__k").cast("string"), F.lit("]")))
-    return named.select("tag", "original", "normalized", final.alias("pseudonym"))
+    return named.select("tag", "original", "normalized", final.alias("pseudonym"), *([identity] if identity else []))
 
 
 def merge(maps: list[DataFrame], hash_len: int | None = None) -> DataFrame:

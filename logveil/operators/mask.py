@@ -131,6 +131,11 @@ def mask_steps(options: Options, tags: list[str] | None = None) -> list[Rule]:
     return [r for r in steps if tags is None or r.tag in tags]
 
 
+def own_name(pseudonym: Column, hash_len: int) -> Column:
+    """A pseudonym under a longer hash with this many of its digits."""
+    return F.regexp_replace(pseudonym, rf"(_[0-9a-f]{{{hash_len}}})[0-9a-f]*\]$", "$1]")
+
+
 def start_state(text: Column) -> Column:
     return F.struct(text.alias("text"), F.array().cast(f"array<{REPLACEMENT}>").alias("found"))
 
@@ -157,8 +162,8 @@ def mask_text(df: DataFrame, options: Options, column: str = "text", out: str |
     return state.drop("__state")
 
 
-def mask_nested(df: DataFrame, options: Options, column: str, depth: int, tags: list[str] | None = None) -> DataFrame:
-    """Masks a column of strings in `depth` nested arrays, in place."""
+def mask_nested(df: DataFrame, options: Options, column: str, depth: int, tags: list[str] | None = None, replacements: str | None = None) -> DataFrame:
+    """Masks a column of strings in `depth` nested arrays, in place; `replacements` has each string's, nested alike."""
 
     def at(value: Column, level: int, f) -> Column:
         return f(value) if level == 0 else F.transform(value, lambda x: at(x, level - 1, f))
@@ -166,7 +171,10 @@ def mask_nested(df: DataFrame, options: Options, column: str, depth: int, tags:
     state = df.withColumn("__state", at(F.col(column), depth, start_state))
     for rule in mask_steps(options, tags):
         state = state.withColumn("__state", at(F.col("__state"), depth, lambda s, rule=rule: _rule_step(s, rule, options)))
-    return settled(state, "__state").withColumn(column, at(F.col("__state"), depth, lambda s: s["text"])).drop("__state")
+    state = settled(state, "__state").withColumn(column, at(F.col("__state"), depth, lambda s: s["text"]))
+    if replacements:
+        state = state.withColumn(replacements, at(F.col("__state"), depth, lambda s: s["found"]))
+    return state.drop("__state")
 
 
 def mask_column(df: DataFrame, column: str, tag: str, options: Options, strategy: str | None = None, out: str | None = None) -> DataFrame:

@@ -65,12 +65,17 @@ def pseudonym_spans(text: Column, options: Options) -> Column:
 
 def scan_files(lines: DataFrame, options: Options, by: str = "path", line: str = "line") -> DataFrame:
     """Per file: size, lines, changed lines, replacements, unique values, counts by tag, issues and safe."""
-    rows = scan_lines(lines, options, line)
+    rows = scan_lines(lines, options, line).withColumn("size_bytes", F.octet_length(line) + 1).withColumn("n_lines", F.lit(1))
+    return summed_up(rows, by)
+
+
+def summed_up(rows: DataFrame, by: str = "path") -> DataFrame:
+    """A row per file from rows with size_bytes, n_lines, changed, found and issues; a document that changed counts with its lines."""
     base = rows.groupBy(by).agg(
-        F.sum(F.octet_length(line) + 1).alias("size_bytes"),
-        F.count(F.lit(1)).alias("line_count"),
-        F.sum("replacements").alias("replacements"),
-        F.count_if("changed").alias("changed_lines"),
+        F.sum("size_bytes").cast("long").alias("size_bytes"),
+        F.sum("n_lines").cast("long").alias("line_count"),
+        F.sum(F.size("found")).cast("long").alias("replacements"),
+        F.sum(F.when(F.col("changed"), F.col("n_lines")).otherwise(0)).cast("long").alias("changed_lines"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("issues")))).alias("issues"),
     )
     found = rows.select(by, F.explode("found").alias("r")).select(by, "r.tag", "r.normalized")
@@ -97,9 +102,12 @@ def gate(masked: DataFrame, options: Options, column: str = "text") -> tuple[Dat
 
 
 def first_findings(found: DataFrame, limit: int = 500) -> DataFrame:
-    """The first findings by line, with the number of those that are not shown."""
+    """The first findings by line, place, tag and value, then by all other columns, with the number of those that are not shown."""
     total = found.agg(F.count(F.lit(1)).alias("__n"))
-    shown = found.orderBy("line", "start", "tag", "value").limit(limit)
+    first = ["line", "start", "tag", "value"]
+    # columns that cannot be ordered (maps) tell no rows apart
+    others = sorted(f.name for f in found.schema.fields if f.name not in first and "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant")
+    shown = found.orderBy(*first, *others).limit(limit)
     return shown.crossJoin(F.broadcast(total)).withColumn("not_shown", F.greatest(F.col("__n") - limit, F.lit(0))).drop("__n")
 
 

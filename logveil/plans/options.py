@@ -8,6 +8,10 @@ from logveil.functions import lists
 from logveil.functions.hashing import Key
 
 
+#: Digits of a whole keyed hash, which no two values share.
+WHOLE_HASH = 64
+
+
 @dataclass(frozen=True)
 class CustomRule:
     """A rule of the user's own; `pattern` is a Java regular expression.  Without a name it goes by its type."""
@@ -59,6 +63,8 @@ class Options:
     mask_structured_hosts: bool = True
     max_token_len: int = 500
     min_digit_run: int = 12
+    #: of a run under whole hashes: the digits of the names that texts carry in the end
+    short_hash_len: int | None = None
     sensitive_keys: tuple[str, ...] = tuple(k for names in lists.KEY_HINTS.values() for k in names if k not in lists.HINTS_ONLY) + tuple(lists.KEYS_WITHOUT_HINT)
     key_hints: dict[str, str] = field(default_factory=lambda: {k: tag for tag, names in lists.KEY_HINTS.items() for k in names})
 

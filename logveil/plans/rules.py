@@ -170,7 +170,7 @@ def rules(options: Options) -> list[Rule]:
 
     def hash_check(value: Column, text: Column, start: Column, end: Column) -> Column:
         plausible = checks.hash_is_plausible(value)
-        return plausible & checks.hash_has_context(text, start, end) if options.hash_requires_context else plausible
+        return plausible & checks.hash_has_context(text, start, end, short_hash_len=options.short_hash_len) if options.hash_requires_context else plausible
 
     found = [Rule(r.tag, r.pattern, forced=r.tag, strategy=r.strategy) for r in custom]
     found += [
@@ -215,7 +215,7 @@ def pseudonyms(options: Options) -> str:
     """The pattern of what masking writes, which no rule looks into."""
     tags = {*CLASS_ORDER, *CASE_SENSITIVE, *options.key_hints.values(), "VALUE", "SENSITIVE", "ORG", "CARD"}
     tags |= {rule.forced for rule in rules(options) if rule.forced} | {rule.tag.upper() for rule in options.context_rules}
-    return checks.own_pseudonym(sorted(tags), options.key.hash_len)
+    return checks.own_pseudonym(sorted(tags), options.key.hash_len, options.short_hash_len or options.key.hash_len)
 
 
 assert set(CEF_USER_FIELDS) <= set(Options().cef_fields)

@@ -6,13 +6,9 @@ down part by part; others on documents, pages, conversations and customers.
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +17,7 @@ from logveil.functions.hashing import Key, pseudonym
 from logveil.operators import detect, diff, jsondocs, mapping, mask, records, reports
 from logveil.operators.classify import classified, pseudonym_type
 from logveil.plans.options import Options
+from logveil.sources.shared import checkpoint_folder, written
 from logveil.streaming import streams
 
 KEY = Key.derive("demo-salt", 1000)
@@ -46,17 +43,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint folder; one machine gets a folder of its own where none is named."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="logveil-checkpoint-"))
-    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def hashed(value: str, key: Key = KEY) -> str:
     """SQL of a value's shortened keyed hash."""
     inner, outer = (p.hex() for p in key.pads())
@@ -397,7 +383,7 @@ def reidentify_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked lines with their originals put back."""
     tags = [t for k in _ROUND for t in TAGS[k]]
     # the dictionary and both sides of the join read the masked lines
-    masked = mask.mask_text(log_lines(spark, sf_dir, *_ROUND), OPTIONS, "line", replacements="found", tags=tags).persist(StorageLevel.DISK_ONLY)
+    masked = written(mask.mask_text(log_lines(spark, sf_dir, *_ROUND), OPTIONS, "line", replacements="found", tags=tags), "masked")
     known = mapping.build(mapping.replacements(masked, "found"))
     return mapping.reidentify(masked.select("event_id", "kind", "line"), known, "line", "event_id")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import replace
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logveil.functions import sqlfuncs
@@ -305,6 +305,64 @@ def files_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_extract(files.relative(F.col("path"), folder), "^(.*)/", 1).alias("path"), "size_bytes", "charset", "gzipped", "oversized", "damaged", F.col("doc_kind").alias("kind"))
 
 
+@query(f"SELECT {_FILE} AS path, {_NUMBER} AS line_no, line FROM ({lines_sql('event_id, line', None, 'mail')}) AS l")
+def files_lines_in_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines with their numbers, read in splits."""
+    folder = _files(spark, sf_dir, "mail")
+    found = files.numbered_text_lines(spark, folder, "*.txt")
+    return found.select(F.regexp_extract(files.relative(F.col("path"), folder), "^(.*)/", 1).alias("path"), "line_no", "line")
+
+
+@query(f"SELECT {_FILE} AS path, {_NUMBER} AS line_no, line FROM ({lines_sql('event_id, line', None, 'mail')}) AS l")
+def files_lines_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written in parts of 50 lines; a part's name tells its place."""
+    folder = checkpoint_folder(spark, "parts")
+    sinks.write_text_mirror(_paths(spark, sf_dir, "mail"), folder, part_lines=50)
+    found = files.lines(spark, folder, "*.txt").withColumn("path", files.relative(F.col("path"), folder))
+    parts = found.groupBy("path").agg(F.count(F.lit(1)).alias("n")).withColumn("file", F.regexp_extract("path", "^(.*)/", 1))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return found.join(parts.withColumn("before", before), "path").select(F.col("file").alias("path"), (F.col("line_no") + F.col("before")).alias("line_no"), "line")
+
+
+_CYRILLIC = "translate(lower(c_name), 'abcdefghijklmnopqrstuvwxyz', 'абвгдежзийклмнопрстуфхцчшщ')"
+
+
+@query(f"SELECT charset, gzipped, c_custkey, {_CYRILLIC} AS name FROM customer, (SELECT unnest(['utf-8', 'utf-8', 'utf-16']) AS charset, unnest([false, true, false]) AS gzipped) AS f")
+def files_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of three kinds read as text: UTF-8, the same packed, and UTF-16 with its mark."""
+    names = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_CYRILLIC).alias("name"))
+    folder = checkpoint_folder(spark, "charsets")
+    for form, options in {"plain": {}, "packed": {"compression": "gzip"}, "wide": {"encoding": "UTF-16"}}.items():
+        names.write.options(**options).json(f"{folder}/{form}")
+    found = files.whole_files(spark, folder, "part-*")
+    rows = records.numbered_lines(found.select("charset", "gzipped", "text")).where("line <> ''")
+    return rows.select("charset", "gzipped", F.from_json("line", "c_custkey long, name string").alias("r")).select("charset", "gzipped", "r.*")
+
+
+@query("SELECT 3 * count(*) - count(*) FILTER (WHERE event_id % 4 = 0) AS tp, count(*) FILTER (WHERE event_id % 4 = 0) AS fn, count(*) FILTER (WHERE event_id % 5 = 0) AS fp, (3 * count(*) - count(*) FILTER (WHERE event_id % 4 = 0)) / (3 * count(*)) AS recall, (3 * count(*) - count(*) FILTER (WHERE event_id % 4 = 0)) / (3 * count(*) - count(*) FILTER (WHERE event_id % 4 = 0) + count(*) FILTER (WHERE event_id % 5 = 0)) AS precision_proxy FROM events")
+def corpus_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A written corpus loaded and scored: a quarter of its rows holds a secret that no rule knows, a fifth wants an account kept."""
+    line = F.expr("'user=u' || user_id || ' from 10.0.0.' || event_id % 250 || ' by u' || user_id || '@bank.com' || CASE WHEN event_id % 4 = 0 THEN ' code word heron' ELSE '' END")
+    gone = F.expr("array('=u' || user_id || ' ', '10.0.0.' || event_id % 250, CASE WHEN event_id % 4 = 0 THEN 'heron' ELSE '@bank' END)")
+    kept = F.expr("array('user=', CASE WHEN event_id % 5 = 0 THEN 'u' || user_id || '@' ELSE ' from ' END)")
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("e"), "event_id").alias("id"), line.alias("input"), kept.alias("must_keep"), gone.alias("must_not_contain"))
+    folder = checkpoint_folder(spark, "corpus")
+    rows.write.json(folder)
+    return reports.score_corpus(files.load_corpus(spark, folder), OPTIONS)
+
+
+@query("""SELECT 'rel_path=' || CASE WHEN event_id % 3 = 0 THEN 'raw' ELSE 'masked' END || event_id % 3 || '.log' AS path, count(*) AS line_count, CASE WHEN event_id % 3 = 0 THEN 'EMAIL; FQDN; RESIDUAL: EMAIL' ELSE '' END AS issues, event_id % 3 <> 0 AS safe FROM events GROUP BY 1, 3, 4""")
+def job_verify_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder with masked files and one that was never masked."""
+    masked = mask.mask_text(log_lines(spark, sf_dir, "mail"), OPTIONS, "line", out="masked", tags=["EMAIL"])
+    name = F.expr("CASE WHEN event_id % 3 = 0 THEN 'raw' ELSE 'masked' END || event_id % 3 || '.log'")
+    lines = masked.select(name.alias("path"), F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 3 == 0, F.col("line")).otherwise(F.col("masked")).alias("line"))
+    folder = checkpoint_folder(spark, "results")
+    sinks.write_text_mirror(lines, folder)
+    found = jobs.verify_folder(spark, folder, OPTIONS, "*.txt")
+    return found.select(F.regexp_extract("path", "^(.*)/", 1).alias("path"), "line_count", F.array_join("issues", "; ").alias("issues"), "safe")
+
+
 @query(f"SELECT {_FILE} AS path, 'utf-8' AS charset FROM events GROUP BY 1")
 def files_charset(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _files(spark, sf_dir, "mail")
@@ -329,6 +387,84 @@ def job_folder_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job.masked.select(F.regexp_extract("path", "^(.*)/", 1).alias("path"), "line_no", "line")
 
 
+def _shapes(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with files of three shapes: text with objects in it, JSON Lines, and JSON documents over several lines."""
+    doc = F.array(*(F.expr(t) for t in ("'{\"user\": \"u' || user_id || '\",'", "' \"src\": [\"10.0.0.' || event_id % 250 || '\"], \"n\": 7.10}'", "'contact u' || user_id || '@bank.com'")))
+    rows = F.array(
+        F.struct(F.lit("log").alias("kind"), (F.col("event_id") * 4).alias("n"), F.array_join(doc, "\n").alias("line")),
+        F.struct(F.lit("ndjson").alias("kind"), (F.col("event_id") * 4).alias("n"), F.expr("'{\"user\":\"u' || user_id || '\",\"note\":\"from 10.0.0.' || event_id % 250 || '\"}'").alias("line")),
+    )
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.explode(rows).alias("r"))
+    lines = events.select(F.expr("'f' || event_id % 7 || '.' || r.kind").alias("path"), F.col("r.n").alias("line_no"), F.col("r.line").alias("line"))
+    whole = table(spark, sf_dir, "events").select(F.expr("'e' || event_id % 199 || '.json'").alias("path"), F.col("event_id").alias("line_no"), F.expr("CASE WHEN event_id < 199 THEN '[' ELSE ',' END || '{\"user\":' || chr(10) || '\"u' || user_id || '\"}'").alias("line"))
+    last = table(spark, sf_dir, "events").groupBy(F.expr("'e' || event_id % 199 || '.json'").alias("path")).agg((F.max("event_id") + 1).alias("line_no")).withColumn("line", F.lit("]"))
+    folder = checkpoint_folder(spark, "shapes")
+    sinks.write_text_mirror(lines.unionByName(whole).unionByName(last), folder)
+    return folder
+
+
+_SHORTER = replace(KEY, hash_len=3)
+_SHAPED = replace(OPTIONS, key=_SHORTER)
+#: SQL of the dictionary of values (tag, value) under hashes of three digits.
+_NAMED = f"""SELECT tag, v, '[' || tag || '_' || h || CASE WHEN k > 1 THEN '_' || k ELSE '' END || ']' AS name
+FROM (SELECT tag, v, h, row_number() OVER (PARTITION BY tag, h ORDER BY v) AS k FROM (SELECT tag, v, {hashed('v', _SHORTER)} AS h FROM (
+SELECT DISTINCT 'USER' AS tag, 'u' || user_id AS v FROM events UNION SELECT 'IP', '10.0.0.' || event_id % 250 FROM events UNION SELECT 'EMAIL', 'u' || user_id || '@bank.com' FROM events) AS d) AS a) AS b"""
+
+
+@query(f"""WITH d AS ({_NAMED}), e AS (
+SELECT event_id, u.name AS u, i.name AS i, m.name AS m FROM events JOIN d AS u ON u.tag = 'USER' AND u.v = 'u' || user_id
+JOIN d AS i ON i.tag = 'IP' AND i.v = '10.0.0.' || event_id % 250 JOIN d AS m ON m.tag = 'EMAIL' AND m.v = 'u' || user_id || '@bank.com')
+SELECT 'rel_path=f' || event_id % 7 || '.log' AS path, 3 * n + 1 AS line_no, '{{' || chr(10) || '  "user": "' || u || '",' || chr(10) || '  "src": [' || chr(10) || '    "' || i || '"' || chr(10) || '  ],' || chr(10) || '  "n": 7.10' || chr(10) || '}}' AS line
+FROM (SELECT *, row_number() OVER (PARTITION BY event_id % 7 ORDER BY event_id) - 1 AS n FROM e) AS x
+UNION ALL SELECT 'rel_path=f' || event_id % 7 || '.log', 3 * n + 3, 'contact ' || m FROM (SELECT *, row_number() OVER (PARTITION BY event_id % 7 ORDER BY event_id) - 1 AS n FROM e) AS x
+UNION ALL SELECT 'rel_path=f' || event_id % 7 || '.ndjson', row_number() OVER (PARTITION BY event_id % 7 ORDER BY event_id), '{{"user": "' || u || '", "note": "from ' || i || '"}}' FROM e
+UNION ALL SELECT 'rel_path=e' || event_id % 199 || '.json', 1, '[' || chr(10) || string_agg('  {{' || chr(10) || '    "user": "' || u || '"' || chr(10) || '  }}', ',' || chr(10) ORDER BY event_id) || chr(10) || ']' FROM e GROUP BY event_id % 199""")
+def job_folder_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of text, JSON Lines and JSON documents masked as one job; values collide, within lines and documents too."""
+    folder = _shapes(spark, sf_dir)
+    out = checkpoint_folder(spark, "masked")
+    jobs.mask_folder(spark, folder, out, _SHAPED, "*.txt")
+    return spark.read.parquet(out).select(F.regexp_extract("path", "^(.*)/", 1).alias("path"), "line_no", "line")
+
+
+@query(f"SELECT tag, v AS original, name AS pseudonym FROM ({_NAMED}) AS d")
+def job_folder_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one dictionary of that job: values of JSON files and of text, with their suffixes."""
+    return jobs.mask_folder(spark, _shapes(spark, sf_dir), None, _SHAPED, "*.txt").dictionary.select("tag", "original", "pseudonym")
+
+
+@query("""SELECT 'rel_path=f' || event_id % 7 || '.log' AS path, 3 * count(*) AS line_count, 3 * count(*) AS replacements, 'EMAIL,IP,USER' AS tags, true AS safe FROM events GROUP BY 1
+UNION ALL SELECT 'rel_path=f' || event_id % 7 || '.ndjson', count(*), 2 * count(*), 'IP,USER', true FROM events GROUP BY 1
+UNION ALL SELECT 'rel_path=e' || event_id % 199 || '.json', 2 * count(*) + 1, count(*), 'USER', true FROM events GROUP BY 1""")
+def job_folder_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of that job."""
+    report = jobs.mask_folder(spark, _shapes(spark, sf_dir), None, _SHAPED, "*.txt").report()
+    return report.select(F.regexp_extract("path", "^(.*)/", 1).alias("path"), "line_count", "replacements", F.array_join(F.array_sort(F.map_keys("stats_by_type")), ",").alias("tags"), "safe")
+
+
+@query("SELECT event_id, 'u' || user_id || '@bank.com, u' || event_id || '@bank.com and u' || user_id || '@bank.com' AS line FROM events")
+def job_folder_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of three values under hashes of one digit, where nearly all collide, masked as a job and restored from its dictionary."""
+    lines = table(spark, sf_dir, "events").select(F.expr("'f' || event_id % 3").alias("path"), F.col("event_id").alias("line_no"), F.expr("'event ' || event_id || ': u' || user_id || '@bank.com, u' || event_id || '@bank.com and u' || user_id || '@bank.com'").alias("line"))
+    folder = checkpoint_folder(spark, "files")
+    sinks.write_text_mirror(lines, folder)
+    job = jobs.mask_folder(spark, folder, None, replace(OPTIONS, key=replace(KEY, hash_len=1)), "*.txt")
+    back = mapping.reidentify(job.masked.withColumn("id", F.concat_ws(":", "path", "line_no")), job.dictionary, "line", "id")
+    return back.select(F.regexp_extract("line", r"^event (\d+): ", 1).cast("long").alias("event_id"), F.regexp_replace("line", r"^event \d+: ", "").alias("line"))
+
+
+@query("""SELECT event_id, '[USER_a' || lower(to_hex(user_id)) || CASE WHEN user_id % 2 = 0 THEN '_2' ELSE '' END || '] met [IP_b' || lower(to_hex(event_id % 250)) || CASE WHEN event_id % 250 % 2 = 0 THEN '_2' ELSE '' END || ']' AS line FROM events""")
+def mapping_rewrite_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old pseudonyms in lines replaced by those of a merged dictionary."""
+    events = table(spark, sf_dir, "events")
+    name = lambda tag, c: F.expr(f"'[{tag}' || lower(hex({c})) || ']'")
+    new = lambda tag, c: F.expr(f"'[{tag}' || lower(hex({c})) || '_2]'")
+    users = events.select("user_id").distinct().where("user_id % 2 = 0").select(name("USER_a", "user_id").alias("old"), new("USER_a", "user_id").alias("new"))
+    hosts = events.select(F.expr("event_id % 250").alias("h")).distinct().where("h % 2 = 0").select(name("IP_b", "h").alias("old"), new("IP_b", "h").alias("new"))
+    lines = events.select("event_id", F.concat(name("USER_a", "user_id"), F.lit(" met "), name("IP_b", "event_id % 250")).alias("line"))
+    return mapping.rewrite(lines, users.unionByName(hosts), "line", "event_id")
+
+
 @query(f"SELECT {_FILE} AS path, count(*) AS line_count, 'EMAIL; FQDN; RESIDUAL: EMAIL' AS issues, false AS safe FROM events GROUP BY 1")
 def job_verify_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that were never masked do not pass."""
@@ -447,3 +583,41 @@ def stream_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     running.processAllAvailable()
     running.stop()
     return spark.read.parquet(f"{folder}/table").select("tag", "original", "pseudonym")
+
+
+_NESTED = """'[' || event_id || '] step' || chr(10) || '{"a": [' || chr(10) || '{"b": ' || event_id || '},' || chr(10) || '[]' || chr(10) || ']} done' || chr(10) || '{"open": [' || chr(10) || '[1, 2' || chr(10) || 'oops ' || event_id"""
+_NESTED_SQL = f"""SELECT 'p' || event_id % 20 AS path, chunk_no, kind, chunk FROM (
+SELECT event_id, 8 * (dense_rank() OVER (PARTITION BY event_id % 20 ORDER BY event_id) - 1) + u.i AS chunk_no, u.kind AS kind, u.chunk AS chunk FROM (SELECT event_id, unnest([
+{{'i': 0, 'kind': 'json', 'chunk': '[' || event_id || ']'}}, {{'i': 1, 'kind': 'text', 'chunk': ' step' || chr(10)}}, {{'i': 2, 'kind': 'json', 'chunk': '{{"a": [' || chr(10) || '{{"b": ' || event_id || '}},' || chr(10) || '[]' || chr(10) || ']}}'}},
+{{'i': 3, 'kind': 'text', 'chunk': ' done' || chr(10)}}, {{'i': 4, 'kind': 'text', 'chunk': '{{"open": [' || chr(10)}}, {{'i': 5, 'kind': 'text', 'chunk': '[1, 2' || chr(10)}}, {{'i': 6, 'kind': 'text', 'chunk': 'oops ' || event_id || chr(10)}},
+{{'i': 7, 'kind': 'json', 'chunk': '[' || event_id || ']'}}]) AS u FROM events) AS x) AS y"""
+
+
+def _nested(rows: DataFrame) -> DataFrame:
+    """(path, event_id, line) of text, nested documents, brackets that are never closed, and a document of one line."""
+    lines = F.split(F.concat(F.expr(_NESTED), F.expr("chr(10) || '[' || event_id || ']'")), "\n")
+    return rows.select(F.expr("'p' || event_id % 20").alias("path"), "event_id", F.posexplode(lines).alias("i", "line"))
+
+
+@query(_NESTED_SQL)
+def json_assembly_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested documents between lines that begin with brackets and are none."""
+    rows = _nested(table(spark, sf_dir, "events"))
+    return streams.assemble(rows.select("path", (F.col("event_id") * 9 + F.col("i")).alias("line_no"), "line"))
+
+
+@query(_NESTED_SQL)
+def stream_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream whose lines arrive in two batches and out of order."""
+    rows = _nested(table(spark, sf_dir, "events"))
+    numbered = table(spark, sf_dir, "events").select("event_id", (F.row_number().over(Window.partitionBy(F.col("event_id") % 20).orderBy("event_id")) - 1).alias("n"))
+    folder = checkpoint_folder(spark, "lines")
+    lines = rows.join(numbered, "event_id").select("path", (F.col("n") * 9 + F.col("i") + 1).alias("line_no"), "line")
+    out = checkpoint_folder(spark, "assembled")
+    for part in range(2):
+        # a run for each half; which half a line is in has nothing to do with its place
+        lines.where(F.pmod(F.xxhash64("path", "line_no"), F.lit(2)) == part).write.mode("append").parquet(folder)
+        stream = streams.assemble_stream(spark.readStream.schema(lines.schema).parquet(folder))
+        running = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(once=True).start(f"{out}/rows")
+        running.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")

@@ -6,10 +6,11 @@ import gzip
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logveil.operators.records import is_damaged, normalized_newlines, numbered_lines
+from logveil.sources.shared import few, written
 
 # ---- fixed values: charsets in the order in which they are tried ----
 SINGLE_BYTE = ["cp1251", "cp1252", "latin-1"]
@@ -90,7 +91,7 @@ def detect_charset(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def lines(spark: SparkSession, paths: str | list[str], pattern: str | None = None) -> DataFrame:
     """(path, line_no, line) of text files, numbered from 1; charsets and gzip as in whole_files.
 
-    A line feed at the end begins no further line.  A file is read by one task; for large files see text_lines.
+    A line feed at the end begins no further line.  A file is read by one task; for large files see numbered_text_lines.
     """
     files = whole_files(spark, paths, pattern).select("path", "text")
     return numbered_lines(files.withColumn("text", F.when(F.col("text").endswith("\n"), F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))))
@@ -104,6 +105,25 @@ def text_lines(spark: SparkSession, paths: str | list[str], pattern: str | None
     return reader.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
 
 
+def numbered_text_lines(spark: SparkSession, paths: str | list[str], pattern: str | None = None) -> DataFrame:
+    """(path, line_no, line) of large UTF-8 files, read in splits by several tasks and numbered from 1.
+
+    A first pass counts the lines of each split; the sums over a file's earlier splits are what the second
+    pass adds to a line's place in its own.  Both passes read the same splits, and only (path, split, two
+    numbers) moves between them.
+    """
+    reader = spark.read.option("recursiveFileLookup", True)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    # ids of a task's rows follow one another, and a split's rows stand together and in order
+    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    rows = reader.text(paths).select(name.alias("path"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__id"), F.col("value").alias("line"))
+    counted = written(rows.groupBy("path", "__split").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n")), "splits")
+    before = F.sum("__n").over(Window.partitionBy("path").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = counted.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
+    return rows.join(few(splits), ["path", "__split"]).select("path", (F.col("__before") + F.col("__id") - F.col("__first") + 1).alias("line_no"), "line")
+
+
 def load_mapping(spark: SparkSession, path: str) -> DataFrame:
     """(original, pseudonym) of an exported mapping document; one of another schema version is an error."""
     doc = spark.read.option("multiLine", True).schema(MAPPING).json(path)

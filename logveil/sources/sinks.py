@@ -5,17 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logveil.sources.shared import few, written
+
 
 def output_name(path: Column) -> Column:
     """A relative path without the suffix .gz."""
     return F.regexp_replace(path, r"\.gz$", "")
 
 
-def write_text_mirror(lines: DataFrame, folder: str, by: str = "path", number: str = "line_no", line: str = "line") -> None:
-    """One folder per input file (rel_path=...), its lines in order."""
+#: Lines of a file that one task writes.
+PART_LINES = 4 << 20
+
+
+def write_text_mirror(lines: DataFrame, folder: str, by: str = "path", number: str = "line_no", line: str = "line", part_lines: int = PART_LINES) -> None:
+    """One folder per input file (rel_path=...), its lines in order.
+
+    A file of more than `part_lines` lines becomes several parts of about that many, written by several
+    tasks: its lines are dealt by ranges of their numbers, and parts are in order by name.
+    """
     named = lines.withColumn("rel_path", output_name(F.col(by)))
-    ordered = named.repartition("rel_path").sortWithinPartitions("rel_path", number)
-    ordered.select("rel_path", F.col(line).alias("value")).write.partitionBy("rel_path").mode("overwrite").text(folder)
+    sizes = written(named.groupBy("rel_path").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > part_lines), "sizes")
+    large = sizes.agg(F.sum("__n").alias("n")).first()["n"] or 0
+    small = named.join(few(sizes.select("rel_path")), "rel_path", "left_anti") if large else named
+
+    def put(rows: DataFrame, mode: str) -> None:
+        ordered = rows.sortWithinPartitions("rel_path", number)
+        ordered.select("rel_path", F.col(line).alias("value")).write.partitionBy("rel_path").mode(mode).text(folder)
+
+    put(small.repartition("rel_path"), "overwrite")
+    if large:
+        ranged = named.join(few(sizes.select("rel_path")), "rel_path", "left_semi")
+        put(ranged.repartitionByRange(-(-large // part_lines), "rel_path", number), "append")
 
 
 def write_report(report: DataFrame, path: str, form: str = "jsonl") -> None:

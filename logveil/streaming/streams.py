@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from logveil.functions.jsonscan import Scanner
 from logveil.operators.mapping import build, extend, replacements
 from logveil.operators.mask import mask_text
 from logveil.operators.reports import scan_lines
@@ -60,76 +61,44 @@ def grow_dictionary(lines: DataFrame, options: Options, table: str, checkpoint:
     return lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).start()
 
 
-#: Characters of a document that is put together from lines.
-LONGEST = 16 << 20
 CHUNK = "path string, chunk_no long, kind string, chunk string"
-_STATE = "next_line long, next_chunk long, waiting string, buffer string"
+#: Lines that wait for one before them, and the scanner, as JSON.
+_STATE = "next_line long, next_chunk long, waiting string, scanner string"
 
 
-def split_chunks(buffer: str) -> tuple[list[tuple[str, str]], str]:
-    """Complete (kind, chunk) pieces at the front of a buffer of whole lines, and the rest that may still be completed.
-
-    A line that no JSON document can begin with is text, and so is one of a document that grows beyond `LONGEST`.
-    """
-    out: list[tuple[str, str]] = []
-    decoder = json.JSONDecoder()
-    while buffer:
-        body = buffer.lstrip(" \t\r\n")
-        if not body:
-            break
-        if body[0] not in "{[":
-            end = buffer.find("\n") + 1
-            if not end:
-                break
-            out.append(("text", buffer[:end]))
-            buffer = buffer[end:]
-            continue
-        try:
-            _, size = decoder.raw_decode(body)
-        except json.JSONDecodeError as e:
-            # more lines help only if the text ended too early
-            if e.pos >= len(body.rstrip()) and len(buffer) <= LONGEST:
-                break
-            end = len(buffer) - len(body) + body.find("\n") + 1
-            out.append(("text", buffer[:end]))
-            buffer = buffer[end:]
-            continue
-        size += len(buffer) - len(body)
-        out.append(("json", buffer[:size]))
-        buffer = buffer[size:].removeprefix("\n")
-    return out, buffer
-
-
-def _flush(buffer: str) -> list[tuple[str, str]]:
-    return [("text", piece) for piece in buffer.splitlines(keepends=True)]
+def _without_ends(pieces: list[tuple[str, str]]) -> Iterator[tuple[str, str]]:
+    """Pieces of a line without the line feed behind a document."""
+    before = ""
+    for kind, chunk in pieces:
+        if not (before == "json" and chunk == "\n"):
+            yield kind, chunk
+        before = kind
 
 
 def assemble(lines: DataFrame) -> DataFrame:
-    """Batch: (path, line_no, line) to (path, chunk_no, kind, chunk), JSON documents over several lines put together.
+    """Batch: (path, line_no, line) to (path, chunk_no, kind, chunk), JSON documents over any number of lines put together.
 
-    The lines of a file are read in order by one task, in pieces; it holds one document at a time.
+    The lines of a file are read in order by one task, each once; it holds one document at a time.  The line feed behind a document belongs to no chunk.
     """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        path, buffer, number = None, "", 0
+        path, scanner, number = None, Scanner(), 0
         for rows in batches:
             out: list[tuple] = []
 
             def put(pieces: list[tuple[str, str]], out: list[tuple] = out) -> None:
                 nonlocal number
-                for kind, chunk in pieces:
+                for kind, chunk in _without_ends(pieces):
                     out.append((path, number, kind, chunk))
                     number += 1
 
             for p, line in zip(rows["path"], rows["line"], strict=True):
                 if p != path:
-                    put(_flush(buffer))
-                    path, buffer, number = p, "", 0
-                pieces, buffer = split_chunks(f"{buffer}{line}\n")
-                put(pieces)
+                    put(scanner.finish())
+                    path, number = p, 0
+                put(scanner.feed(f"{line}\n"))
             yield pd.DataFrame(out, columns=["path", "chunk_no", "kind", "chunk"])
-        if buffer:
-            yield pd.DataFrame([(path, number + i, k, c) for i, (k, c) in enumerate(_flush(buffer))], columns=["path", "chunk_no", "kind", "chunk"])
+        yield pd.DataFrame([(path, number + i, k, c) for i, (k, c) in enumerate(_without_ends(scanner.finish()))], columns=["path", "chunk_no", "kind", "chunk"])
 
     ordered = lines.repartition("path").sortWithinPartitions("path", "line_no")
     return ordered.select("path", "line").mapInPandas(walk, CHUNK)
@@ -138,28 +107,26 @@ def assemble(lines: DataFrame) -> DataFrame:
 def assemble_stream(lines: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
     """Stream: the same per path.  Lines may arrive in any order: those ahead of a gap wait in the state.
 
-    A path that is silent for `timeout_ms` gives what is left as text.
+    A line is scanned when its turn comes and never again.  A path that is silent for `timeout_ms` gives what is left.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, number, waiting, buffer = state.get if state.exists else (None, 0, "{}", "")
+        at, number, waiting, kept = state.get if state.exists else (1, 0, "{}", "null")
         ahead = {int(k): v for k, v in json.loads(waiting).items()}
+        scanner = Scanner.resumed(json.loads(kept))
         out: list[tuple[str, str]] = []
         if state.hasTimedOut:
             for line in sorted(ahead):
-                buffer += f"{ahead[line]}\n"
-            pieces, rest = split_chunks(buffer)
-            out = pieces + _flush(rest)
+                out += _without_ends(scanner.feed(f"{ahead[line]}\n"))
+            out += _without_ends(scanner.finish())
             state.remove()
         else:
             for rows in batches:
                 ahead |= dict(zip((int(n) for n in rows["line_no"]), rows["line"], strict=True))
-            at = 1 if at is None else at
             while at in ahead:
-                pieces, buffer = split_chunks(f"{buffer}{ahead.pop(at)}\n")
-                out += pieces
+                out += _without_ends(scanner.feed(f"{ahead.pop(at)}\n"))
                 at += 1
-            state.update((at, number + len(out), json.dumps(ahead), buffer))
+            state.update((at, number + len(out), json.dumps(ahead), json.dumps(scanner.state())))
             state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame([(key[0], number + i, k, c) for i, (k, c) in enumerate(out)], columns=["path", "chunk_no", "kind", "chunk"])
 

@@ -1,10 +1,15 @@
 """Registered streams end in files and not in the driver."""
 
+import json
+import random
+import re
+import time
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 
 from logveil import queries
-from logveil.streaming import streams
+from logveil.functions.jsonscan import Scanner, pieces
 
 
 def test_stream_mask_is_drained_to_files(spark, tmp_path):
@@ -17,6 +22,42 @@ def test_stream_mask_is_drained_to_files(spark, tmp_path):
 
 
 def test_lines_that_begin_no_document():
-    pieces, rest = streams.split_chunks('[2026-01-01] INFO\n{"a":\n1}\n[bad\n{"b": [1,\n')
-    assert pieces == [("text", "[2026-01-01] INFO\n"), ("json", '{"a":\n1}'), ("text", "[bad\n")] and rest == '{"b": [1,\n'
-    assert streams.split_chunks('{"a": "no end\n{"b": 2}\n') == ([("text", '{"a": "no end\n'), ("json", '{"b": 2}')], "")
+    found = fed('[2026-01-01] INFO\n{"a":\n1}\n[bad\n{"b": [1,\n')
+    assert found == [("text", "[2026-01-01] INFO\n"), ("json", '{"a":\n1}'), ("text", "\n"), ("text", "[bad\n"), ("text", '{"b": [1,\n')]
+    assert fed('{"a": "no end\n{"b": 2}\n') == [("text", '{"a": "no end\n'), ("json", '{"b": 2}'), ("text", "\n")]
+
+
+def fed(text: str, resume: bool = False) -> list[tuple[str, str]]:
+    scanner, out = Scanner(), []
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
+        out += scanner.feed(line)
+        if resume:
+            scanner = Scanner.resumed(json.loads(json.dumps(scanner.state())))
+    return out + scanner.finish()
+
+
+def test_scanner_against_a_parser():
+    rng = random.Random(1)
+    for _ in range(4000):
+        text = "".join(rng.choice(["{", "}", "[", "]", '"a"', ":", ",", "1", "\n", "\n", " ", "x", '{"k":1}', '"\\n"', "true", "\0", '"\\ud800"', "-0.5e3"]) for _ in range(rng.randint(1, 30)))
+        found = fed(text)
+        assert "".join(c for _, c in found) == text and fed(text, resume=True) == found
+        assert "".join(c for _, c in pieces(text)) == text
+        assert [c for k, c in pieces(text) if k == "json"] == [c for k, c in found if k == "json"]
+        assert all(isinstance(json.loads(c), dict | list) for k, c in found if k == "json")
+        try:
+            whole = isinstance(json.loads(text), dict | list)
+        except ValueError:
+            whole = False
+        assert whole == ([k for k, c in found if c.strip()] == ["json"])
+
+
+def test_scanner_time_is_linear():
+    def seconds(n: int, line: str, last: str) -> float:
+        start = time.process_time()
+        fed("{\n" + line * n + last)
+        return time.process_time() - start
+
+    for line, last in (('"k": [1, 2,\n{"a": null}],\n', '"z": 0}\n'), ('"k": {\n', "oops\n"), ('"a":\n[1,\n{"q": 1},\n{"b": \n1},\n', "oops\n")):
+        seconds(100, line, last)
+        assert seconds(16_000, line, last) < 12 * max(seconds(4_000, line, last), 0.01)
