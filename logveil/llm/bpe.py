@@ -35,7 +35,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logveil.llm.arrowcols import appended
+from logveil.llm.arrowcols import appended, fresh_name
 from logveil.llm.exchange import cut, partitions, small_batches
 from logveil.llm.textbytes import slices
 
@@ -135,13 +135,15 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, chunk:
     length = F.coalesce(F.length(text), F.lit(0))
     short = docs.where(length <= chunk).mapInArrow(encode_rows, with_columns(docs, new))
     # equal rows have equal keys and equal ids
-    keyed = docs.where(length > chunk).withColumn("__k1", F.xxhash64(text)).withColumn("__k2", F.xxhash64(F.lit(1), text))
+    names = [fresh_name(docs.columns, k) for k in ("__k1", "__k2", "__k3")]
+    keyed = docs.where(length > chunk).withColumn(names[0], F.xxhash64(text)).withColumn(names[1], F.xxhash64(F.lit(1), text))
     # the hash of the row deals copies of one text out
     others = [c for c in docs.columns if docs.schema[c].dataType.simpleString() in ("bigint", "int", "string") and c != text]
-    keyed = keyed.withColumn("__k3", F.xxhash64(F.lit(2), *others))
-    ids = _encode_chunks(keyed.select("__k1", "__k2", "__k3", F.col(text).alias("text")), vocabulary, chunk, overlap)
+    keyed = keyed.withColumn(names[2], F.xxhash64(F.lit(2), *others)).drop(*new)
+    ids = _encode_chunks(keyed.select(*(F.col(n).alias(f"__k{i + 1}") for i, n in enumerate(names)), F.col(text).alias("text")), vocabulary, chunk, overlap)
+    ids = ids.select(*(F.col(f"__k{i + 1}").alias(n) for i, n in enumerate(names)), "token_ids")
     kept = [c for c in docs.columns if c not in new]
-    long = keyed.join(ids, ["__k1", "__k2", "__k3"]).select(*kept, "token_ids", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"))
+    long = keyed.join(ids, names).select(*kept, "token_ids", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"))
     return short.unionByName(long)
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logveil.llm.arrowcols import appended
+from logveil.llm.arrowcols import appended, fresh_name
 from logveil.llm.bpe import PieceEncoder, broadcast_vocabulary, encoder_of, with_columns
 from logveil.llm.textbytes import slices
 
@@ -191,8 +191,9 @@ def with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
     """Joins a table (doc_id, edit_no, start, stop, replacement) to the trees as a column `edits`, in order."""
     row = F.struct("edit_no", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), F.col("replacement").cast("string").alias("replacement"))
     ordered = F.transform(F.array_sort(F.collect_list(row)), lambda e: F.struct(e["start"].alias("start"), e["stop"].alias("stop"), e["replacement"].alias("replacement")))
-    grouped = edits.where("doc_id is not null").groupBy(F.col("doc_id").alias("__doc")).agg(ordered.alias("edits"))
-    return trees.drop("edits").join(grouped, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    key = fresh_name(trees.columns, "__doc")
+    grouped = edits.where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(ordered.alias("edits"))
+    return trees.drop("edits").join(grouped, F.col("doc_id") == F.col(key), "left").drop(key)
 
 
 def apply_edits(trees: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:

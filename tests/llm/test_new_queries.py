@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from logveil.llm import gru, hardneg, queries, toxicity, whitening
+from logveil.llm import bpe, counts, decontaminate, gru, hardneg, queries, toxicity, whitening
 from logveil.llm.textbytes import ALNUM, split_words
 
 VECTORS = "vec_id long, embedding array<double>, label int, x string, rank int, component string"
@@ -229,3 +229,19 @@ def test_curve_separates():
     a, b = toxicity.curve(np.array([-3.0, -2, -1, 2, 3]), np.array([0.0, 0, 0, 1, 1]), np.full(5, 0.2))
     assert a * -1 + b < 0 < a * 2 + b
     assert Fraction(1, 3) < 1 / (1 + np.exp(-(a * 0.5 + b))) < Fraction(2, 3)
+
+
+def test_helper_columns_clash_with_none(spark):
+    kind = "doc_id long, text string, __k1 int, __k2 string, token_ids string, __doc int, __h int"
+    rows = [(1, "ab cd " * 30, 5, "x", "old", 6, 7), (1, "ab cd " * 30, 5, "x", "old", 6, 7), (2, "ab", 5, "x", "old", 6, 7), (3, None, 5, "x", "old", 6, 7)]
+    docs = spark.createDataFrame(rows, kind)
+    found = bpe.encode(docs, chunk=64, overlap=16).collect()
+    assert len(found) == 4 and all((r["__k1"], r["__k2"], r["__doc"], r["__h"]) == (5, "x", 6, 7) for r in found)
+    whole = {r["doc_id"]: r["token_ids"] for r in bpe.encode(docs).collect()}
+    assert all(r["token_ids"] == whole[r["doc_id"]] for r in found)
+    trees = counts.count_trees(docs)
+    edits = spark.createDataFrame([(1, 0, 0, 2, "zz"), (None, 0, 0, 1, "y"), (2, 0, None, None, None)], "doc_id long, edit_no int, start int, stop int, replacement string")
+    edited = counts.apply_edits(counts.with_edits(trees, edits)).collect()
+    assert sorted((r["doc_id"], (r["text"] or "")[:2], r["__doc"]) for r in edited) == [(1, "zz", 6), (1, "zz", 6), (2, "ab", 6), (3, "", 6)]
+    items = spark.createDataFrame([("i", "ab cd " * 6, 1)], "item_id string, text string, n_hit int")
+    assert {r["n_hit"] > 0 for r in decontaminate.scan(docs, items).collect() if r["doc_id"] == 1} == {True}
