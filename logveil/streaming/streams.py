@@ -55,7 +55,7 @@ def grow_dictionary(lines: DataFrame, options: Options, table: str, checkpoint:
             if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
             known = new.limit(0)
-        grown = extend(known, new).join(known.select("tag", "normalized"), ["tag", "normalized"], "left_anti")
+        grown = extend(known, new, options.key.hash_len).join(known.select("tag", "normalized"), ["tag", "normalized"], "left_anti")
         grown.select(*new.columns).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).start()
