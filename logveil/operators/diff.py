@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logveil.functions.regex import extract_all, gaps, starts
+from logveil.operators.joins import lookup
+
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
@@ -53,27 +56,86 @@ def diff_rows(before: DataFrame, after: DataFrame, context: int = 3, by: str = "
     return near.select(by, number, F.explode(rows).alias("r")).select(by, number, "r.op", "r.text")
 
 
+#: A run of letters, digits and underscores.
+RUN = r"\w+"
+#: A value is first looked up by its first runs, as many as the largest of these that it has.
+LEVELS = (1, 2, 4)
+
+
+def _stretch(runs: Column, between: Column, first: Column, n: int) -> Column:
+    """A text's n runs from one on, with what stands between them; null if it has fewer."""
+    parts = [F.get(runs, first)]
+    for k in range(1, n):
+        parts += [F.get(between, first + k), F.get(runs, first + k)]
+    return F.concat(*parts)
+
+
+def _runs(df: DataFrame, column: str) -> DataFrame:
+    """Adds the runs of a text and what stands before, between and behind them, computed once."""
+    cut = F.struct(extract_all(F.col(column), RUN).alias("m"), gaps(F.col(column), RUN).alias("g"))
+    return df.withColumn("__cut", F.explode(F.array(cut))).where(F.size("__cut.m") > 0)
+
+
+def _by_run(values: DataFrame) -> DataFrame:
+    """Values that hold a run: (value, tag, n runs, core from the first to the last run, head, tail, key of the first runs)."""
+    m, g = F.col("__cut.m"), F.col("__cut.g")
+    cut = _runs(values.select("value", "tag").distinct(), "value")
+    head, tail, n = F.element_at(g, 1), F.element_at(g, -1), F.size(m)
+    key = F.lit(None).cast("long")
+    for level in LEVELS:
+        key = F.when(n >= level, F.xxhash64(F.lit(level), _stretch(m, g, F.lit(0), level))).otherwise(key)
+    core = F.substring(F.col("value"), F.length(head) + 1, F.length("value") - F.length(head) - F.length(tail))
+    return cut.select("value", "tag", n.alias("n"), core.alias("core"), head.alias("head"), tail.alias("tail"), key.alias("key"))
+
+
+def _apart(found: Column) -> Column:
+    """Spans sorted by start, the longest first, without those that begin within one that was kept."""
+    none = F.struct(F.lit(0).alias("end"), F.slice(found, 1, 0).alias("kept"))
+    step = lambda done, s: F.when(s["start"] >= done["end"], F.struct(s["end"].alias("end"), F.concat(done["kept"], F.array(s)).alias("kept"))).otherwise(done)
+    return F.aggregate(found, none, step, lambda done: done["kept"])
+
+
 def value_spans(df: DataFrame, values: DataFrame, column: str = "text", id: str = "doc_id") -> DataFrame:
-    """(id, start, end, value, tag): where values (value, tag) stand in texts, as whole words, the longest at a place.
+    """(id, start, end, value, tag): where values (value, tag) stand in texts, the longest at a place.
+
+    No letter, digit or underscore may stand before or behind a value; from left to right, a span that
+    begins within one found before is left out; of several tags of a value the smallest is taken.  Values
+    without any letter, digit or underscore are not looked for; null texts and values give nothing; rows
+    that share id and text give their spans once.
 
-    Texts are cut into words and values start at a word, so candidates come from an equality join on
-    a value's first word; a span within a longer one gives way.
+    A value begins and ends at the ends of runs of a text, so it is found by equality.  Hashes of a text's first
+    one, two and four runs at every place tell where a value may begin and how many runs it has; only for
+    these the runs themselves are looked up.  Texts are joined with their places by id and never with
+    values, and words or values that stand in most texts make no task longer than others.
     """
-    word = r"(?U)[\w@.+\-]+"
-    m, g = F.regexp_extract_all(F.col(column), F.lit(word), F.lit(0)), F.split(column, word, -1)
-    from logveil.functions.regex import starts
-
-    texts = df.select(id, column).withColumn("__at", starts(g, m))
-    places = texts.select(id, column, F.explode(F.arrays_zip(m.alias("w"), F.col("__at").alias("at"))).alias("p"))
-    known = values.select(F.col("value").alias("__value"), F.col("tag").alias("__tag"), F.regexp_extract("value", word, 0).alias("__first"), (F.instr("value", F.regexp_extract("value", word, 0)) - 1).alias("__off")).where("__first <> ''").distinct()
-    joined = places.join(known, F.col("p.w") == F.col("__first"))
-    at = F.col("p.at") - F.col("__off")
-    n = F.length("__value")
-    edge = lambda c: ~F.coalesce(c.rlike(r"(?U)^\w$"), F.lit(False))
-    fits = (at >= 0) & (F.substring(F.col(column), at + 1, n) == F.col("__value")) & edge(F.substring(F.col(column), at, F.lit(1))) & edge(F.substring(F.col(column), at + n + 1, F.lit(1)))
-    found = joined.where(fits).select(id, at.cast("int").alias("start"), (at + n).cast("int").alias("end"), F.col("__value").alias("value"), F.col("__tag").alias("tag")).distinct()
-    w = Window.partitionBy(id).orderBy("start", F.desc("end"), "tag").rowsBetween(Window.unboundedPreceding, -1)
-    return found.withColumn("__before", F.max("end").over(w)).where("__before is null or start >= __before").drop("__before")
+    texts = df.where(F.col(column).isNotNull()).groupBy(F.col(id).alias("__id"), F.xxhash64(column).alias("__h")).agg(F.min(column).alias("__text"))
+    texts = _runs(texts, "__text")
+    m, g = F.col("__cut.m"), F.col("__cut.g")
+    known = _by_run(values)
+    counts = known.groupBy("key").agg(F.collect_set("n").alias("ns"))
+    hashes = lambda i: F.array(*(F.when(i + n <= F.size(m), F.struct(i.alias("i"), F.xxhash64(F.lit(n), _stretch(m, g, i, n)).alias("key"))) for n in LEVELS))
+    every = texts.select("__id", "__h", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size(m) - 1), hashes))).alias("p")).where("p is not null")
+    begun = lookup(every.select("__id", "__h", "p.i", "p.key"), counts, "key", "ns").where("ns is not null")
+    at = begun.groupBy(F.col("__id").alias("__of"), F.col("__h").alias("__hash")).agg(F.collect_set(F.struct("i", "ns")).alias("places"))
+    placed = texts.join(at, F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__h") == F.col("__hash"))).withColumn("__at", F.explode(F.array(starts(g, m))))
+
+    # from run i on: runs and gaps in turns, of which a value with n runs has 2n - 1
+    turns = F.flatten(F.transform(m, lambda w, i: F.array(w, F.get(g, i + 1))))
+    within = lambda p: F.transform(F.filter(p["ns"], lambda n: p["i"] + n <= F.size(m)), lambda n: F.struct(p["i"].alias("i"), n.alias("n")))
+    placed = placed.withColumn("__turns", turns).select("__id", "__h", "__cut", "__at", "__turns", F.explode(F.array_distinct(F.flatten(F.transform("places", within)))).alias("p"))
+    i, n = F.col("p.i"), F.col("p.n")
+    core = F.array_join(F.slice("__turns", 2 * i + 1, 2 * n - 1), "")
+    tried = placed.select("__id", "__h", F.get("__at", i).alias("at"), core.alias("core"), F.get(g, i).alias("before"), F.get(g, i + n).alias("behind"), (i == 0).alias("first"), (i + n == F.size(m)).alias("last"))
+    cores = known.groupBy("core").agg(F.collect_set(F.struct("value", "tag", "head", "tail")).alias("vs"))
+    told = lookup(tried, cores, "core", "vs").where("vs is not null").withColumn("v", F.explode("vs"))
+
+    # what a value has before its first run and behind its last one stands there, and no run touches it
+    clear = lambda part, gap, end, ends: (part == "") | ends & ((part != gap) | end)
+    fits = clear(F.col("v.head"), F.col("before"), F.col("first"), F.col("before").endswith(F.col("v.head"))) & clear(F.col("v.tail"), F.col("behind"), F.col("last"), F.col("behind").startswith(F.col("v.tail")))
+    start = (F.col("at") - F.length("v.head")).cast("int")
+    span = F.struct(start.alias("start"), (-F.length("v.value")).alias("order"), F.col("v.tag").alias("tag"), (start + F.length("v.value")).cast("int").alias("end"), F.col("v.value").alias("value"))
+    spans = told.where(fits).groupBy("__id", "__h").agg(F.array_sort(F.collect_set(span)).alias("s"))
+    return spans.select(F.col("__id").alias(id), F.explode(_apart(F.col("s"))).alias("s")).select(id, "s.start", "s.end", "s.value", "s.tag")
 
 
 def token_diff(df: DataFrame, before: str, after: str, most: int = 20_000) -> DataFrame:

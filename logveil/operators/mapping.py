@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from logveil.functions.checks import PSEUDONYM
 from logveil.functions.hashing import Key
 from logveil.functions.regex import extract_all, gaps
+from logveil.operators.joins import lookup
+
 
 def replacements(masked: DataFrame, column: str = "replacements", order: list[str] | None = None) -> DataFrame:
     """Rows of a replacements column; `order` names columns that tell which spelling came first."""
@@ -102,16 +104,19 @@ def inverted(mapping: DataFrame) -> DataFrame:
 def substitute(df: DataFrame, table: DataFrame, key: str, value: str, column: str = "text", id: str = "doc_id") -> DataFrame:
     """Replaces every pseudonym that a table (key, value) knows; others stay.
 
-    Texts are cut at pseudonyms and the pieces joined with the table, so the work grows with the
-    pseudonyms in the texts and not with the table.  Rows that share an id and text share the result.
+    Texts are cut at pseudonyms and the pieces looked up in the table, so the work grows with the
+    pseudonyms in the texts and not with the table, and a pseudonym that stands in most texts makes no
+    task longer than others.  Rows that share an id and text share the result.  Of several values of a
+    key the smallest is taken.
     """
     text = F.col(column)
     tokens = extract_all(text, PSEUDONYM)
     whole = df.withColumn("__h", F.xxhash64(text))
-    cut = whole.where(text.rlike(PSEUDONYM)).select(id, "__h", F.posexplode(tokens).alias("__i", "__token")).distinct()
-    told = cut.join(table.select(F.col(key).alias("__token"), F.col(value).alias("__value")), "__token", "left")
-    pieces = told.groupBy(id, "__h").agg(F.array_sort(F.collect_list(F.struct("__i", F.coalesce("__value", "__token").alias("v")))).alias("__p"))
-    joined = whole.join(pieces.withColumnRenamed(id, "__id"), (F.col(id).eqNullSafe(F.col("__id"))) & (whole["__h"] == pieces["__h"]), "left")
+    cut = whole.where(text.rlike(PSEUDONYM)).select(F.col(id).alias("__id"), "__h", F.posexplode(tokens).alias("__i", "__token"))
+    known = table.groupBy(F.col(key).alias("__token")).agg(F.min(value).alias("__value"))
+    told = lookup(cut, known, "__token", "__value")
+    pieces = told.groupBy("__id", F.col("__h").alias("__of")).agg(F.array_sort(F.collect_set(F.struct("__i", F.coalesce("__value", "__token").alias("v")))).alias("__p"))
+    joined = whole.join(pieces, F.col(id).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__of")), "left")
     out = F.array_join(F.transform(gaps(text, PSEUDONYM), lambda g, i: F.concat(g, F.coalesce(F.get("__p", i)["v"], F.lit("")))), "")
     return joined.withColumn(column, F.when(F.col("__p").isNotNull(), out).otherwise(text)).select(*df.columns)
 
