@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from logveil.functions.regex import extract_all, gaps, starts
 from logveil.operators.joins import lookup
+from logveil.sources.shared import written
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
@@ -127,7 +128,8 @@ def value_spans(df: DataFrame, values: DataFrame, column: str = "text", id: str
     core = F.array_join(F.slice("__turns", 2 * i + 1, 2 * n - 1), "")
     tried = placed.select("__id", "__h", F.get("__at", i).alias("at"), core.alias("core"), F.get(g, i).alias("before"), F.get(g, i + n).alias("behind"), (i == 0).alias("first"), (i + n == F.size(m)).alias("last"))
     cores = known.groupBy("core").agg(F.collect_set(F.struct("value", "tag", "head", "tail")).alias("vs"))
-    told = lookup(tried, cores, "core", "vs").where("vs is not null").withColumn("v", F.explode("vs"))
+    # written, as counting the frequent ones among them would else search the texts again
+    told = lookup(written(tried, "places"), cores, "core", "vs").where("vs is not null").withColumn("v", F.explode("vs"))
 
     # what a value has before its first run and behind its last one stands there, and no run touches it
     clear = lambda part, gap, end, ends: (part == "") | ends & ((part != gap) | end)

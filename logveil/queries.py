@@ -388,6 +388,18 @@ def reidentify_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.reidentify(masked.select("event_id", "kind", "line"), known, "line", "event_id")
 
 
+_SKEWED = "CASE WHEN event_id % 2 = 0 THEN 'contact root@bank.com' ELSE 'contact u' || event_id || '@bank.com' END"
+
+
+@query(f"SELECT event_id, {_SKEWED} AS line FROM events")
+def reidentify_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of which half hold one value, with their originals put back."""
+    lines = table(spark, sf_dir, "events").select("event_id", F.expr(_SKEWED).alias("line"))
+    masked = written(mask.mask_text(lines, OPTIONS, "line", replacements="found", tags=["EMAIL"]), "masked")
+    known = mapping.build(mapping.replacements(masked, "found"))
+    return mapping.reidentify(masked.select("event_id", "line"), known, "line", "event_id")
+
+
 @query("SELECT min(c_name) AS name FROM (SELECT c_name, substr(c_name, 1, 14) AS g FROM customer) AS t GROUP BY lower(g)")
 def first_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(F.substring("c_name", 1, 14).alias("g"), F.col("c_name"))
@@ -520,6 +532,16 @@ def value_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.value_spans(lines, values, "line", "event_id")
 
 
+@query("""SELECT doc_id, CAST(s AS INT) AS start, CAST(s + length(lang) AS INT) AS "end", lang AS value, upper(lang) AS tag FROM (
+SELECT doc_id, lang, text, sum(length(part) + length(lang)) OVER (PARTITION BY doc_id, lang ORDER BY i) - length(lang) AS s, i < n AS ends FROM (
+SELECT doc_id, lang, text, unnest(string_split(text, lang)) AS part, generate_subscripts(string_split(text, lang), 1) AS i, len(string_split(text, lang)) AS n FROM (SELECT doc_id, text FROM documents) AS d, (SELECT DISTINCT lang AS lang FROM documents WHERE lang IS NOT NULL) AS l (lang)) AS b) AS c
+WHERE ends AND NOT regexp_matches(substr(text, CAST(s AS BIGINT), 1), '^[\\p{L}\\p{M}\\p{N}_]$') AND NOT regexp_matches(substr(text, CAST(s + length(lang) + 1 AS BIGINT), 1), '^[\\p{L}\\p{M}\\p{N}_]$')""")
+def value_spans_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the codes of the corpus's languages stand as words in its texts (whole texts, few and frequent values)."""
+    docs = table(spark, sf_dir, "documents")
+    return diff.value_spans(docs, docs.select(F.col("lang").alias("value"), F.upper("lang").alias("tag")).distinct())
+
+
 _SPAN_ROWS = "SELECT l_orderkey, CAST(l_linenumber * 7 - l_quantity % 5 AS INT) AS s, CAST(l_linenumber * 7 + l_quantity % 9 AS INT) AS e FROM lineitem"
 _ISLANDS = f"SELECT l_orderkey, min(s) AS start, max(e) AS \"end\" FROM (SELECT *, sum(fresh) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS fresh FROM ({_SPAN_ROWS}) AS a) AS b) AS c GROUP BY l_orderkey, g"
 
