@@ -575,14 +575,28 @@ def _stored(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-@query(f"SELECT DISTINCT 'EMAIL' AS tag, 'u' || user_id || '@bank.com' AS original, {token('EMAIL', "'u' || user_id || '@bank.com'")} AS pseudonym FROM events")
+_ADDRESSES = f"SELECT DISTINCT 'EMAIL' AS tag, 'u' || user_id || '@bank.com' AS original, {token('EMAIL', "'u' || user_id || '@bank.com'")} AS pseudonym FROM events"
+
+
+def _grown(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    folder = checkpoint_folder(spark, "dictionary")
+    streams.grow_dictionary(lines, OPTIONS, f"{folder}/table", f"{folder}/state", trigger={"availableNow": True}).awaitTermination()
+    return spark.read.schema(streams.ENTRY).parquet(f"{folder}/table").select("tag", "original", "pseudonym")
+
+
+@query(_ADDRESSES)
 def stream_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dictionary that grows with a stream."""
-    folder = checkpoint_folder(spark, "dictionary")
-    running = streams.grow_dictionary(_stream(spark, sf_dir, LINES["mail"]), OPTIONS, f"{folder}/table", f"{folder}/state")
-    running.processAllAvailable()
-    running.stop()
-    return spark.read.parquet(f"{folder}/table").select("tag", "original", "pseudonym")
+    return _grown(spark, _stream(spark, sf_dir, LINES["mail"]))
+
+
+@query(_ADDRESSES)
+def stream_dictionary_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with lines in several files, each a batch, most of whose values earlier ones had."""
+    folder = checkpoint_folder(spark, "lines")
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr(LINES["mail"]).alias("line"))
+    rows.repartition(5, "event_id").select("line").write.parquet(folder)
+    return _grown(spark, spark.readStream.schema("line string").option("maxFilesPerTrigger", 1).parquet(folder))
 
 
 _NESTED = """'[' || event_id || '] step' || chr(10) || '{"a": [' || chr(10) || '{"b": ' || event_id || '},' || chr(10) || '[]' || chr(10) || ']} done' || chr(10) || '{"open": [' || chr(10) || '[1, 2' || chr(10) || 'oops ' || event_id"""

@@ -6,13 +6,11 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logveil.functions.jsonscan import Scanner
-from logveil.operators.mapping import build, extend, replacements
 from logveil.operators.mask import mask_text
 from logveil.operators.reports import scan_lines
 from logveil.plans.options import Options
@@ -39,26 +37,80 @@ def count_stream(lines: DataFrame, options: Options, line: str = "line") -> Data
     return masked.select(F.explode("found").alias("r")).groupBy(F.col("r.tag").alias("tag")).count()
 
 
-def grow_dictionary(lines: DataFrame, options: Options, table: str, checkpoint: str, line: str = "line"):
-    """Starts a query that appends each batch's new values to a dictionary table and leaves known ones.
+#: Rows of a growing dictionary.
+ENTRY = "tag string, original string, normalized string, pseudonym string"
+_FOUND = "base string, tag string, original string, normalized string"
+#: The values that share a pseudonym but for its suffix, in the order of their suffixes.
+_NAMES = "names array<string>"
+#: Values that a task remembers, so as to pass each on about once.
+_SEEN = 1 << 16
+_STORE = "spark.sql.streaming.stateStore"
+
+
+def _once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Drops rows that a task has passed on lately, so a value in most lines is a few rows a task behind it."""
+    seen: set[tuple] = set()
+    for rows in batches:
+        rows = rows.drop_duplicates()
+        fresh = [r not in seen for r in rows.itertuples(index=False, name=None)]
+        rows = rows[fresh]
+        if len(seen) + len(rows) > _SEEN:
+            seen = set()
+        seen |= set(rows.itertuples(index=False, name=None))
+        yield rows
+
+
+def _named(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Entries of a base's values that are new, with the suffixes after those in use."""
+    base = key[0]
+    names = list(state.get[0]) if state.exists else []
+    new: dict[str, tuple[str, str]] = {}
+    for rows in batches:
+        for tag, original, normalized in zip(rows["tag"], rows["original"], rows["normalized"], strict=True):
+            if normalized not in names:
+                new[normalized] = min(new.get(normalized, (original, tag)), (original, tag))
+    out = []
+    for normalized in sorted(new):
+        names.append(normalized)
+        original, tag = new[normalized]
+        out.append((tag, original, normalized, base if len(names) == 1 else f"{base[:-1]}_{len(names)}]"))
+    if out:
+        state.update((names,))
+    yield pd.DataFrame(out, columns=["tag", "original", "normalized", "pseudonym"])
+
+
+def new_entries(lines: DataFrame, options: Options, line: str = "line") -> DataFrame:
+    """Stream: a dictionary's new rows (append mode).  Known values give none and keep their suffixes.
+
+    The state holds the values by pseudonym, so a batch reads and writes the values that it has and
+    nothing else, however large the dictionary is.  New values of one batch are numbered in their order;
+    of several spellings of a new value the smallest of its batch stays.
+    """
+    found = mask_text(lines.select(line), options, line, replacements="found").select(F.explode("found").alias("r")).where("r.reversible")
+    values = found.select(F.col("r.pseudonym").alias("base"), "r.tag", "r.original", "r.normalized").mapInPandas(_once, _FOUND)
+    return values.groupBy("base").applyInPandasWithState(_named, ENTRY, _NAMES, "append", GroupStateTimeout.NoTimeout)
+
+
+def grow_dictionary(lines: DataFrame, options: Options, table: str, checkpoint: str, line: str = "line", trigger: dict | None = None):
+    """Starts a query that appends the new values of each batch to a dictionary table (Parquet, each batch once).
 
-    A batch is written as a version of its own (batch=n), so a batch that runs again writes the same rows.
+    The state is kept in RocksDB and its changes in the checkpoint folder.  `trigger` as in a stream's writer.
     """
-    spark = lines.sparkSession
-
-    def add(batch: DataFrame, number: int) -> None:
-        rows = replacements(mask_text(batch, options, line, replacements="found"), "found")
-        new = build(rows)
-        try:
-            known = spark.read.parquet(table).where(F.col("batch") < number).select(*new.columns)
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            known = new.limit(0)
-        grown = extend(known, new, options.key.hash_len).join(known.select("tag", "normalized"), ["tag", "normalized"], "left_anti")
-        grown.select(*new.columns).write.mode("overwrite").parquet(f"{table}/batch={number}")
-
-    return lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).start()
+    conf = lines.sparkSession.conf
+    wanted = {f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {k: conf.get(k, None) for k in wanted}
+    writer = new_entries(lines, options, line).writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+    for k, v in wanted.items():
+        conf.set(k, v)
+    try:
+        # a query keeps the settings with which it starts
+        return (writer.trigger(**trigger) if trigger else writer).start(table)
+    finally:
+        for k, v in before.items():
+            if v is None:
+                conf.unset(k)
+            else:
+                conf.set(k, v)
 
 
 CHUNK = "path string, chunk_no long, kind string, chunk string"
