@@ -15,27 +15,33 @@ def output_name(path: Column) -> Column:
 
 #: Lines of a file that one task writes.
 PART_LINES = 4 << 20
+#: Tasks that write the parts of large files.  Names of parts number tasks by five digits, so beyond 99 999 their order would be lost.
+PART_TASKS = 10_000
 
 
 def write_text_mirror(lines: DataFrame, folder: str, by: str = "path", number: str = "line_no", line: str = "line", part_lines: int = PART_LINES) -> None:
     """One folder per input file (rel_path=...), its lines in order.
 
     A file of more than `part_lines` lines becomes several parts of about that many, written by several
-    tasks: its lines are dealt by ranges of their numbers, and parts are in order by name.
+    tasks: its lines are dealt by ranges of their numbers, and parts are in order by name.  With more parts
+    than `PART_TASKS`, a task writes several (about 250 of a file at most, beyond which parts hold more lines).
     """
     named = lines.withColumn("rel_path", output_name(F.col(by)))
     sizes = written(named.groupBy("rel_path").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > part_lines), "sizes")
     large = sizes.agg(F.sum("__n").alias("n")).first()["n"] or 0
     small = named.join(few(sizes.select("rel_path")), "rel_path", "left_anti") if large else named
 
-    def put(rows: DataFrame, mode: str) -> None:
+    def put(rows: DataFrame, mode: str, most: int = 0) -> None:
         ordered = rows.sortWithinPartitions("rel_path", number)
-        ordered.select("rel_path", F.col(line).alias("value")).write.partitionBy("rel_path").mode(mode).text(folder)
+        ordered.select("rel_path", F.col(line).alias("value")).write.option("maxRecordsPerFile", most).partitionBy("rel_path").mode(mode).text(folder)
 
     put(small.repartition("rel_path"), "overwrite")
     if large:
         ranged = named.join(few(sizes.select("rel_path")), "rel_path", "left_semi")
-        put(ranged.repartitionByRange(-(-large // part_lines), "rel_path", number), "append")
+        parts = -(-large // part_lines)
+        # a task's files are numbered by three digits; ranges are of unequal size, so few of them are counted on
+        most = max(part_lines, -(-large // (PART_TASKS * 250))) if parts > PART_TASKS else 0
+        put(ranged.repartitionByRange(min(parts, PART_TASKS), "rel_path", number), "append", most)
 
 
 def write_report(report: DataFrame, path: str, form: str = "jsonl") -> None:

@@ -59,3 +59,12 @@ def test_stream_assembly_puts_lines_in_order(spark, tmp_path):
     running = stream.writeStream.format("memory").queryName("assembled").outputMode("append").trigger(once=True).start()
     running.awaitTermination()
     assert sorted((r["path"], r["kind"]) for r in spark.table("assembled").collect() if r["chunk"].strip()) == [("f", "json"), ("f", "text"), ("g", "json")]
+
+
+def test_parts_of_many_tasks_are_in_order_by_name(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "PART_TASKS", 3, raising=False)
+    rows = spark.range(600).select(F.lit("a.log").alias("path"), F.col("id").alias("line_no"), F.concat(F.lit("line "), "id").alias("line"))
+    sinks.write_text_mirror(rows, str(tmp_path / "out"), part_lines=10)
+    parts = sorted((tmp_path / "out" / "rel_path=a.log").glob("part-*"))
+    assert "".join(p.read_text() for p in parts).splitlines() == [f"line {i}" for i in range(600)]
+    assert len(parts) >= 60 and max(int(p.name.split("-")[1]) for p in parts) < 3 and max(len(p.read_text().splitlines()) for p in parts) <= 10
