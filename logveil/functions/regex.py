@@ -57,9 +57,25 @@ def sub_with(text: Column, pattern: str, replace: Callable[[Column, Column], Col
     return F.when(text.rlike(unicode(pattern)), interleave(gaps(text, pattern), out)).otherwise(text)
 
 
+#: Matches whose places are summed up at a time.
+_BLOCK = 512
+
+
 def starts(between: Column, matches: Column) -> Column:
-    """Where each match begins (from 0)."""
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(matches)).alias("g"), matches.alias("m"))
+    """Where each match begins (from 0).
+
+    An array that grows by one is copied each time, so places of many matches are summed up in blocks.
+    """
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-    step = lambda s, p: F.struct((s["at"] + F.length(p["g"]) + F.length(p["m"])).cast("int").alias("at"), F.concat(s["all"], F.array((s["at"] + F.length(p["g"])).cast("int"))).alias("all"))
-    return F.aggregate(pairs, empty, step, lambda s: s["all"])
+    more = lambda s, at, width: F.struct((s["at"] + width).cast("int").alias("at"), F.concat(s["all"], F.array(at.cast("int"))).alias("all"))
+    step = lambda s, p: more(s, s["at"] + F.length(p["g"]), F.length(p["g"]) + F.length(p["m"]))
+
+    def many(pairs: Column) -> Column:
+        numbers = F.sequence(F.lit(0), ((F.size(pairs) - 1) / _BLOCK).cast("int"))
+        blocks = F.transform(numbers, lambda b: F.aggregate(F.slice(pairs, b * _BLOCK + 1, _BLOCK), empty, step))
+        before = lambda x: F.aggregate(x, empty, lambda s, b: more(s, s["at"], b["at"]), lambda s: s["all"])
+        return bind(blocks, lambda x: F.flatten(F.zip_with(x, before(x), lambda b, at: F.transform(b["all"], lambda a: a + at))))
+
+    both = F.struct(between.alias("g"), matches.alias("m"))
+    pairs = bind(both, lambda x: F.arrays_zip(F.slice(x["g"], 1, F.size(x["m"])).alias("g"), x["m"].alias("m")))
+    return bind(pairs, lambda x: F.when(F.size(x) > _BLOCK, many(x)).otherwise(F.aggregate(x, empty, step, lambda s: s["all"])))

@@ -153,3 +153,22 @@ def test_text_of_any_shape(spark):
     assert not any(name in (t or "") for t in out for name in ("alice", "bob", "carol", "dave", "10.0.0"))
     assert out[0].count("\n") == 1 and '"n": 2' in out[0] and out[1].startswith("a line\n{") and "12345678901234567890.12" in out[2]
     assert out[3] is None and out[4] == "" and out[5] == "[1, 2" and out[6].startswith('{\n  "user": "[USER_') and out[8] == texts[8]
+
+
+def test_places_of_many_matches(spark):
+    from logveil.functions import regex
+
+    rows = spark.createDataFrame([(n, "ab " * n) for n in (0, 1, 512, 513, 30_000)], "n int, t string")
+    found = regex.starts(regex.gaps(F.col("t"), "b"), regex.extract_all(F.col("t"), "b"))
+    assert all(r["x"] == [3 * i + 1 for i in range(r["n"])] for r in rows.select("n", found.alias("x")).collect())
+
+
+def test_whole_files_of_masked_lines_are_verified_in_time(spark):
+    import time
+
+    line = f"contact [EMAIL_{'a' * 12}]\n"
+    judged = lambda n: detect.verify(spark.createDataFrame([(line * n + "u1@bank.com",)], "text string"), OPTIONS).select("issues").first()["issues"]
+    judged(1)
+    start = time.time()
+    assert judged(200_000) == ["EMAIL", "FQDN", "RESIDUAL: EMAIL"]
+    assert time.time() - start < 120
