@@ -233,7 +233,7 @@ def corpus_score_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled JSON documents: two values must go, a key and a number must stay."""
     doc = F.expr(f"""'{{"user":"account-' || {_U} || '","src":{{"ip":"10.0.0.' || event_id % 250 || '"}},"n":7.10}}'""")
     gone = F.array(F.expr(f"'account-' || {_U}"), F.expr("'\"10.0.0.' || event_id % 250 || '\"'"))
-    rows = table(spark, sf_dir, "events").select("event_id", doc.alias("input"), F.array(F.lit('"src"'), F.lit("7.10")).alias("must_keep"), gone.alias("must_not_contain"))
+    rows = spread(table(spark, sf_dir, "events"), "event_id").select("event_id", doc.alias("input"), F.array(F.lit('"src"'), F.lit("7.10")).alias("must_keep"), gone.alias("must_not_contain"))
     return reports.score_corpus(rows, OPTIONS)
 
 
@@ -349,7 +349,7 @@ def corpus_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.concat(F.lit("e"), "event_id").alias("id"), line.alias("input"), kept.alias("must_keep"), gone.alias("must_not_contain"))
     folder = checkpoint_folder(spark, "corpus")
     rows.write.json(folder)
-    return reports.score_corpus(files.load_corpus(spark, folder), OPTIONS)
+    return reports.score_corpus(spread(files.load_corpus(spark, folder), "id"), OPTIONS)
 
 
 @query("""SELECT 'rel_path=' || CASE WHEN event_id % 3 = 0 THEN 'raw' ELSE 'masked' END || event_id % 3 || '.log' AS path, count(*) AS line_count, CASE WHEN event_id % 3 = 0 THEN 'EMAIL; FQDN; RESIDUAL: EMAIL' ELSE '' END AS issues, event_id % 3 <> 0 AS safe FROM events GROUP BY 1, 3, 4""")
