@@ -95,10 +95,15 @@ def personal_id_is_shaped(value: Column) -> Column:
     return F.trim(value).rlike(r"^\d{7}[A-Za-z]\d{3}[A-Za-z]{2}\d$")
 
 
+def allowed_form(value: Column) -> Column:
+    """A value as it is looked up in an allowlist: blanks and case do not count."""
+    return F.lower(F.trim(value))
+
+
 def is_allowed(value: Column, allowlist: list[str] | tuple[str, ...]) -> Column:
-    """Whether a value stands in a small allowlist; for a large one see detect.without_allowed."""
+    """Whether a value stands in a small allowlist; for a table see detect.without_allowed and mask.mask_text_allowing."""
     words = sorted({w.strip().lower() for w in allowlist if w.strip()})
-    return F.lower(F.trim(value)).isin(*words) if words else F.lit(False)
+    return allowed_form(value).isin(*words) if words else F.lit(False)
 
 
 def sid_is_exempt(value: Column, sids: list[str] | tuple[str, ...] = tuple(WELL_KNOWN_SIDS)) -> Column:

@@ -7,6 +7,8 @@ whole value with reversible = false.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,10 @@ from logveil.functions import checks
 from logveil.functions.hashing import normalized, pseudonym
 from logveil.functions.regex import bind, extract_all, gaps, interleave, starts
 from logveil.operators.classify import classified
+from logveil.operators.joins import lookup
 from logveil.plans.options import Options
 from logveil.plans.rules import RFC5424_HOST, Rule, pseudonyms, rules
+from logveil.sources.shared import written
 
 REPLACEMENT = "struct<tag:string,original:string,normalized:string,pseudonym:string,reversible:boolean>"
 
@@ -45,8 +49,11 @@ def _split_partial(value: Column, tag: str) -> Column:
     return out
 
 
-def masked_value(value: Column, tag: Column | str, options: Options, strategy: str = "full", canonical: str | None = None) -> Column:
-    """One value to struct(out, replacement); an allowed value stays and has no replacement."""
+def masked_value(value: Column, tag: Column | str, options: Options, strategy: str = "full", canonical: str | None = None, allowed: Column | None = None) -> Column:
+    """One value to struct(out, replacement); an allowed value stays and has no replacement.
+
+    Besides those of the options, the values of an array `allowed` are, in the form of `allowed_form`.
+    """
     none = F.lit(None).cast(REPLACEMENT)
 
     def made(hidden: Column, tag: Column, out, reversible: bool = True) -> Column:
@@ -58,9 +65,12 @@ def masked_value(value: Column, tag: Column | str, options: Options, strategy: s
 
         name = pseudonym(F.lit(canonical) if canonical else hidden, tag, options.key)
         new = bind(F.struct(hidden.alias("hidden"), name.alias("name")), rows)
-        if not options.allowlist:
+        if not options.allowlist and allowed is None:
             return new
-        return F.when(checks.is_allowed(hidden, options.allowlist), F.struct(out(hidden).alias("out"), none.alias("replacement"))).otherwise(new)
+        stays = checks.is_allowed(hidden, options.allowlist)
+        if allowed is not None:
+            stays = stays | F.array_contains(allowed, checks.allowed_form(hidden))
+        return F.when(stays, F.struct(out(hidden).alias("out"), none.alias("replacement"))).otherwise(new)
 
     if not isinstance(tag, str):
         return bind(F.struct(value.alias("v"), tag.alias("t")), lambda x: made(x["v"], x["t"], lambda name: name))
@@ -71,7 +81,7 @@ def masked_value(value: Column, tag: Column | str, options: Options, strategy: s
     return made(value, F.lit(tag), lambda name: name)
 
 
-def _rule_step(state: Column, rule: Rule, options: Options) -> Column:
+def _rule_step(state: Column, rule: Rule, options: Options, allowed: Column | None = None) -> Column:
     """A state (text, found) after one rule.  Pseudonyms match first and stay, so no rule looks into one."""
     text, hidden = state["text"], pseudonyms(options)
     pattern = f"(?U){hidden}|{rule.pattern}"
@@ -103,7 +113,7 @@ def _rule_step(state: Column, rule: Rule, options: Options) -> Column:
                 default = F.when(name.isin(*(f.lower() for f in rule.user_fields)), "USER").otherwise(rule.default)
             tag = classified(value, options, default)
         keep = F.struct(row["m"].alias("out"), F.lit(None).cast(REPLACEMENT).alias("replacement"))
-        masked = masked_value(value, tag, options, rule.strategy, rule.canonical)
+        masked = masked_value(value, tag, options, rule.strategy, rule.canonical, allowed)
         if rule.value != (0,):
             masked = bind(masked, lambda x: F.struct(F.concat(head, x["out"], tail).alias("out"), x["replacement"].alias("replacement")))
         good = (value != "") & ~(row["m"].startswith("[") & row["m"].rlike(rf"\A{hidden}\z"))
@@ -148,20 +158,51 @@ def settled(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.explode(F.array(column)))
 
 
-def mask_text(df: DataFrame, options: Options, column: str = "text", out: str | None = None, replacements: str | None = None, tags: list[str] | None = None) -> DataFrame:
+def mask_text(df: DataFrame, options: Options, column: str = "text", out: str | None = None, replacements: str | None = None, tags: list[str] | None = None, allowed: str | None = None) -> DataFrame:
     """Masks a text column; `out` (default: in place) has the masked text, `replacements` what was replaced.
 
-    One projection for each rule and no shuffle.  Null stays null (with no replacements).
+    One projection for each rule and no shuffle.  Null stays null (with no replacements).  `allowed` names a
+    column of the values that stay in that row, an array.
     """
     state = df.withColumn("__state", start_state(F.col(column)))
     for rule in mask_steps(options, tags):
-        state = state.withColumn("__state", _rule_step(F.col("__state"), rule, options))
+        state = state.withColumn("__state", _rule_step(F.col("__state"), rule, options, F.col(allowed) if allowed else None))
     state = settled(state, "__state").withColumn(out or column, F.col("__state.text"))
     if replacements:
         state = state.withColumn(replacements, F.coalesce(F.col("__state.found"), F.array().cast(f"array<{REPLACEMENT}>")))
     return state.drop("__state")
 
 
+def mask_text_allowing(df: DataFrame, options: Options, allowlist: DataFrame, column: str = "text", out: str | None = None, replacements: str | None = None, tags: list[str] | None = None) -> DataFrame:
+    """`mask_text` with a whole table (value) of values that stay, blanks and case aside, besides those of the options.
+
+    The values that a row had replaced are looked up in the table.  Rows without an allowed one are done, as the
+    table changes nothing in them; the others are masked again with theirs as allowed, until no more turn up
+    (a later rule may take what an earlier one leaves).  A round settles one rule at least, and mostly the second is the last.
+    """
+    words = allowlist.select(checks.allowed_form(F.col("value")).alias("__word")).where("__word <> ''").distinct().withColumn("__listed", F.lit(True))
+    words = written(words, "allowlist")
+
+    def masked(rows: DataFrame) -> DataFrame:
+        new = mask_text(rows, options, column, "__masked", "__found", tags, "__allowed")
+        asked = F.array_distinct(F.transform("__found", lambda r: checks.allowed_form(r["original"])))
+        return new.withColumn("__asked", asked).drop(*([] if replacements else ["__found"]))
+
+    rest = written(masked(df.withColumn("__allowed", F.array().cast("array<string>"))).withColumn("__row", F.monotonically_increasing_id()), "masked")
+    done: list[DataFrame] = []
+    while True:
+        asked = rest.select("__row", F.explode("__asked").alias("__word"))
+        fresh = written(lookup(asked, words, "__word", "__listed").where("__listed").groupBy("__row").agg(F.collect_set("__word").alias("__more")), "allowed")
+        done.append(rest.join(fresh, "__row", "left_anti"))
+        if fresh.isEmpty():
+            break
+        again = rest.join(fresh, "__row").withColumn("__allowed", F.concat("__allowed", "__more"))
+        rest = written(masked(again.drop("__more", "__masked", "__found", "__asked")), "masked")
+    kept = [c for c in df.columns if c not in (out or column, replacements)]
+    columns = [F.col("__masked").alias(out or column), *([F.col("__found").alias(replacements)] if replacements else [])]
+    return reduce(DataFrame.unionByName, done).select(*kept, *columns)
+
+
 def mask_nested(df: DataFrame, options: Options, column: str, depth: int, tags: list[str] | None = None, replacements: str | None = None) -> DataFrame:
     """Masks a column of strings in `depth` nested arrays, in place; `replacements` has each string's, nested alike."""
 
