@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logveil.functions.regex import extract_all, gaps, starts
+from logveil.functions.regex import bind, extract_all, gaps, starts
 from logveil.operators.joins import lookup
 from logveil.sources.shared import written
 
@@ -61,6 +61,10 @@ def diff_rows(before: DataFrame, after: DataFrame, context: int = 3, by: str = "
 RUN = r"\w+"
 #: A value is first looked up by its first runs, as many as the largest of these that it has.
 LEVELS = (1, 2, 4)
+#: Keys of values that are told as literals, within a text's row.
+LITERALS = 1000
+#: Bytes of values that a broadcast may hold, with this much for a value besides its characters.
+BROADCAST, BESIDES = 1 << 26, 100
 
 
 def _stretch(runs: Column, between: Column, first: Column, n: int) -> Column:
@@ -78,15 +82,16 @@ def _runs(df: DataFrame, column: str) -> DataFrame:
 
 
 def _by_run(values: DataFrame) -> DataFrame:
-    """Values that hold a run: (value, tag, n runs, core from the first to the last run, head, tail, key of the first runs)."""
+    """Values that hold a run: (value, tag, n runs, core from the first to the last run, head, tail, level and key of the first runs)."""
     m, g = F.col("__cut.m"), F.col("__cut.g")
     cut = _runs(values.select("value", "tag").distinct(), "value")
     head, tail, n = F.element_at(g, 1), F.element_at(g, -1), F.size(m)
-    key = F.lit(None).cast("long")
+    key, most = F.lit(None).cast("long"), F.lit(None).cast("int")
     for level in LEVELS:
         key = F.when(n >= level, F.xxhash64(F.lit(level), _stretch(m, g, F.lit(0), level))).otherwise(key)
+        most = F.when(n >= level, F.lit(level)).otherwise(most)
     core = F.substring(F.col("value"), F.length(head) + 1, F.length("value") - F.length(head) - F.length(tail))
-    return cut.select("value", "tag", n.alias("n"), core.alias("core"), head.alias("head"), tail.alias("tail"), key.alias("key"))
+    return cut.select("value", "tag", n.alias("n"), core.alias("core"), head.alias("head"), tail.alias("tail"), most.alias("level"), key.alias("key"))
 
 
 def _apart(found: Column) -> Column:
@@ -105,31 +110,53 @@ def value_spans(df: DataFrame, values: DataFrame, column: str = "text", id: str
     that share id and text give their spans once.
 
     A value begins and ends at the ends of runs of a text, so it is found by equality.  Hashes of a text's first
-    one, two and four runs at every place tell where a value may begin and how many runs it has; only for
-    these the runs themselves are looked up.  Texts are joined with their places by id and never with
-    values, and words or values that stand in most texts make no task longer than others.
+    one, two and four runs at every place (as many as values have) tell where a value may begin and how many runs
+    it has; only for these the runs themselves are looked up.  Few keys are told within a text's row, and values
+    of 64 MB come by broadcast, so that no hash of a word is shuffled.  Of more values, texts are joined with
+    their places by id and never with values, and words or values that stand in most texts make no task longer
+    than others.
     """
-    texts = df.where(F.col(column).isNotNull()).groupBy(F.col(id).alias("__id"), F.xxhash64(column).alias("__h")).agg(F.min(column).alias("__text"))
-    texts = _runs(texts, "__text")
+    texts = df.where(F.col(column).isNotNull()).select(F.col(id).alias("__id"), F.xxhash64(column).alias("__h"), F.col(column).alias("__text"))
     m, g = F.col("__cut.m"), F.col("__cut.g")
-    known = _by_run(values)
-    counts = known.groupBy("key").agg(F.collect_set("n").alias("ns"))
-    hashes = lambda i: F.array(*(F.when(i + n <= F.size(m), F.struct(i.alias("i"), F.xxhash64(F.lit(n), _stretch(m, g, i, n)).alias("key"))) for n in LEVELS))
-    every = texts.select("__id", "__h", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size(m) - 1), hashes))).alias("p")).where("p is not null")
-    begun = lookup(every.select("__id", "__h", "p.i", "p.key"), counts, "key", "ns").where("ns is not null")
-    at = begun.groupBy(F.col("__id").alias("__of"), F.col("__h").alias("__hash")).agg(F.collect_set(F.struct("i", "ns")).alias("places"))
-    placed = texts.join(at, F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__h") == F.col("__hash"))).withColumn("__at", F.explode(F.array(starts(g, m))))
-
-    # from run i on: runs and gaps in turns, of which a value with n runs has 2n - 1
-    turns = F.flatten(F.transform(m, lambda w, i: F.array(w, F.get(g, i + 1))))
-    within = lambda p: F.transform(F.filter(p["ns"], lambda n: p["i"] + n <= F.size(m)), lambda n: F.struct(p["i"].alias("i"), n.alias("n")))
-    placed = placed.withColumn("__turns", turns).select("__id", "__h", "__cut", "__at", "__turns", F.explode(F.array_distinct(F.flatten(F.transform("places", within)))).alias("p"))
-    i, n = F.col("p.i"), F.col("p.n")
-    core = F.array_join(F.slice("__turns", 2 * i + 1, 2 * n - 1), "")
-    tried = placed.select("__id", "__h", F.get("__at", i).alias("at"), core.alias("core"), F.get(g, i).alias("before"), F.get(g, i + n).alias("behind"), (i == 0).alias("first"), (i + n == F.size(m)).alias("last"))
+    known = written(_by_run(values), "values")
+    levels = sorted(r["level"] for r in known.select("level").distinct().collect())
+    small = known.agg(F.coalesce(F.sum(F.length("value") + BESIDES), F.lit(0)) <= BROADCAST).first()[0]
+    keys = known.select("level", "key", "n").distinct().limit(LITERALS + 1).collect()
+    key = lambda i, n: F.xxhash64(F.lit(n), _stretch(m, g, i, n))
+    within = lambda i, ns: F.transform(F.filter(ns, lambda n: i + n <= F.size(m)), lambda n: F.struct(i.alias("i"), n.alias("n")))
+
+    if len(keys) <= LITERALS:
+        ns = {level: {} for level in levels}
+        for r in keys:
+            ns[r["level"]].setdefault(r["key"], []).append(r["n"])
+
+        def begun_at(i: Column, level: int) -> Column:
+            table = F.create_map(*(x for k, v in ns[level].items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+            return F.when(key(i, level).isin(*ns[level]), within(i, table[key(i, level)])).otherwise(F.array().cast("array<struct<i:int,n:int>>"))
+
+        found = lambda i: F.concat(*(begun_at(i, level) for level in levels)) if levels else F.array().cast("array<struct<i:int,n:int>>")
+        placed = _runs(texts, "__text").withColumn("__p", F.explode(F.array(F.flatten(F.transform(F.sequence(F.lit(0), F.size(m) - 1), found)))))
+    else:
+        texts = _runs(texts.groupBy("__id", "__h").agg(F.min("__text").alias("__text")), "__text")
+        counts = known.groupBy("key").agg(F.collect_set("n").alias("ns"))
+        hashes = lambda i: F.array(*(F.when(i + n <= F.size(m), F.struct(i.alias("i"), key(i, n).alias("key"))) for n in levels))
+        every = texts.select("__id", "__h", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size(m) - 1), hashes))).alias("p")).where("p is not null").select("__id", "__h", "p.i", "p.key")
+        begun = every.join(F.broadcast(counts), "key") if small else lookup(every, counts, "key", "ns").where("ns is not null")
+        at = begun.groupBy(F.col("__id").alias("__of"), F.col("__h").alias("__hash")).agg(F.collect_set(F.struct("i", "ns")).alias("places"))
+        placed = texts.join(at, F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__h") == F.col("__hash")))
+        placed = placed.withColumn("__p", F.array_distinct(F.flatten(F.transform("places", lambda p: within(p["i"], p["ns"])))))
+
+    def stretch(p: Column, at: Column) -> Column:
+        i, n = p["i"], p["n"]
+        core = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.concat(F.when(k == 0, "").otherwise(F.get(g, i + k)), F.get(m, i + k))), "")
+        return F.struct(F.get(at, i).alias("at"), core.alias("core"), F.get(g, i).alias("before"), F.get(g, i + n).alias("behind"), (i == 0).alias("first"), (i + n == F.size(m)).alias("last"))
+
+    stretches = F.when(F.size("__p") > 0, bind(starts(g, m), lambda at: F.transform("__p", lambda p: stretch(p, at))))
+    tried = placed.select("__id", "__h", F.explode(stretches).alias("__t")).select("__id", "__h", "__t.*")
     cores = known.groupBy("core").agg(F.collect_set(F.struct("value", "tag", "head", "tail")).alias("vs"))
     # written, as counting the frequent ones among them would else search the texts again
-    told = lookup(written(tried, "places"), cores, "core", "vs").where("vs is not null").withColumn("v", F.explode("vs"))
+    told = tried.join(F.broadcast(cores), "core") if small else lookup(written(tried, "places"), cores, "core", "vs").where("vs is not null")
+    told = told.withColumn("v", F.explode("vs"))
 
     # what a value has before its first run and behind its last one stands there, and no run touches it
     clear = lambda part, gap, end, ends: (part == "") | ends & ((part != gap) | end)
