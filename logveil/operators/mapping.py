@@ -111,12 +111,13 @@ def substitute(df: DataFrame, table: DataFrame, key: str, value: str, column: st
     """
     text = F.col(column)
     tokens = extract_all(text, PSEUDONYM)
-    whole = df.withColumn("__h", F.xxhash64(text))
-    cut = whole.where(text.rlike(PSEUDONYM)).select(F.col(id).alias("__id"), "__h", F.posexplode(tokens).alias("__i", "__token"))
+    # structs of null are equal, so pieces are grouped and joined by the same key and shuffled once
+    whole = df.withColumn("__h", F.struct(F.col(id).alias("id"), F.xxhash64(text).alias("h")))
+    cut = whole.where(text.rlike(PSEUDONYM)).select("__h", F.posexplode(tokens).alias("__i", "__token"))
     known = table.groupBy(F.col(key).alias("__token")).agg(F.min(value).alias("__value"))
     told = lookup(cut, known, "__token", "__value")
-    pieces = told.groupBy("__id", F.col("__h").alias("__of")).agg(F.array_sort(F.collect_set(F.struct("__i", F.coalesce("__value", "__token").alias("v")))).alias("__p"))
-    joined = whole.join(pieces, F.col(id).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__of")), "left")
+    pieces = told.groupBy(F.col("__h").alias("__of")).agg(F.array_sort(F.collect_set(F.struct("__i", F.coalesce("__value", "__token").alias("v")))).alias("__p"))
+    joined = whole.join(pieces, F.col("__h") == F.col("__of"), "left")
     out = F.array_join(F.transform(gaps(text, PSEUDONYM), lambda g, i: F.concat(g, F.coalesce(F.get("__p", i)["v"], F.lit("")))), "")
     return joined.withColumn(column, F.when(F.col("__p").isNotNull(), out).otherwise(text)).select(*df.columns)
 

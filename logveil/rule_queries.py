@@ -17,7 +17,7 @@ from logveil.operators import detect, diff, jobs, jsondocs, mapping, mask, recor
 from logveil.plans.options import ContextRule, CustomRule, Options
 from logveil.queries import KEY, LINES, MASKED, OPTIONS, _sql, checkpoint_folder, hashed, lines_sql, log_lines, query, table, token
 from logveil.sources import files, sinks
-from logveil.sources.shared import spread
+from logveil.sources.shared import spread, written
 from logveil.streaming import streams
 
 
@@ -125,7 +125,8 @@ _RESTORED = ["jwt", "iban", "personal_id", "phone", "address_number", "login"]
 def rule_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked lines, full and partial, with their originals put back; case is that of the first spelling."""
     tags = sorted({t for k in _RESTORED for t in KINDS[k][0]})
-    masked = mask.mask_text(rule_lines(spark, sf_dir, *_RESTORED), OPTIONS, "line", replacements="found", tags=tags)
+    # written, as the dictionary, the pseudonyms and the texts would else mask every line for themselves
+    masked = written(mask.mask_text(rule_lines(spark, sf_dir, *_RESTORED), OPTIONS, "line", replacements="found", tags=tags).select("event_id", "kind", "line", "found"), "masked")
     known = mapping.build(mapping.replacements(masked, "found"))
     return mapping.reidentify(masked.select("event_id", "kind", "line"), known, "line", "event_id")
 
