@@ -54,8 +54,13 @@ def fqdn_is_plausible(value: Column, more_stop_words: list[str] | tuple[str, ...
     return (F.size(labels) >= 2) & ~F.get(labels, F.lit(0)).isin(*stops) & ~(last.isin(*stops) & last.isin(*FQDN_STOP_ENDS))
 
 
+def is_in_hash(value: Column) -> Column:
+    """Whether a rule for numbers has matched a whole hash, as it does to pass over it."""
+    return value.rlike("[A-Fa-f]")
+
+
 def phone_is_plausible(value: Column) -> Column:
-    return F.length(F.regexp_replace(value, r"(?U)\D", "")).between(10, 15)
+    return ~is_in_hash(value) & F.length(F.regexp_replace(value, r"(?U)\D", "")).between(10, 15)
 
 
 def login_is_plausible(value: Column) -> Column:
@@ -79,7 +84,7 @@ def unp_is_valid(value: Column) -> Column:
 def pan_is_plausible(value: Column) -> Column:
     """13 to 19 digits that are not all alike, with a right Luhn digit."""
     d = digits(value)
-    return F.length(d).between(13, 19) & ~d.rlike(r"^(\d)\1*$") & F.call_function("luhn_check", d)
+    return ~is_in_hash(value) & F.length(d).between(13, 19) & ~d.rlike(r"^(\d)\1*$") & F.call_function("luhn_check", d)
 
 
 def iban_is_valid(value: Column) -> Column:
