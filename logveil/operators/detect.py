@@ -17,7 +17,7 @@ FINDING = "struct<tag:string,value:string,start:int,end:int>"
 def rule_findings(text: Column, rule: Rule, options: Options, masked: bool = False, places: bool = True) -> Column:
     """Matches of one rule that pass its check, as an array of (tag, value, start, end); of masked text, those outside pseudonyms.
 
-    Without places, which cost most in long texts, start is 0 but for the rule whose check needs it.
+    Without places, which cost most in long texts, each value is told once and start is 0, but for the rule whose check needs it.
     """
     hidden = pseudonyms(options) if masked else ""
     pattern = f"(?U){hidden}|{rule.pattern}" if masked else rule.pattern
@@ -25,7 +25,7 @@ def rule_findings(text: Column, rule: Rule, options: Options, masked: bool = Fal
     if places or rule.tag == "HASH":
         rows = F.arrays_zip(whole.alias("v"), starts(gaps(text, pattern), whole).alias("at"))
     else:
-        rows = F.transform(whole, lambda v: F.struct(v.alias("v"), F.lit(0).alias("at")))
+        rows = F.transform(F.array_distinct(whole), lambda v: F.struct(v.alias("v"), F.lit(0).alias("at")))
     found = F.transform(rows, lambda r: F.struct(F.lit(rule.tag).alias("tag"), r["v"].alias("value"), r["at"].cast("int").alias("start"), (r["at"] + F.length(r["v"])).cast("int").alias("end")))
     good = lambda f: ~checks.is_allowed(f["value"], options.allowlist) & (F.lit(True) if rule.check is None or rule.tag == "IP_NET" else rule.check(f["value"], text, f["start"], f["end"]))
     if masked:
@@ -83,10 +83,11 @@ def residual(text: Column, options: Options) -> Column:
 
     def of_kind(kind: str, pattern: str) -> Column:
         good = (lambda v: kept(v) & tests[kind](v)) if kind in tests else kept
-        return F.transform(F.filter(extract_all(text, f"(?U){pseudonyms(options)}|{pattern}"), good), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("sample")))
+        # strings are told apart by a hash table, structs by comparing each with all others
+        samples = F.array_distinct(extract_all(text, f"(?U){pseudonyms(options)}|{pattern}"))
+        return F.transform(F.filter(samples, good), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("sample")))
 
-    arrays = [of_kind(kind, pattern) for kind, pattern in patterns.items()]
-    return F.array_distinct(F.concat(*arrays))
+    return F.concat(*(of_kind(kind, pattern) for kind, pattern in patterns.items()))
 
 
 def risk(found: Column) -> Column:
