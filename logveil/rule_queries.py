@@ -610,10 +610,10 @@ SELECT event_id, 8 * (dense_rank() OVER (PARTITION BY event_id % 20 ORDER BY eve
 {{'i': 7, 'kind': 'json', 'chunk': '[' || event_id || ']'}}]) AS u FROM events) AS x) AS y"""
 
 
-def _nested(rows: DataFrame) -> DataFrame:
-    """(path, event_id, line) of text, nested documents, brackets that are never closed, and a document of one line."""
+def _nested(rows: DataFrame, *more: str) -> DataFrame:
+    """(path, event_id, more columns, i, line) of text, nested documents, brackets that are never closed, and a document of one line."""
     lines = F.split(F.concat(F.expr(_NESTED), F.expr("chr(10) || '[' || event_id || ']'")), "\n")
-    return rows.select(F.expr("'p' || event_id % 20").alias("path"), "event_id", F.posexplode(lines).alias("i", "line"))
+    return rows.select(F.expr("'p' || event_id % 20").alias("path"), "event_id", *more, F.posexplode(lines).alias("i", "line"))
 
 
 @query(_NESTED_SQL)
@@ -626,10 +626,10 @@ def json_assembly_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_NESTED_SQL)
 def stream_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as a stream whose lines arrive in two batches and out of order."""
-    rows = _nested(table(spark, sf_dir, "events"))
+    # numbered before lines are made: lines of few bytes of events, joined with numbers, would be taken for few and broadcast
     numbered = table(spark, sf_dir, "events").select("event_id", (F.row_number().over(Window.partitionBy(F.col("event_id") % 20).orderBy("event_id")) - 1).alias("n"))
     folder = checkpoint_folder(spark, "lines")
-    lines = rows.join(numbered, "event_id").select("path", (F.col("n") * 9 + F.col("i") + 1).alias("line_no"), "line")
+    lines = _nested(numbered, "n").select("path", (F.col("n") * 9 + F.col("i") + 1).alias("line_no"), "line")
     out = checkpoint_folder(spark, "assembled")
     for part in range(2):
         # a run for each half; which half a line is in has nothing to do with its place
